@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,12 +16,25 @@ def argmax_class(p: Column | str) -> Column:
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once per row.
+
+    An expression used inside a lambda would otherwise be evaluated for every array element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def softmax(z: Column | str) -> Column:
     """Softmax of a logit array, shifted by its maximum."""
-    v = F.transform(as_column(z), lambda x: x.cast("double"))
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+
+    def share(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+        return let(total, lambda t: F.transform(e, lambda x: x / t))
+
+    def shifted(v: Column) -> Column:
+        return let(F.array_max(v), lambda m: let(F.transform(v, lambda x: F.exp(x - m)), share))
+
+    return let(F.transform(as_column(z), lambda x: x.cast("double")), shifted)
 
 
 def prob_of(p: Column | str, code: Column | str) -> Column:

@@ -25,6 +25,17 @@ def bounded(df: DataFrame, max_rows: int, what: str) -> DataFrame:
     )
 
 
+def pinned(df: DataFrame, what: str, max_rows: int = MAX_CLASSES) -> DataFrame:
+    """A small fitted table, computed once and held as a constant of later plans.
+
+    Without it every plan that uses the table would repeat the scans behind it.
+    """
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        raise ValueError(f"{what}: more than {max_rows} rows")
+    return df.sparkSession.createDataFrame(table, schema=df.schema)
+
+
 def small(df: DataFrame, what: str, max_rows: int = MAX_CLASSES) -> DataFrame:
     """Broadcast side with its bound enforced."""
     return F.broadcast(bounded(df, max_rows, what))

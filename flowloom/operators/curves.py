@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.numeric import ratio
+from flowloom.functions.vectors import let
 from flowloom.operators.sampling import stratified_sample
 
 MICRO = -1  # class code of the curve over all flattened (row, class) decisions
@@ -29,32 +30,38 @@ def present_classes(preds: DataFrame, true: str = "y_true") -> list[int]:
 
 def renormalised(preds: DataFrame, present: Sequence[int], prob: str = "y_prob") -> DataFrame:
     """Probabilities of the present classes scaled to sum to one; others become NULL."""
-    picked = F.array(*[F.get(prob, c).cast("double") for c in present])
-    total = F.greatest(F.aggregate(picked, F.lit(0.0), lambda a, x: a + x), F.lit(1e-12))
-    width = max(present) + 1
-    kept = {c for c in present}
-    cells = [
-        (F.get(prob, c).cast("double") / total).cast("float") if c in kept else F.lit(None).cast("float")
-        for c in range(width)
-    ]
-    return preds.withColumn(prob, F.array(*cells))
-
-
-def score_counts(
-    preds: DataFrame, micro: bool = False, true: str = "y_true", prob: str = "y_prob"
-) -> DataFrame:
+    codes = set(present)
+    used = F.array(*[F.lit(c in codes) for c in range(max(codes) + 1)])
+    kept = F.transform(prob, lambda x, i: F.when(F.get(used, i), x.cast("double")))
+
+    def scaled(v: Column) -> Column:
+        total = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+        return let(
+            F.greatest(total, F.lit(1e-12)), lambda t: F.transform(v, lambda x: (x / t).cast("float"))
+        )
+
+    return preds.withColumn(prob, let(kept, scaled))
+
+
+def score_counts(preds: DataFrame, true: str = "y_true", prob: str = "y_prob") -> DataFrame:
     """(class, score, pos, neg) for each distinct score of each one-vs-rest problem."""
     long = preds.select(F.col(true).alias("_y"), F.posexplode(prob).alias("_c", "_p")).filter(
         F.col("_p").isNotNull()
     )
     hit = F.col("_y") == F.col("_c")
-    cls = F.lit(MICRO) if micro else F.col("_c")
     return (
-        long.groupBy(cls.cast("int").alias("class"), F.col("_p").cast("float").alias("score"))
+        long.groupBy(F.col("_c").cast("int").alias("class"), F.col("_p").cast("float").alias("score"))
         .agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
     )
 
 
+def micro_counts(counts: DataFrame) -> DataFrame:
+    """All classes flattened into one problem, from the counts of ``score_counts``."""
+    return counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(
+        F.lit(MICRO).alias("class"), "score", "pos", "neg"
+    )
+
+
 def _cell(score: Column) -> Column:
     s = score.cast("double")
     edge = 1000 * CELLS_PER_LOGIT
@@ -163,16 +170,33 @@ def auc_micro(preds: DataFrame) -> DataFrame:
     present = present_classes(preds)
     if len(present) < 2:
         return preds.sparkSession.range(1).select(F.lit(None).cast("double").alias("auc_micro"))
-    flat = score_counts(renormalised(preds, present), micro=True)
+    flat = micro_counts(score_counts(renormalised(preds, present)))
     return areas(cumulative(flat)).select(F.col("roc_auc").alias("auc_micro"))
 
 
+def raw_and_renormalised_areas(preds: DataFrame, num_classes: int) -> DataFrame:
+    """Areas on raw probabilities (class c), renormalised ones (class K + c) and their micro form (-1).
+
+    Both sets of scores are exploded in one scan and share one set of running totals.
+    """
+    present = present_classes(preds)
+    both = renormalised(preds.withColumn("_raw", F.col("y_prob")), present).select(
+        "y_true", F.concat(F.col("_raw"), F.col("y_prob")).alias("_p")
+    )
+    long = both.select(F.col("y_true").alias("_y"), F.posexplode("_p").alias("_c", "_s")).filter(F.col("_s").isNotNull())
+    hit = F.col("_y") == F.col("_c") % num_classes
+    counts = long.groupBy(F.col("_c").cast("int").alias("class"), F.col("_s").cast("float").alias("score")).agg(
+        F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
+    )
+    micro = micro_counts(counts.filter(F.col("class") >= num_classes))
+    return areas(cumulative(counts.unionByName(micro)))
+
+
 def average_precision(preds: DataFrame) -> DataFrame:
     """Average precision per class and micro (class -1), with the macro mean over usable classes."""
-    one = ovr_areas(preds).select("class", F.col("pr_auc").alias("ap"))
-    micro = areas(cumulative(score_counts(preds, micro=True))).select("class", F.col("pr_auc").alias("ap"))
+    per = areas(cumulative(_all_counts(preds, True))).select("class", F.col("pr_auc").alias("ap"))
     macro = F.avg(F.when(F.col("class") >= 0, F.col("ap"))).over(Window.partitionBy(F.lit(0)))
-    return one.unionByName(micro).withColumn("ap_macro", macro)
+    return per.withColumn("ap_macro", macro)
 
 
 def approx_auc(preds: DataFrame, bins: int = 4096) -> DataFrame:
@@ -192,7 +216,7 @@ def approx_auc(preds: DataFrame, bins: int = 4096) -> DataFrame:
 # ------------------------------------------------------------------ curves
 def _all_counts(preds: DataFrame, micro: bool) -> DataFrame:
     counts = score_counts(preds)
-    return counts.unionByName(score_counts(preds, micro=True)) if micro else counts
+    return counts.unionByName(micro_counts(counts)) if micro else counts
 
 
 def roc_points(preds: DataFrame, micro: bool = True, max_points: int | None = None) -> DataFrame:

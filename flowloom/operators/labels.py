@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ def strip_labels(df: DataFrame, label: str, out: str | None = None) -> DataFrame
 
 
 def merge_table(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    rows = [(str(k), str(v)) for k, v in mapping.items()]
-    return df.sparkSession.createDataFrame(rows, "src string, dst string")
+    table = pa.table({"src": list(mapping), "dst": list(mapping.values())}, pa.schema([("src", pa.string()), ("dst", pa.string())]))
+    return df.sparkSession.createDataFrame(table)
 
 
 def unknown_sources(df: DataFrame, label: str, mapping: Mapping[str, str]) -> DataFrame:
@@ -26,6 +27,14 @@ def unknown_sources(df: DataFrame, label: str, mapping: Mapping[str, str]) -> Da
     return merge_table(df, mapping).select("src").join(known, "src", "left_anti")
 
 
+def require_known(df: DataFrame, label: str, mapping: Mapping[str, str]) -> None:
+    """Error when the merge map names a label that never occurs."""
+    if mapping:
+        bad = [r.src for r in unknown_sources(df, label, mapping).collect()]  # at most the map
+        if bad:
+            raise ValueError(f"merge map names labels that do not occur: {sorted(bad)}")
+
+
 def merge_labels(
     df: DataFrame, label: str, mapping: Mapping[str, str], check: bool = True
 ) -> DataFrame:
@@ -33,9 +42,7 @@ def merge_labels(
     if not mapping:
         return df
     if check:
-        bad = [r.src for r in unknown_sources(df, label, mapping).collect()]  # at most the map
-        if bad:
-            raise ValueError(f"merge map names labels that do not occur: {sorted(bad)}")
+        require_known(df, label, mapping)
     table = small(merge_table(df, mapping), "merge map")
     return (
         df.join(table, F.col(label) == F.col("src"), "left")

@@ -13,16 +13,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.text import seeded_hash
-from flowloom.operators.bounds import MAX_CLASSES, bounded, small
+from flowloom.operators.bounds import MAX_CLASSES, bounded, pinned, small
 
-BUCKET_DIGITS = 4  # 65,536 buckets per group
+BUCKET_DIGITS = 4  # 65,536 buckets per group when every row needs its rank
+CUT_DIGITS = 3  # 4,096 buckets per group and level when only some ranks are wanted
+RANK_ROWS = 2_000_000  # rows of one bucket that one task may sort
+HASH_DIGITS = 32
 
 
-def _hashed(df: DataFrame, key: str | Sequence[str], seed, group: str | None, digits: int) -> DataFrame:
-    keys = [key] if isinstance(key, str) else list(key)
-    g = F.col(group) if group else F.lit(0)
-    h = seeded_hash(seed, *keys)
-    return df.select(g.alias("_g"), h.alias("_h")).withColumn("_b", F.substring("_h", 1, digits))
+def _edges(hist: DataFrame, group: list[str], lims: Column) -> DataFrame:
+    """Buckets in which a wanted rank falls, with the rank inside the bucket.
+
+    ``hist`` has bucket counts _c and columns the ranks ``lims`` are computed from.
+    """
+    in_group = Window.partitionBy(*group)
+    cum = hist.select(
+        "*",
+        F.sum("_c").over(in_group.orderBy("_b")).alias("_upto"),
+        F.sum("_c").over(in_group).alias("_n"),
+    ).withColumn("_lims", lims)
+    return (
+        cum.select("*", F.posexplode("_lims").alias("_i", "_lim"))
+        .filter((F.col("_lim") > F.col("_upto") - F.col("_c")) & (F.col("_lim") <= F.col("_upto")))
+        .withColumn("_at", F.col("_lim") - F.col("_upto") + F.col("_c"))
+    )
 
 
 def hash_cuts(
@@ -32,42 +46,52 @@ def hash_cuts(
     limits: Callable[[Column], Sequence[Column]] | None = None,
     group: str | None = None,
     limit_table: DataFrame | None = None,
-    digits: int = BUCKET_DIGITS,
+    digits: int = CUT_DIGITS,
+    rank_rows: int = RANK_ROWS,
 ) -> DataFrame:
-    """Per group, the hash of the row at each wanted rank: (_g, _n, _t0, _t1, ...).
+    """Per group, the hash of the row at each wanted rank: (_g, _t0, _t1, ...), computed at once.
+
+    ``limits`` maps the group size to ascending ranks; ``limit_table`` (_g, _lims) gives one rank
+    per group directly. A rank of 0 yields NULL. Rows at or before a rank are then found by
+    comparing hashes, which needs no shuffle of the rows themselves.
 
-    ``limits`` maps the group size to ascending ranks; ``limit_table`` (_g, _lims) gives them
-    directly. A rank of 0 yields NULL. Rows at or before a rank are then found by comparing
-    hashes, which needs no shuffle of the rows themselves.
+    The rank is narrowed down by histograms over ever longer hash prefixes until the bucket that
+    holds it has at most ``rank_rows`` rows; only those are sorted. Keys must be unique.
     """
-    hashed = _hashed(df, key, seed, group, digits)
-    hist = hashed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    in_group = Window.partitionBy("_g")
-    cum = hist.select(
-        "*",
-        F.sum("_c").over(in_group.orderBy("_b")).alias("_upto"),
-        F.sum("_c").over(in_group).alias("_n"),
-    )
-    n_cuts = 1
+    keys = [key] if isinstance(key, str) else list(key)
+    g = F.col(group) if group else F.lit(0)
+    hashed = df.select(g.alias("_g"), seeded_hash(seed, *keys).alias("_h"))
+    count = F.count(F.lit(1)).alias("_c")
+    length = digits
+    hist = hashed.groupBy("_g", F.substring("_h", 1, length).alias("_b")).agg(count)
     if limit_table is None:
-        lims = list(limits(F.col("_n")))
-        n_cuts = len(lims)
-        cum = cum.withColumn("_lims", F.array(*[x.cast("long") for x in lims]))
+        lims = F.array(*[x.cast("long") for x in limits(F.col("_n"))])
+        n_cuts = len(limits(F.col("_n")))
     else:
-        cum = cum.join(small(limit_table, "rank limits"), "_g")
-    edges = cum.select("*", F.posexplode("_lims").alias("_j", "_lim")).filter(
-        (F.col("_lim") > F.col("_upto") - F.col("_c")) & (F.col("_lim") <= F.col("_upto"))
-    ).select("_g", "_b", "_n", "_j", (F.col("_lim") - F.col("_upto") + F.col("_c")).alias("_at"))
+        hist = hist.join(small(limit_table, "rank limits"), "_g")
+        lims, n_cuts = F.col("_lims"), 1
+    what, most = "groups of a ranked draw", n_cuts * MAX_CLASSES
+    wanted = ["_g", "_j", "_b", "_at", "_c"]
+    edges = pinned(_edges(hist, ["_g"], lims).withColumnRenamed("_i", "_j").select(wanted), what, most)
+    while (edges.agg(F.max("_c")).first()[0] or 0) > rank_rows:
+        if length >= HASH_DIGITS:
+            raise ValueError(f"keys {keys} are not unique")
+        inside = hashed.withColumn("_b", F.substring("_h", 1, length)).join(
+            F.broadcast(edges.drop("_c")), ["_g", "_b"]
+        )
+        length = min(length + digits, HASH_DIGITS)
+        hist = inside.groupBy("_g", "_j", "_at", F.substring("_h", 1, length).alias("_b")).agg(count)
+        finer = _edges(hist.withColumnRenamed("_at", "_want"), ["_g", "_j"], F.array("_want"))
+        edges = pinned(finer.select(wanted), what, most)
     ordered = Window.partitionBy("_g", "_b", "_j").orderBy("_h")
     found = (
-        hashed.join(small(edges, "rank limits", n_cuts * MAX_CLASSES), ["_g", "_b"])
+        hashed.withColumn("_b", F.substring("_h", 1, length))
+        .join(F.broadcast(edges.drop("_c")), ["_g", "_b"])
         .withColumn("_rn", F.row_number().over(ordered))
         .filter(F.col("_rn") == F.col("_at"))
     )
-    picks = [
-        F.max(F.when(F.col("_j") == j, F.col("_h"))).alias(f"_t{j}") for j in range(n_cuts)
-    ]
-    return found.groupBy("_g").agg(*picks)
+    picks = [F.max(F.when(F.col("_j") == j, F.col("_h"))).alias(f"_t{j}") for j in range(n_cuts)]
+    return pinned(found.groupBy("_g").agg(*picks), what)
 
 
 def part_by_cuts(
@@ -81,7 +105,7 @@ def part_by_cuts(
 ) -> DataFrame:
     """Label rows by the first cut that contains them; the last name takes the rest.
 
-    The class table is bounded and broadcast; the rows are not moved.
+    ``cuts`` is a pinned table of one row per group and is broadcast; the rows are not moved.
     """
     keys = [key] if isinstance(key, str) else list(key)
     h = seeded_hash(seed, *keys)
@@ -91,7 +115,7 @@ def part_by_cuts(
         cond = F.coalesce(h <= F.col(f"_t{j}"), F.lit(False))
         label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
     assert label is not None
-    joined = df.join(small(cuts, "rank cuts"), g == F.col("_g"), "left")
+    joined = df.join(F.broadcast(cuts), g == F.col("_g"), "left")
     drop = ["_g"] + [f"_t{j}" for j in range(len(names) - 1)]
     return joined.withColumn(out, label.otherwise(F.lit(names[-1]))).drop(*drop)
 

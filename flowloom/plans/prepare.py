@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowloom.operators import labels as L
 from flowloom.operators import sampling as S
 from flowloom.operators import stats as E
+from flowloom.operators.bounds import pinned
 
 
 @dataclass(frozen=True)
@@ -43,20 +44,19 @@ def prepare_dataset(
     of all of them.
     """
     slim = df.select(key, label, *[F.col(f"`{c}`") for c in features])
-    merged = L.merge_labels(slim, label, merge or {})
-    classes = L.class_table(merged, label)
+    raw_labels = pinned(slim.select(label).distinct(), "labels")
+    L.require_known(raw_labels, label, merge or {})
+    merged = L.merge_labels(slim, label, merge or {}, check=False)
+    classes = pinned(L.class_table(L.merge_labels(raw_labels, label, merge or {}, check=False), label), "classes")
     chosen = merged
     if target_rows:
         chosen = S.subsample(merged, key, label, target_rows, mode, seed)
     rows = S.stratified_split(chosen, key, label, seed=seed).join(F.broadcast(classes), label)
-    stats = E.scaler_stats(E.column_stats(rows, features))
+    stats = pinned(E.scaler_stats(E.column_stats(rows, features)), "feature columns")
     train = rows.filter(F.col("split") == "train")
     sample = S.first_rows(train, key, verify_rows) if verify_rows else train
     drops = E.column_drop_report(stats, sample, missing_threshold)
-    # a table of one row per feature: read once, so the fits above are not repeated by every user
-    spark = df.sparkSession
-    stats = spark.createDataFrame(stats.collect(), stats.schema)
-    drops = spark.createDataFrame(drops.collect(), drops.schema)
+    drops = pinned(drops, "feature columns")
     scaler = E.Scaler.collect(E.subset_stats(stats, drops))
     scaled = E.minmax_scale(rows, scaler).select(key, label, "code", "split", *[F.col(f"`{c}`") for c in scaler.columns])
     return Prepared(rows, classes, stats, drops, scaler, scaled)

@@ -122,7 +122,7 @@ def _stats_rows() -> str:
         x = _finite(c)
         rows.append(
             f"SELECT {i} AS ordinal, '{c}' AS \"column\", count(*) AS n_rows, count({x}) AS n_finite, "
-            f"count(*) - count({x}) AS n_missing, coalesce(sum({x}), 0) AS total, min({x}) AS lo, max({x}) AS hi "
+            f"count(*) - count({x}) AS n_missing, coalesce(sum(({x})::DECIMAL(18, 2))::DOUBLE, 0) AS total, min({x}) AS lo, max({x}) AS hi "
             "FROM train"
         )
     return " UNION ALL ".join(rows)

@@ -8,7 +8,7 @@ from flowloom.workload.inputs import SEED, flow_split, flows, table, with_
 from flowloom.workload.registry import query, r
 
 # Targets below the table sizes at every scale, so that sampling takes place.
-CAP_TARGET = 600
+CAP_TARGET = 1_000
 PLAIN_N = 500
 
 
@@ -17,44 +17,44 @@ def _ranked(source: str, label: str, key: str = "row_key") -> str:
  count(*) OVER (PARTITION BY {label}) AS n, count(*) OVER () AS total FROM {source})"""
 
 
-_PARTS = "parts AS (SELECT p_partkey AS row_key, p_brand AS label FROM part)"
-_COUNTS = "cc AS (SELECT label, count(*) AS n FROM parts GROUP BY 1)"
+_LABELLED = "labelled AS (SELECT o_orderkey AS row_key, o_orderpriority AS label FROM orders)"
+_COUNTS = "cc AS (SELECT label, count(*) AS n FROM labelled GROUP BY 1)"
 # smallest candidate cap that reaches the target, by definition
 _CAP = f"""cap AS (SELECT min(c) AS cap FROM (SELECT unnest(range(1, (SELECT max(n) + 1 FROM cc))) AS c)
  WHERE (SELECT sum(least(n, c)) FROM cc) >= least({CAP_TARGET}, (SELECT sum(n) FROM cc)))"""
 
 
-def parts(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("row_key"), F.col("p_brand").alias("label"))
+def labelled(spark, sf):
+    return flows(spark, sf).select("row_key", "label")
 
 
-@query("class_cap", f"WITH {_PARTS}, {_COUNTS}, {_CAP} SELECT cap::BIGINT AS cap FROM cap")
+@query("class_cap", f"WITH {_LABELLED}, {_COUNTS}, {_CAP} SELECT cap::BIGINT AS cap FROM cap")
 def class_cap(spark, sf):
-    return S.class_cap(L.class_counts(parts(spark, sf), "label"), CAP_TARGET)
+    return S.class_cap(L.class_counts(labelled(spark, sf), "label"), CAP_TARGET)
 
 
-@query("subsample_capped", f"WITH {_PARTS}, {_COUNTS}, {_CAP}, {_ranked('parts', 'label')} "
+@query("subsample_capped", f"WITH {_LABELLED}, {_COUNTS}, {_CAP}, {_ranked('labelled', 'label')} "
        f"SELECT row_key, label FROM ranked WHERE rn <= (SELECT cap FROM cap) OR total <= {CAP_TARGET}")
 def subsample_capped(spark, sf):
-    return S.subsample(parts(spark, sf), "row_key", "label", CAP_TARGET, "capped", SEED)
+    return S.subsample(labelled(spark, sf), "row_key", "label", CAP_TARGET, "capped", SEED)
 
 
 def _prop(target: int) -> str:
     return f"least(n, greatest(1, round_even(n * ({target}::DOUBLE / total), 0)))"
 
 
-@query("subsample_proportional", f"WITH {_PARTS}, {_ranked('parts', 'label')} "
+@query("subsample_proportional", f"WITH {_LABELLED}, {_ranked('labelled', 'label')} "
        f"SELECT row_key, label FROM ranked WHERE rn <= {_prop(CAP_TARGET)} OR total <= {CAP_TARGET}")
 def subsample_proportional(spark, sf):
-    return S.subsample(parts(spark, sf), "row_key", "label", CAP_TARGET, "proportional", SEED)
+    return S.subsample(labelled(spark, sf), "row_key", "label", CAP_TARGET, "proportional", SEED)
 
 
-@query("subsample_report", f"WITH {_PARTS}, {_COUNTS}, {_CAP}, t AS (SELECT sum(n) AS total FROM cc), "
+@query("subsample_report", f"WITH {_LABELLED}, {_COUNTS}, {_CAP}, t AS (SELECT sum(n) AS total FROM cc), "
        f"""x AS (SELECT label AS class, n AS n_before, CASE WHEN total <= {CAP_TARGET} THEN n ELSE least(n, cap) END AS n_after
  FROM cc, cap, t) SELECT class, n_before, n_after, n_before = n_after AS kept_whole,
  (sum(n_before) OVER ())::BIGINT AS total_before, (sum(n_after) OVER ())::BIGINT AS total_after FROM x""")
 def subsample_report(spark, sf):
-    return S.subsample_report(parts(spark, sf), "label", CAP_TARGET, "capped")
+    return S.subsample_report(labelled(spark, sf), "label", CAP_TARGET, "capped")
 
 
 @query("stratified_split", with_("split") + "SELECT row_key, label, split FROM split")

@@ -15,10 +15,11 @@ def _rounded(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-@query("column_stats", with_("stats") + f"""SELECT ordinal, "column", n_rows, n_finite, n_missing, {r('total')} AS total,
+@query("column_stats", with_("stats") + f"""SELECT ordinal, "column", n_rows, n_finite, n_missing, {r('total', 2)} AS total,
  {r('lo')} AS "min", {r('hi')} AS "max" FROM stats""")
 def column_stats(spark, sf):
-    return _rounded(E.column_stats(flow_split(spark, sf), FEATURES), "total", "min", "max")
+    stats = E.column_stats(flow_split(spark, sf), FEATURES)
+    return _rounded(stats.withColumn("total", F.round("total", 2)), "min", "max")
 
 
 _SCALER_COLS = f"""ordinal, "column", n_rows, n_finite, n_missing, {r('lo')} AS "min", {r('hi')} AS "max", {r('mean')} AS mean,
