@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +26,20 @@ def bounded(df: DataFrame, max_rows: int, what: str) -> DataFrame:
     )
 
 
+def fetched(df: DataFrame, what: str, max_rows: int = MAX_CLASSES) -> pa.Table:
+    """Rows of a small fitted table; more than ``max_rows`` is an error."""
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        raise ValueError(f"{what}: more than {max_rows} rows")
+    return table
+
+
 def pinned(df: DataFrame, what: str, max_rows: int = MAX_CLASSES) -> DataFrame:
     """A small fitted table, computed once and held as a constant of later plans.
 
     Without it every plan that uses the table would repeat the scans behind it.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows")
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    return df.sparkSession.createDataFrame(fetched(df, what, max_rows), schema=df.schema)
 
 
 def small(df: DataFrame, what: str, max_rows: int = MAX_CLASSES) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.text import strip_label
-from flowloom.operators.bounds import MAX_CLASSES, bounded, small
+from flowloom.operators.bounds import MAX_CLASSES, bounded, fetched, small
 
 
 def strip_labels(df: DataFrame, label: str, out: str | None = None) -> DataFrame:
@@ -58,6 +58,13 @@ def class_table(df: DataFrame, label: str, code: str = "code") -> DataFrame:
     return classes.select(label, position.cast("short").alias(code))
 
 
+def class_constants(df: DataFrame, label: str, code: str = "code") -> DataFrame:
+    """``class_table`` held as a constant of later plans, from labels read once."""
+    names = sorted(fetched(df.select(label).distinct(), f"classes in {label}").column(0).to_pylist())
+    table = pa.table({label: pa.array(names, pa.string()), code: pa.array(range(len(names)), pa.int16())})
+    return df.sparkSession.createDataFrame(table)
+
+
 def encode_labels(df: DataFrame, label: str, code: str = "code") -> DataFrame:
     return df.join(F.broadcast(class_table(df, label, code)), label)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.text import seeded_hash
-from flowloom.operators.bounds import MAX_CLASSES, bounded, pinned, small
+from flowloom.operators.bounds import MAX_CLASSES, bounded, fetched, pinned, small
 
 BUCKET_DIGITS = 4  # 65,536 buckets per group when every row needs its rank
 CUT_DIGITS = 3  # 4,096 buckets per group and level when only some ranks are wanted
@@ -72,8 +72,10 @@ def hash_cuts(
         lims, n_cuts = F.col("_lims"), 1
     what, most = "groups of a ranked draw", n_cuts * MAX_CLASSES
     wanted = ["_g", "_j", "_b", "_at", "_c"]
-    edges = pinned(_edges(hist, ["_g"], lims).withColumnRenamed("_i", "_j").select(wanted), what, most)
-    while (edges.agg(F.max("_c")).first()[0] or 0) > rank_rows:
+    first = _edges(hist, ["_g"], lims).withColumnRenamed("_i", "_j").select(wanted)
+    found_at = fetched(first, what, most)
+    edges = df.sparkSession.createDataFrame(found_at, schema=first.schema)
+    while max(found_at.column("_c").to_pylist(), default=0) > rank_rows:
         if length >= HASH_DIGITS:
             raise ValueError(f"keys {keys} are not unique")
         inside = hashed.withColumn("_b", F.substring("_h", 1, length)).join(
@@ -82,7 +84,8 @@ def hash_cuts(
         length = min(length + digits, HASH_DIGITS)
         hist = inside.groupBy("_g", "_j", "_at", F.substring("_h", 1, length).alias("_b")).agg(count)
         finer = _edges(hist.withColumnRenamed("_at", "_want"), ["_g", "_j"], F.array("_want"))
-        edges = pinned(finer.select(wanted), what, most)
+        found_at = fetched(finer.select(wanted), what, most)
+        edges = df.sparkSession.createDataFrame(found_at, schema=first.schema)
     ordered = Window.partitionBy("_g", "_b", "_j").orderBy("_h")
     found = (
         hashed.withColumn("_b", F.substring("_h", 1, length))

@@ -44,10 +44,13 @@ def prepare_dataset(
     of all of them.
     """
     slim = df.select(key, label, *[F.col(f"`{c}`") for c in features])
-    raw_labels = pinned(slim.select(label).distinct(), "labels")
-    L.require_known(raw_labels, label, merge or {})
+    if merge:
+        raw = L.class_constants(slim, label)
+        L.require_known(raw, label, merge)
+        classes = L.class_constants(L.merge_labels(raw, label, merge, check=False), label)
+    else:
+        classes = L.class_constants(slim, label)
     merged = L.merge_labels(slim, label, merge or {}, check=False)
-    classes = pinned(L.class_table(L.merge_labels(raw_labels, label, merge or {}, check=False), label), "classes")
     chosen = merged
     if target_rows:
         chosen = S.subsample(merged, key, label, target_rows, mode, seed)
