@@ -20,4 +20,6 @@ def strip_label(c: Column | str) -> Column:
 
 def seeded_hash(seed: int | str, *keys: Column | str) -> Column:
     """Pseudo-random but layout-independent order of rows: md5 of seed and key."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[as_column(k).cast("string") for k in keys]))
+    parts = [F.lit(f"{seed}|") if i == 0 else F.lit("|") for i in range(len(keys))]
+    texts = [c for sep, k in zip(parts, keys) for c in (sep, as_column(k).cast("string"))]
+    return F.md5(F.concat(*texts))

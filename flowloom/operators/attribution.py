@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from flowloom.functions.text import seeded_hash
 from flowloom.functions.vectors import argmax_class
 from flowloom.functions.wavelet import SUBBANDS
-from flowloom.operators.bounds import bounded
 from flowloom.operators.ranking import hash_rank
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -107,14 +106,10 @@ def fold_attribution(
 
     ``attribution`` is an array of bands, each an array over positions; padding is dropped.
     """
-    bands = values.select(F.explode(attribution).alias("_b"), F.lit(1).alias("_one"))
-    sums = bands.select(F.posexplode("_b").alias("pos", "_v")).filter(F.col("pos") < n_features)
-    per = sums.groupBy("pos").agg(F.sum(F.abs("_v")).alias("_s"))
-    n = values.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    mean = (
-        bounded(per, n_features, "features").withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
-        .select("pos", (F.col("_s") / F.col("_n")).alias("mean_abs"))
-    )
+    bands = values.select(F.posexplode(attribution).alias("_band", "_b"))
+    cells = bands.select("_band", F.posexplode("_b").alias("pos", "_v")).filter(F.col("pos") < n_features)
+    # every row has each band once, so the mean over rows is the mean over cells times the bands
+    mean = cells.groupBy("pos").agg((F.avg(F.abs("_v")) * (F.max("_band") + 1)).alias("mean_abs"))
     return ranked_attribution(mean, names)
 
 

@@ -32,18 +32,20 @@ def append_violations(history: DataFrame, new_rows: DataFrame, epoch: str = "epo
 
 
 def append_unique(history: DataFrame, new_rows: DataFrame, epoch: str = "epoch") -> DataFrame:
-    """History plus new rows; an epoch that occurs twice fails the query."""
-    both = history.unionByName(new_rows)
-    n = F.count(F.lit(1)).over(Window.partitionBy(epoch))
-    bad = F.raise_error(F.lit("an epoch is already in the history")).cast("boolean")
-    return both.withColumn("_n", n).filter(F.when(F.col("_n") > 1, bad).otherwise(F.lit(True))).drop("_n")
+    """History plus new rows. An epoch that occurs already, or twice, is an error."""
+    bad = append_violations(history, new_rows, epoch).limit(5).collect()  # examples for the message
+    if bad:
+        raise ValueError(f"epochs already in the history: {sorted(r[epoch] for r in bad)}")
+    return history.unionByName(new_rows)
 
 
 def sequence_gaps(history: DataFrame, epoch: str = "epoch") -> DataFrame:
     """Keys missing from 1..n and keys that repeat, n being the number of rows: (epoch, problem)."""
     counts = history.groupBy(F.col(epoch).cast("long").alias("epoch")).agg(F.count(F.lit(1)).alias("_c"))
     n = history.agg(F.count(F.lit(1)).alias("_n"))
-    wanted = n.filter(F.col("_n") > 0).select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("epoch"))
+    too_long = F.raise_error(F.lit(f"history has more than {MAX_EPOCHS} rows")).cast("long")
+    last = F.when(F.col("_n") > MAX_EPOCHS, too_long).otherwise(F.col("_n"))
+    wanted = n.filter(F.col("_n") > 0).select(F.explode(F.sequence(F.lit(1).cast("long"), last)).alias("epoch"))
     missing = wanted.join(counts, "epoch", "left_anti").select("epoch", F.lit("missing").alias("problem"))
     repeated = counts.filter(F.col("_c") > 1).select("epoch", F.lit("repeated").alias("problem"))
     return missing.unionByName(repeated)

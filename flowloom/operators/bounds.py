@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +45,12 @@ def pinned(df: DataFrame, what: str, max_rows: int = MAX_CLASSES) -> DataFrame:
     return df.sparkSession.createDataFrame(fetched(df, what, max_rows), schema=df.schema)
 
 
+def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
+    """One-row tables with different columns as one row, without a join."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def small(df: DataFrame, what: str, max_rows: int = MAX_CLASSES) -> DataFrame:
     """Broadcast side with its bound enforced."""
     return F.broadcast(bounded(df, max_rows, what))

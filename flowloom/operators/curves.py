@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.numeric import ratio
 from flowloom.functions.vectors import let
+from flowloom.operators.bounds import fetched
 from flowloom.operators.sampling import stratified_sample
 
 MICRO = -1  # class code of the curve over all flattened (row, class) decisions
@@ -25,7 +26,7 @@ GRID = 1000  # points of the common FPR axis
 
 def present_classes(preds: DataFrame, true: str = "y_true") -> list[int]:
     """Codes that occur as true labels; at most one per class."""
-    return sorted(r[0] for r in preds.select(F.col(true).cast("int")).distinct().collect())
+    return sorted(fetched(preds.select(F.col(true).cast("int")).distinct(), "classes").column(0).to_pylist())
 
 
 def renormalised(preds: DataFrame, present: Sequence[int], prob: str = "y_prob") -> DataFrame:
@@ -55,20 +56,29 @@ def score_counts(preds: DataFrame, true: str = "y_true", prob: str = "y_prob") -
     )
 
 
-def micro_counts(counts: DataFrame) -> DataFrame:
-    """All classes flattened into one problem, from the counts of ``score_counts``."""
-    return counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(
-        F.lit(MICRO).alias("class"), "score", "pos", "neg"
+def micro_counts(counts: DataFrame, from_class: int = 0) -> DataFrame:
+    """Classes from ``from_class`` on flattened into one problem, from the counts of ``score_counts``.
+
+    Other classes are left out after the aggregate: a filter before it would keep this branch from
+    sharing the shuffled counts with the per-class one.
+    """
+    wanted = F.col("class") >= from_class
+    part = lambda c: F.coalesce(F.sum(F.when(wanted, F.col(c))), F.lit(0)).alias(c)
+    return (
+        counts.groupBy("score").agg(part("pos"), part("neg"))
+        .filter(F.col("pos") + F.col("neg") > 0)
+        .select(F.lit(MICRO).alias("class"), "score", "pos", "neg")
     )
 
 
 def _cell(score: Column) -> Column:
     s = score.cast("double")
     edge = 1000 * CELLS_PER_LOGIT
-    odds = F.log(s / (1 - s)) * CELLS_PER_LOGIT
-    return (
-        F.when(s <= 0, F.lit(-edge)).when(s >= 1, F.lit(edge)).otherwise(F.floor(odds)).cast("int")
-    )
+    odds = F.floor(F.log(s / (1 - s)) * CELLS_PER_LOGIT)
+    inner = F.when(s <= 0, F.lit(-edge)).when(s >= 1, F.lit(edge)).otherwise(odds)
+    # never NULL: no null check is then added to one side of the join below, and both sides read
+    # the same shuffled counts
+    return F.coalesce(inner, F.lit(-edge).cast("long")).cast("int")
 
 
 def _shifted(rows: DataFrame, totals: dict[str, Column], extra: Sequence[Column] = ()) -> DataFrame:
@@ -188,8 +198,7 @@ def raw_and_renormalised_areas(preds: DataFrame, num_classes: int) -> DataFrame:
     counts = long.groupBy(F.col("_c").cast("int").alias("class"), F.col("_s").cast("float").alias("score")).agg(
         F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
     )
-    micro = micro_counts(counts.filter(F.col("class") >= num_classes))
-    return areas(cumulative(counts.unionByName(micro)))
+    return areas(cumulative(counts.unionByName(micro_counts(counts, num_classes))))
 
 
 def average_precision(preds: DataFrame) -> DataFrame:
@@ -229,38 +238,40 @@ def roc_points(preds: DataFrame, micro: bool = True, max_points: int | None = No
     corners = cum.filter("corner")
     numbered = _shifted(corners, {"kept": F.count(F.lit(1))})
     inside = Window.partitionBy("class", "_cell").orderBy(F.desc("score"))
-    points = numbered.select(
-        "class",
-        (F.col("kept_above") + F.row_number().over(inside)).alias("idx"),  # 0 is the origin
-        (F.col("kept_all") + 1).alias("n_points"),
-        (F.col("fp") / F.col("n_neg")).alias("fpr"),
-        (F.col("tp") / F.col("n_pos")).alias("tpr"),
-        F.col("score").cast("double").alias("threshold"),
-    )
-    zero, none = F.lit(0.0), F.lit(None).cast("double")
-    origin = points.groupBy("class").agg(F.max("n_points").alias("n_points")).select(
-        "class", F.lit(0).cast("long").alias("idx"), "n_points", zero.alias("fpr"), zero.alias("tpr"), none.alias("threshold")
-    )
-    return _finish(points.unionByName(origin), max_points)
+    nth = numbered.withColumn("_nth", F.col("kept_above") + F.row_number().over(inside))
+
+    def point(idx: Column, fpr: Column, tpr: Column, threshold: Column) -> Column:
+        return F.struct(
+            F.col("class"), idx.cast("long").alias("idx"), (F.col("kept_all") + 1).alias("n_points"),
+            fpr.alias("fpr"), tpr.alias("tpr"), threshold.cast("double").alias("threshold"),
+        )
+
+    here = point(F.col("_nth"), F.col("fp") / F.col("n_neg"), F.col("tp") / F.col("n_pos"), F.col("score"))
+    origin = point(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(None))
+    return _finish(_with_extra(nth, F.col("_nth") == 1, here, origin), max_points)
+
+
+def _with_extra(rows: DataFrame, where: Column, here: Column, extra: Column) -> DataFrame:
+    """Every row as ``here``; rows that satisfy ``where`` also as ``extra``. No second pass is needed."""
+    return rows.select(F.inline(F.when(where, F.array(here, extra)).otherwise(F.array(here))))
 
 
 def pr_points(preds: DataFrame, micro: bool = True, max_points: int | None = None) -> DataFrame:
     """Precision and recall per threshold in ascending order, then the point (1, 0)."""
     cum = cumulative(_all_counts(preds, micro)).filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-    points = cum.select(
-        "class",
-        (F.col("n_points") - 1 - F.col("idx")).alias("idx"),
-        (F.col("n_points") + 1).alias("n_points"),
-        (F.col("tp") / F.col("n_pos")).alias("recall"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        F.col("score").cast("double").alias("threshold"),
-    )
-    one = F.lit(1.0)
-    end = points.groupBy("class").agg(F.max("n_points").alias("n_points")).select(
-        "class", (F.col("n_points") - 1).alias("idx"), "n_points",
-        F.lit(0.0).alias("recall"), one.alias("precision"), one.alias("threshold"),
+
+    def point(idx: Column, recall: Column, precision: Column, threshold: Column) -> Column:
+        return F.struct(
+            F.col("class"), idx.alias("idx"), (F.col("n_points") + 1).alias("n_points"),
+            recall.alias("recall"), precision.alias("precision"), threshold.cast("double").alias("threshold"),
+        )
+
+    here = point(
+        F.col("n_points") - 1 - F.col("idx"), F.col("tp") / F.col("n_pos"),
+        F.col("tp") / (F.col("tp") + F.col("fp")), F.col("score"),
     )
-    return _finish(points.unionByName(end), max_points)
+    end = point(F.col("n_points"), F.lit(0.0), F.lit(1.0), F.lit(1.0))
+    return _finish(_with_extra(cum, F.col("idx") == 0, here, end), max_points)
 
 
 def _finish(points: DataFrame, max_points: int | None) -> DataFrame:
@@ -285,22 +296,25 @@ def macro_roc(preds: DataFrame) -> DataFrame:
     steps = GRID - 1
     cum = cumulative(score_counts(preds)).filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
     g = F.expr(f"(fp * {steps} + n_neg - 1) div n_neg")  # smallest grid index at or right of the point
+    # each curve's first row also brings the empty grid and the origin
     point = F.struct(F.col("fp"), F.col("tp"))
-    cells = cum.groupBy("class", g.cast("int").alias("g")).agg(
-        F.min(point).alias("lo"), F.max(point).alias("hi"),
-        F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
-    )
-    origin = F.struct(F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("tp"))
-    per_class = cells.groupBy("class").agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
     empty = F.lit(None).cast("struct<fp:bigint,tp:bigint>")
-    grid = per_class.select(
-        "class", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("g"),
-        "n_pos", "n_neg",
-    ).select(
-        "class", "g", empty.alias("lo"), F.when(F.col("g") == 0, origin).otherwise(empty).alias("hi"), "n_pos", "n_neg"
+    zero = F.lit(0).cast("long")
+    here = F.struct(g.cast("int").alias("g"), point.alias("lo"), point.alias("hi"))
+    origin = F.struct(F.lit(0).alias("g"), empty.alias("lo"), F.struct(zero.alias("fp"), zero.alias("tp")).alias("hi"))
+    grid = F.transform(
+        F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct(i.alias("g"), empty.alias("lo"), empty.alias("hi"))
     )
-    merged = cells.unionByName(grid).groupBy("class", "g").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg")
+    first = F.concat(F.array(here, origin), grid)
+    merged = (
+        cum.select(
+            "class", "n_pos", "n_neg", F.inline(F.when(F.col("idx") == 0, first).otherwise(F.array(here)))
+        )
+        .groupBy("class", "g")
+        .agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+            F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
+        )
     )
     order = Window.partitionBy("class").orderBy("g")
     left = F.last("hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -111,16 +111,22 @@ def part_by_cuts(
     ``cuts`` is a pinned table of one row per group and is broadcast; the rows are not moved.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    h = seeded_hash(seed, *keys)
-    g = F.col(group) if group else F.lit(0)
+    drop = ["_h"]
+    if group:
+        joined = df.join(F.broadcast(cuts), F.col(group) == F.col("_g"), "left")
+        at = [F.col(f"_t{j}") for j in range(len(names) - 1)]
+        drop += ["_g", *[f"_t{j}" for j in range(len(names) - 1)]]
+    else:
+        joined, row = df, cuts.first()  # a single row
+        at = [F.lit(row[f"_t{j}"] if row else None).cast("string") for j in range(len(names) - 1)]
     label: Column | None = None
-    for j, name in enumerate(names[:-1]):
-        cond = F.coalesce(h <= F.col(f"_t{j}"), F.lit(False))
+    for t, name in zip(at, names):
+        cond = F.coalesce(F.col("_h") <= t, F.lit(False))
         label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
     assert label is not None
-    joined = df.join(F.broadcast(cuts), g == F.col("_g"), "left")
-    drop = ["_g"] + [f"_t{j}" for j in range(len(names) - 1)]
-    return joined.withColumn(out, label.otherwise(F.lit(names[-1]))).drop(*drop)
+    # the hash is a column of its own, so that it is computed once however many cuts there are
+    hashed = joined.withColumn("_h", seeded_hash(seed, *keys))
+    return hashed.withColumn(out, label.otherwise(F.lit(names[-1]))).drop(*drop)
 
 
 def hash_rank(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.operators.bounds import MAX_CLASSES, bounded, small
+from flowloom.operators.bounds import MAX_CLASSES, bounded, pinned
 from flowloom.operators.ranking import hash_cuts, hash_rank, part_by_cuts
 
 SPLITS = ("test", "val", "train")
@@ -37,21 +37,18 @@ def class_cap(counts: DataFrame, target: int, n: str = "n") -> DataFrame:
 def _sample_limits(df: DataFrame, label: str, target: int, mode: str) -> DataFrame:
     """(_g, _lims, n, take) per class; without a useful target every row is taken."""
     counts = df.groupBy(F.col(label).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
-    counts = bounded(counts, MAX_CLASSES, f"classes in {label}")
+    counts = pinned(counts, f"classes in {label}")
     whole = Window.partitionBy(F.lit(0))
     n_all = F.sum("n").over(whole)
     if mode == "capped":
-        # the one-row cap joins on a constant; the class table is bounded above
-        cap = class_cap(counts, target).withColumn("_one", F.lit(1))
-        sized = counts.withColumn("_one", F.lit(1)).join(F.broadcast(cap), "_one").drop("_one")
-        take = F.least("n", "cap")
+        cap = class_cap(counts, target).first()["cap"]  # one number
+        take = F.least(F.col("n"), F.lit(cap))
     elif mode == "proportional":
-        sized = counts
         take = F.least(F.col("n"), F.greatest(F.lit(1), F.rint(F.col("n") * (F.lit(float(target)) / n_all))))
     else:
         raise ValueError(f"unknown sampling mode {mode!r}")
     keep_all = (F.lit(target) <= 0) | (F.lit(target) >= n_all)
-    sized = sized.withColumn("_all", keep_all)
+    sized = counts.withColumn("_all", keep_all)
     sized = sized.withColumn("take", F.when(F.col("_all"), F.col("n")).otherwise(take).cast("long"))
     return sized.withColumn("_lims", F.array("take"))
 
@@ -214,14 +211,7 @@ def epoch_batches(
     )
     if not drop_last:
         return out
-    n_full = df.agg((F.floor(F.count(F.lit(1)) / batch_size)).alias("_full"))
-    full = n_full.withColumn("_one", F.lit(1))
-    return (
-        out.withColumn("_one", F.lit(1))
-        .join(F.broadcast(full), "_one")
-        .filter(F.col("batch_id") < F.col("_full"))
-        .drop("_one", "_full")
-    )
+    return out.filter(F.col("batch_id") < df.count() // batch_size)
 
 
 def resume_batches(batches: DataFrame, skip: int) -> DataFrame:

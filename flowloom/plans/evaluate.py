@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators import confusion as C
 from flowloom.operators import curves as R
-
-
-def one_row(parts: list[DataFrame]) -> DataFrame:
-    """One-row tables side by side."""
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+from flowloom.operators.bounds import side_by_side
 
 
 def ranking_metrics(preds: DataFrame, num_classes: int) -> DataFrame:
@@ -37,7 +30,7 @@ def summary_metrics(preds: DataFrame, num_classes: int, benign_code: int = 0) ->
     cm = C.confusion_matrix(C.with_prediction(preds), num_classes)
     counts = C.class_summary(C.per_class(cm)).drop("macro_f1_all")
     binary = C.binary_view(cm, benign_code).select(F.col("FPR").alias("binary_fpr"))
-    return one_row([counts, binary, C.log_loss(preds), ranking_metrics(preds, num_classes)])
+    return side_by_side([counts, binary, C.log_loss(preds), ranking_metrics(preds, num_classes)])
 
 
 def per_class_report(preds: DataFrame, num_classes: int) -> DataFrame:

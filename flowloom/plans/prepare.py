@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowloom.operators import labels as L
 from flowloom.operators import sampling as S
 from flowloom.operators import stats as E
-from flowloom.operators.bounds import pinned
+from flowloom.operators.bounds import pinned, side_by_side
 
 
 @dataclass(frozen=True)
@@ -91,5 +91,4 @@ def data_profile(p: Prepared, n_dataset: DataFrame, label: str) -> DataFrame:
         (F.sum("n") * n_features * 4).alias("cache_bytes"),
     )
     whole = n_dataset.select(F.col("n_rows").alias("total_rows_in_dataset"))
-    merged = one.unionByName(whole, allowMissingColumns=True)
-    return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
+    return side_by_side([one, whole])

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from flowloom.functions.numeric import r6
 from flowloom.functions.text import normalise_name
-from flowloom.operators.bounds import bounded
+from flowloom.operators.bounds import bounded, side_by_side
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -86,12 +86,6 @@ def schema_fingerprint(stats: DataFrame, label: str) -> DataFrame:
 def cache_manifest(fingerprint: DataFrame, files: DataFrame, n_cached: DataFrame) -> DataFrame:
     """Hashes, rows cached (column n_rows of ``n_cached``), rows and files of the dataset: one row."""
     totals = files.filter(F.col("file").isNull()).select(
-        F.col("n_rows").alias("n_rows_in_dataset"), "n_files", "bytes", F.lit(1).alias("_one")
-    )
-    cached = n_cached.select(F.col("n_rows").alias("n_rows_cached"), F.lit(1).alias("_one"))
-    return (
-        fingerprint.withColumn("_one", F.lit(1))
-        .join(F.broadcast(bounded(totals, 1, "file totals")), "_one")
-        .join(F.broadcast(bounded(cached, 1, "cached rows")), "_one")
-        .drop("_one")
+        F.col("n_rows").alias("n_rows_in_dataset"), "n_files", "bytes"
     )
+    return side_by_side([fingerprint, totals, n_cached.select(F.col("n_rows").alias("n_rows_cached"))])
