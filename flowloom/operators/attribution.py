@@ -51,7 +51,7 @@ def permutation_importance(
         "_donor", F.col("_p.j").alias("j"), F.col("_p.r").alias("r"), F.get(features, F.col("_p.j")).alias("_v")
     )
     shuffled = hash_rank(
-        slots, "_donor", seed, group=["j", "r"], digits=2, out="_at",
+        slots, "_donor", seed, group=["j", "r"], digits=3, out="_at",
         order_hash=seeded_hash(seed, "j", "r", "_donor"),
     ).select("j", "r", "_at", "_v")
     swapped = F.transform(

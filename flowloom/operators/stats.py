@@ -98,7 +98,9 @@ def duplicate_candidates(scaler: DataFrame, threshold: float = 0.80, constants:
     kept = scaler.filter(F.col("missing_ratio") <= threshold)
     if constants:
         kept = kept.filter(~F.col("is_constant"))
-    signature = [F.round("min", 9), F.round("max", 9), F.round("mean", 9), F.col("n_missing")]
+    # nine digits of the mean: sums of equal columns from different aggregates may differ in the last bits
+    mean = F.format_string("%.8e", F.col("mean"))
+    signature = [F.round("min", 9), F.round("max", 9), mean, F.col("n_missing")]
     same = Window.partitionBy(*signature).orderBy("ordinal")
     return kept.select(
         "ordinal",

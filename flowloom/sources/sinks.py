@@ -63,12 +63,14 @@ def union_fields(tables: Sequence[DataFrame]) -> DataFrame:
 def schema_fingerprint(stats: DataFrame, label: str) -> DataFrame:
     """One row with hashes of the ordered columns and of the rounded scaler values.
 
-    ``stats`` has one row per feature column.
+    ``stats`` has one row per feature column. Means count with nine digits, so that the order in
+    which partitions are summed does not show in the hash.
     """
     rows = bounded(stats, 1_000_000, "feature columns")
     num = lambda c: F.format_string("%.9f", F.round(F.col(c), 9))
-    col = F.struct(F.col("ordinal"), F.trim(F.lower("column")).alias("_n"), F.col("column"))
-    full = F.struct(F.col("ordinal"), F.concat_ws(":", "column", num("min"), num("max"), num("mean")).alias("v"))
+    col = F.struct("ordinal", "column")
+    mean = F.format_string("%.8e", F.col("mean"))
+    full = F.struct(F.col("ordinal"), F.concat_ws(":", "column", num("min"), num("max"), mean).alias("v"))
     agg = rows.agg(
         F.count(F.lit(1)).cast("int").alias("n_features"),
         F.sort_array(F.collect_list(col)).alias("_c"),

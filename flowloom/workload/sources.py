@@ -37,6 +37,14 @@ def file_profile(spark, sf):
     return P.file_profile(spark, sf)
 
 
+_ROWS = " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS n_rows, 1::BIGINT AS n_files FROM {t}" for t in TABLES)
+
+
+@query("file_row_counts", f"WITH f AS ({_ROWS}) SELECT * FROM f UNION ALL SELECT NULL, sum(n_rows)::BIGINT, count(*) FROM f")
+def file_row_counts(spark, sf):
+    return P.file_profile(spark, sf).select("file", "n_rows", "n_files")
+
+
 @query("distinct_schemas", "SELECT string_agg(column_name, ',' ORDER BY ordinal_position) AS column_list, 1::BIGINT AS n_files, any_value(n)::BIGINT AS n_rows "
        "FROM information_schema.columns JOIN (" + " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in TABLES)
        + ") ON t = table_name GROUP BY table_name")
@@ -60,15 +68,27 @@ def feature_table_sink(spark, sf):
     return back.select("row_key", "split", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in KEPT])
 
 
-@query("cache_manifest")
+def _fingerprint(where: str) -> str:
+    return f"""SELECT count(*)::INT AS n_features,
+ sha256(string_agg("column", chr(10) ORDER BY ordinal) || chr(10) || 'label=label') AS schema_hash,
+ sha256(string_agg("column" || ':' || printf('%.9f', lo) || ':' || printf('%.9f', hi) || ':' || printf('%.8e', mean), chr(10) ORDER BY ordinal)) AS scaler_hash
+ FROM scaler WHERE {where}"""
+
+
+_KEPT_LIST = ", ".join(f"'{c}'" for c in KEPT)
+
+
+@query("cache_manifest", prep_ctes() + f""", fp AS ({_fingerprint(f'"column" IN ({_KEPT_LIST})')})
+ SELECT fp.*, (SELECT count(*) FROM orders) AS n_rows_in_dataset, 1::BIGINT AS n_files, (SELECT count(*) FROM split) AS n_rows_cached FROM fp""")
 def cache_manifest(spark, sf):
     prep = prepared(spark, sf)
     kept = prep.stats.join(prep.drops.select("column"), "column", "left_anti")
     n = prep.rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    return W.cache_manifest(W.schema_fingerprint(kept, "label"), P.file_profile(spark, sf, "orders.parquet"), n)
+    manifest = W.cache_manifest(W.schema_fingerprint(kept, "label"), P.file_profile(spark, sf, "orders.parquet"), n)
+    return manifest.drop("bytes")  # SQL cannot see file sizes
 
 
-@query("schema_fingerprint")
+@query("schema_fingerprint", prep_ctes() + _fingerprint("true"))
 def schema_fingerprint(spark, sf):
     prep = prepared(spark, sf)
     return W.schema_fingerprint(prep.stats, "label")

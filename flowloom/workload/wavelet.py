@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowloom.functions import wavelet as V
+from flowloom.operators.bounds import fetched
 from flowloom.workload.inputs import GEOM, K, WIDTH, swt_ctes, vectors, with_
 from flowloom.workload.registry import query, r
 
@@ -26,9 +27,9 @@ def _rounded(df):
 def swt_geometry(spark, sf):
     widths = vectors(spark, sf).groupBy(F.size("features").alias("n_features")).agg(F.count(F.lit(1)).alias("n_rows"))
     rows = []
-    for w in widths.collect():  # one row per distinct width
-        g = V.geometry(w.n_features)
-        rows.append((w.n_features, w.n_rows, g.n_padded, g.side, g.raised_from, g.final_side, g.image_pad))
+    for w in fetched(widths, "vector widths").to_pylist():
+        g = V.geometry(w["n_features"])
+        rows.append((w["n_features"], w["n_rows"], g.n_padded, g.side, g.raised_from, g.final_side, g.image_pad))
     return spark.createDataFrame(
         rows, "n_features int, n_rows long, n_padded int, side int, raised_from int, final_side int, image_pad int"
     )
