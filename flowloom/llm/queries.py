@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm import quality
 from flowloom.llm.common import table
 from flowloom.llm.licenses import scan_licenses
 from flowloom.llm.secrets import find_secrets
@@ -23,6 +24,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    out = quality.score(docs, model).withColumn("held_out", quality.held_out("doc_id"))
+    return out.withColumn("predicted", (F.col("score") >= quality.KEEP_FROM).cast("int"))
+
+
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))

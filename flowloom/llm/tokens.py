@@ -105,7 +105,7 @@ def counter(path: str) -> Callable[[list[str]], list[list]]:
     spaced: dict[str, int] = {}
 
     def learn(words: set[str]) -> None:
-        fresh = list(words - pieces.keys())
+        fresh = [w for w in words if w not in pieces]
         if fresh:
             pieces.update(zip(fresh, m.counts([w.encode() for w in fresh]).tolist(), strict=True))
 
@@ -116,7 +116,7 @@ def counter(path: str) -> Callable[[list[str]], list[list]]:
         n_special = [len(apart.findall(t)) if apart and any(x in t for x in m.special) else 0 for t in texts]
         runs = [[] if n else t.split(" ") for t, n in zip(texts, n_special, strict=True)]
         firsts = [r.pop(0) if r else "" for r in runs]
-        unseen = set().union(*runs) - spaced.keys()
+        unseen = {w for w in set().union(*runs) if w not in spaced}
         # A space next to other white space or an end: its neighbours decide how it is split.
         uneven = {w for w in unseen if not w or w[0].isspace() or w[-1].isspace()}
         whole = []
