@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -52,17 +52,23 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def source_columns(keep: list[str], text: str) -> list[Column]:
+    return [*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(OWN + "text")]
+
+
 def map_texts(
     df: DataFrame, text: str, keep: list[str], fields: list[T.StructField],
-    make: Callable[[], Callable[[list[str]], list[list]]],
+    make: Callable[[], Callable[..., list[list]]], others: list[str] | None = None,
 ) -> DataFrame:
     """Columns ``keep`` as they are, and new ones that a batch function computes from whole texts.
 
     ``make`` is called once in each task; what it returns takes a list of texts (a null text comes
-    as the empty one) and gives one list for each field. Only the named columns are read, so other
+    as the empty one), and lists of the columns ``others``, and gives one list for each field. Only the named columns are read, so other
     columns may have any names. No row is moved between partitions.
     """
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(OWN + "text"))
+    source = df.select(*source_columns(keep, text))
+    if others:
+        source = df.select(*source_columns(keep, text), *[F.col(f"`{c}`").alias(f"{OWN}other{i}") for i, c in enumerate(others)])
     kept = source.schema.fields[: len(keep)]
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in kept] + [f.name for f in fields]
@@ -73,7 +79,8 @@ def map_texts(
             texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
             for lo, hi in chunks(texts):
                 part = batch.slice(lo, hi - lo)
-                new = [pa.array(c, type=k) for c, k in zip(fn(texts[lo:hi]), types, strict=True)]
+                more = [part.column(len(kept) + 1 + i).to_pylist() for i in range(len(others or []))]
+                new = [pa.array(c, type=k) for c, k in zip(fn(texts[lo:hi], *more), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + new, names=names)
 
     return source.mapInArrow(run, T.StructType([*kept, *fields]))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from flowloom.llm import quality
 from flowloom.llm.common import table
+from flowloom.llm.decontam import leaks_of
+from flowloom.llm.html import extract_pages
 from flowloom.llm.licenses import scan_licenses
+from flowloom.llm.packing import pack_documents
 from flowloom.llm.secrets import find_secrets
 from flowloom.llm.simhash import near_duplicates
 from flowloom.llm.tokens import count_tokens
@@ -24,6 +27,24 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and test item that it contains."""
+    found = leaks_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    leak = found.select("doc_id", F.explode("leaks").alias("leak"))
+    return leak.select("doc_id", F.col("leak.item_id").alias("item_id"), F.round("leak.share", 6).alias("share"))
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
