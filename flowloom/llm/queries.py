@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowloom.llm import chat, quality
 from flowloom.llm.common import table
 from flowloom.llm.decontam import leaks_of
+from flowloom.llm.hnsw import nearest
 from flowloom.llm.html import extract_pages
 from flowloom.llm.licenses import scan_licenses
 from flowloom.llm.packing import pack_documents
@@ -75,6 +76,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
