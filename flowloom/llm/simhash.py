@@ -26,6 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from flowloom.llm.common import cut, long_field, map_texts
 
@@ -231,7 +232,7 @@ def block(i: int):
     return F.shiftrightunsigned("_fl_fp", start).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(``_fl_fp``, ``_fl_root``): the smallest fingerprint reachable, for fingerprints with a link.
 
     Large-star and small-star steps until no edge changes; both shorten paths, so the number of rounds
@@ -253,14 +254,31 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         before = now
 
 
+def classes(df: DataFrame, text: str = "text", keep: list[str] | None = None, limit: int = MAX_BITS) -> DataFrame:
+    """``keep``, ``_fl_fp`` and ``_fl_root``, the smallest fingerprint of the component, of every row."""
+    docs = cut(with_fingerprints(df, text, keep or ["doc_id"]))
+    heads = cut(docs.select("_fl_fp").distinct())
+    rooted = components(links(heads, limit))
+    return docs.join(rooted, "_fl_fp", "left").withColumn("_fl_root", F.coalesce("_fl_root", "_fl_fp"))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = MAX_BITS) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` of every row."""
-    docs = cut(with_fingerprints(df, text, [doc_id]))
-    heads = docs.groupBy("_fl_fp").agg(F.min(f"`{doc_id}`").alias("_fl_first"))
-    heads = cut(heads)
-    linked_to = components(heads, links(heads.select("_fl_fp"), limit))
-    rooted = heads.join(linked_to, "_fl_fp", "left").withColumn("_fl_root", F.coalesce("_fl_root", "_fl_fp"))
-    least = rooted.groupBy("_fl_root").agg(F.min("_fl_first").alias("component_id"))
-    named = rooted.join(least, "_fl_root").select("_fl_fp", "component_id")
-    out = docs.join(named, "_fl_fp")
-    return out.select(f"`{doc_id}`", F.lower(F.lpad(F.hex("_fl_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = classes(df, text, [doc_id], limit)
+    # One row for each component, from partial sums; hot components meet it in a join that adaptive execution splits.
+    named = rows.groupBy("_fl_root").agg(F.min(f"`{doc_id}`").alias("component_id"))
+    return rows.join(named, "_fl_root").select(
+        f"`{doc_id}`", F.lower(F.lpad(F.hex("_fl_fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = MAX_BITS) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the row with the smallest id, once."""
+    marked = df.withColumn("_fl_mark", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    row = F.struct(F.col(f"`{doc_id}`").alias("i"), F.col("_fl_mark").alias("m"))
+    first = classes(marked, text, [doc_id, "_fl_mark"], limit).groupBy("_fl_root").agg(F.min(row).alias("r"))
+    kept = first.select(F.col("r.i").alias("_fl_i"), F.col("r.m").alias("_fl_m"))
+    same = marked[doc_id].eqNullSafe(kept["_fl_i"]) & (marked["_fl_mark"] == kept["_fl_m"])
+    again = W.partitionBy(f"`{doc_id}`", "_fl_mark").orderBy("_fl_mark")
+    left = marked.join(kept, same, "left_semi").withColumn("_fl_again", F.row_number().over(again))
+    return left.where("_fl_again = 1").drop("_fl_mark", "_fl_again")
