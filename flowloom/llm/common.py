@@ -53,7 +53,9 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
 
 
 def source_columns(keep: list[str], text: str) -> list[Column]:
-    return [*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(OWN + "text")]
+    """Kept columns and the text under names of their own, so that no given name can clash."""
+    own = [F.col(f"`{c}`").alias(f"{OWN}keep{i}") for i, c in enumerate(keep)]
+    return [*own, F.col(f"`{text}`").cast("string").alias(OWN + "body")]
 
 
 def map_texts(
@@ -69,7 +71,7 @@ def map_texts(
     source = df.select(*source_columns(keep, text))
     if others:
         source = df.select(*source_columns(keep, text), *[F.col(f"`{c}`").alias(f"{OWN}other{i}") for i, c in enumerate(others)])
-    kept = source.schema.fields[: len(keep)]
+    kept = [T.StructField(c, f.dataType, f.nullable) for c, f in zip(keep, source.schema.fields, strict=False)]
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in kept] + [f.name for f in fields]
 

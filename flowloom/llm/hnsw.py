@@ -104,6 +104,8 @@ class Graph:
 
     @staticmethod
     def link_back(x: np.ndarray, links: np.ndarray, to: np.ndarray, new: np.ndarray) -> None:
+        if not len(to):
+            return
         order = np.argsort(to, kind="stable")
         to, new = to[order], new[order]
         nodes, first, count = np.unique(to, return_index=True, return_counts=True)

@@ -100,7 +100,8 @@ class Page:
             for i in range(len(stack) - 1, 0, -1):
                 tag = self.tags[stack[i]]
                 if tag in tags:
-                    flush()
+                    if any(self.tags[e] in BLOCKS for e in stack[i:]):
+                        flush()
                     del stack[i:]
                     return
                 if tag in bound:

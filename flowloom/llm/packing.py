@@ -1,6 +1,6 @@
 """Best-fit packing of documents into bins of one capacity, with conflicts.
 
-A document takes as many tokens as it has words. Pieces of ``CAPACITY`` tokens fill bins of their own;
+A document takes as many tokens as it has words between ASCII white space. Pieces of ``CAPACITY`` tokens fill bins of their own;
 what is left goes to the bin with the smallest residual that still holds it and has no conflict. Bins
 are kept in order of their residual and carry bitmaps: the duplicate clusters in the bin, and one layer
 of source bits for each document of a source that a bin may hold. A successor search starts at the first
@@ -108,14 +108,14 @@ def pack_documents(
     if capacity < 1 or per_source < 1:
         raise ValueError("capacity and documents of a source are one at least")
     shards = max(1, -(-df.count() // shard))
-    body = F.trim(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    plain = F.lower(F.regexp_replace(body, r"\s+", " "))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    plain = F.lower(F.trim(F.regexp_replace(body, r"\s+", " ")))
     named = df.select(
         F.col(f"`{doc_id}`").cast("string").alias("_fl_id"), F.col(f"`{source}`").cast("string").alias("_fl_source"), plain.alias("_fl_plain"),
     )
     sized = named.select(
         "_fl_id", "_fl_source",
-        F.when(F.col("_fl_plain") == "", 0).otherwise(1 + F.length("_fl_plain") - F.length(F.translate("_fl_plain", " ", ""))).cast("long").alias("_fl_size"),
+        F.when(F.col("_fl_plain") == "", 0).otherwise(F.size(F.split("_fl_plain", " "))).cast("long").alias("_fl_size"),
         F.hex(F.xxhash64("_fl_plain")).alias("_fl_hash"), F.sha2("_fl_plain", 224).alias("_fl_cluster"),
     ).withColumn("_fl_shard", F.pmod(F.xxhash64("_fl_id", "_fl_hash"), F.lit(shards)))
     schema = "_fl_id string, piece int, n_tokens long, shard long, bin long, bin_offset long"

@@ -100,7 +100,7 @@ def battery(run: str) -> tuple[float, float] | None:
     mean, var = k - 1 + n * distance, 2 * (k - 1) + 4 * n * distance
     even = upper_normal((mean - chi) / math.sqrt(var))
     classes = [0 if c.islower() else 1 if c.isupper() else 2 for c in body if c.isalnum()]
-    changes = sum(x != y for x, y in zip(classes, classes[1:]))
+    changes = sum(x != y and (x, y) != (1, 0) for x, y in zip(classes, classes[1:]))  # a capital may begin a word
     text = fisher(even, binomial_tail(changes, len(classes) - 1, CHANGES))
     codes = [ord(c) for c in body]
     middle = sorted(codes)[n // 2]
