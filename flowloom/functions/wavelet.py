@@ -164,8 +164,23 @@ def fixed_width_rows(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(column), width).astype(np.float64, copy=False)
 
 
+#: Rows of one product. A product adds up in an order that depends on its height, so all have the same.
+BLOCK_ROWS = 256
+
+
+def steady_product(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """``x @ matrix`` in blocks of one height, the last filled with zeros: a row's result depends on that row alone."""
+    out = np.empty((len(x), matrix.shape[1]))
+    for lo in range(0, len(x), BLOCK_ROWS):
+        block = x[lo : lo + BLOCK_ROWS]
+        if len(block) < BLOCK_ROWS:
+            block = np.vstack([block, np.zeros((BLOCK_ROWS - len(block), x.shape[1]))])
+        out[lo : lo + BLOCK_ROWS] = (np.ascontiguousarray(block) @ matrix)[: len(x) - lo]
+    return out
+
+
 def with_subbands(df: DataFrame, features: str, geom: Geometry, out: str = "subbands") -> DataFrame:
-    """Matrix form: one product per Arrow batch, rows stay in their partition."""
+    """Matrix form: products over Arrow batches, rows stay in their partition."""
     kept = [f for f in df.schema.fields if f.name != features]
     keep_names = [f.name for f in kept]
     n, bands = geom.n_padded, geom.level + 1
@@ -180,7 +195,7 @@ def with_subbands(df: DataFrame, features: str, geom: Geometry, out: str = "subb
             if rows == 0:
                 continue
             x = fixed_width_rows(batch.column(batch.schema.get_field_index(features)), geom.n_features)
-            flat = pa.array((x @ matrix).reshape(-1))
+            flat = pa.array(steady_product(x, matrix).reshape(-1))
             inner = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, rows * bands * n + 1, n, dtype=np.int32)), flat
             )

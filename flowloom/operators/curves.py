@@ -335,6 +335,6 @@ def macro_roc(preds: DataFrame) -> DataFrame:
     )
 
 
-def curve_sample(preds: DataFrame, key: str = "row_key", cap: int = 2_000_000, seed: int = 42) -> DataFrame:
-    """Rows used for curves: all, or a class-proportional sample above ``cap``."""
+def curve_sample(preds: DataFrame, cap: int, key: str = "row_key", seed: int = 42) -> DataFrame:
+    """A class-proportional sample of ``cap`` rows for a caller who asks for one; no curve here takes it by itself."""
     return stratified_sample(preds, key, "y_true", cap, seed)

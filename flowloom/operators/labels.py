@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.text import strip_label
-from flowloom.operators.bounds import MAX_CLASSES, bounded, fetched, small
+from flowloom.operators.bounds import MAX_CLASSES, bounded, fetched, labelled, small
 
 
 def strip_labels(df: DataFrame, label: str, out: str | None = None) -> DataFrame:
@@ -43,24 +43,25 @@ def merge_labels(
         return df
     if check:
         require_known(df, label, mapping)
-    table = small(merge_table(df, mapping), "merge map")
+    # names that no table has, whatever its columns are called
+    table = small(merge_table(df, mapping).toDF("__merge_src", "__merge_dst"), "merge map")
     return (
-        df.join(table, F.col(label) == F.col("src"), "left")
-        .withColumn(label, F.coalesce("dst", label))
-        .drop("src", "dst")
+        df.join(table, F.col(label) == F.col("__merge_src"), "left")
+        .withColumn(label, F.coalesce("__merge_dst", label))
+        .drop("__merge_src", "__merge_dst")
     )
 
 
 def class_table(df: DataFrame, label: str, code: str = "code") -> DataFrame:
     """Sorted classes with their position as a 16-bit code; too many classes fail the query."""
-    classes = bounded(df.select(label).distinct(), MAX_CLASSES, f"classes in {label}")
+    classes = bounded(labelled(df.select(label).distinct(), label), MAX_CLASSES, f"classes in {label}")
     position = F.row_number().over(Window.orderBy(label)) - 1
     return classes.select(label, position.cast("short").alias(code))
 
 
 def class_constants(df: DataFrame, label: str, code: str = "code") -> DataFrame:
     """``class_table`` held as a constant of later plans, from labels read once."""
-    names = sorted(fetched(df.select(label).distinct(), f"classes in {label}").column(0).to_pylist())
+    names = sorted(fetched(labelled(df.select(label).distinct(), label), f"classes in {label}").column(0).to_pylist())
     table = pa.table({label: pa.array(names, pa.string()), code: pa.array(range(len(names)), pa.int16())})
     return df.sparkSession.createDataFrame(table)
 
@@ -99,15 +100,18 @@ def benign_class(classes: DataFrame, label: str, benign: str = "BENIGN") -> Data
 
 
 def label_count_reconcile(df: DataFrame, label: str, rows_by_file: DataFrame) -> DataFrame:
-    """Labels read per file against the rows of that file: (file, n_rows, n_labels, ok)."""
-    labels = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+    """Labels read per file against the rows of that file: (file, n_rows, n_labels, ok).
+
+    Files are told apart by their whole path, so equal names in two folders stay two rows.
+    """
+    labels = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(
         F.count(label).alias("n_labels")
     )
     return (
-        rows_by_file.select("file", "n_rows")
-        .join(labels, "file", "left")
+        rows_by_file.select("path", "file", "n_rows")
+        .join(labels, "path", "left")
         .fillna(0, subset=["n_labels"])
-        .withColumn("ok", F.col("n_rows") == F.col("n_labels"))
+        .select("file", "n_rows", "n_labels", (F.col("n_rows") == F.col("n_labels")).alias("ok"))
     )
 
 
@@ -117,8 +121,7 @@ def label_profile(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     n_all = F.sum("n").over(total)
     return (
-        bounded(counts, MAX_CLASSES, f"classes in {label}")
-        .select(
+        counts.select(
             "label",
             "n",
             F.round(100.0 * F.col("n") / n_all, 6).alias("percent"),

@@ -56,7 +56,8 @@ def hash_cuts(
     comparing hashes, which needs no shuffle of the rows themselves.
 
     The rank is narrowed down by histograms over ever longer hash prefixes until the bucket that
-    holds it has at most ``rank_rows`` rows; only those are sorted. Keys must be unique.
+    holds it has at most ``rank_rows`` rows; only those are sorted. Keys that repeat at a cut, where
+    they would change the number of rows on its sides, fail the query.
     """
     keys = [key] if isinstance(key, str) else list(key)
     g = F.col(group) if group else F.lit(0)
@@ -90,9 +91,12 @@ def hash_cuts(
     found = (
         hashed.withColumn("_b", F.substring("_h", 1, length))
         .join(F.broadcast(edges.drop("_c")), ["_g", "_b"])
-        .withColumn("_rn", F.row_number().over(ordered))
+        .withColumns({"_rn": F.row_number().over(ordered), "_next": F.lead("_h").over(ordered)})
         .filter(F.col("_rn") == F.col("_at"))
     )
+    # Rows at or before the cut number exactly the wanted rank only if the next row has another hash.
+    repeats = F.raise_error(F.lit(f"keys {keys} are not unique"))
+    found = found.withColumn("_h", F.when(F.col("_next") == F.col("_h"), repeats).otherwise(F.col("_h")))
     picks = [F.max(F.when(F.col("_j") == j, F.col("_h"))).alias(f"_t{j}") for j in range(n_cuts)]
     return pinned(found.groupBy("_g").agg(*picks), what)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.operators.bounds import MAX_CLASSES, bounded, pinned
+from flowloom.operators.bounds import MAX_CLASSES, bounded, labelled, pinned
 from flowloom.operators.ranking import hash_cuts, hash_rank, part_by_cuts
 
 SPLITS = ("test", "val", "train")
@@ -37,6 +37,7 @@ def class_cap(counts: DataFrame, target: int, n: str = "n") -> DataFrame:
 def _sample_limits(df: DataFrame, label: str, target: int, mode: str) -> DataFrame:
     """(_g, _lims, n, take) per class; without a useful target every row is taken."""
     counts = df.groupBy(F.col(label).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
+    counts = labelled(counts, "_g")
     counts = pinned(counts, f"classes in {label}")
     whole = Window.partitionBy(F.lit(0))
     n_all = F.sum("n").over(whole)
@@ -127,13 +128,16 @@ def stratified_split(
     seed: int = 42,
     out: str = "split",
 ) -> DataFrame:
-    """Exact per-class test, validation and train shares; the rows are not shuffled."""
+    """Exact per-class test, validation and train shares; the rows are not shuffled.
+
+    A NULL label is an error, and so is a key that repeats at the edge of a split.
+    """
 
     def limits(n: Column) -> Sequence[Column]:
         n_test, n_val = split_sizes(n, test_size, val_size)
         return [n_test, n_test + n_val]
 
-    cuts = hash_cuts(df, key, seed, limits, group=label)
+    cuts = labelled(hash_cuts(df, key, seed, limits, group=label), "_g")
     return part_by_cuts(df, cuts, key, seed, SPLITS, group=label, out=out)
 
 

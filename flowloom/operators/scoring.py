@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.functions.wavelet import Geometry, fixed_width_rows, transform_matrix
+from flowloom.functions.wavelet import Geometry, fixed_width_rows, steady_product, transform_matrix
 
 BatchScorer = Callable[[np.ndarray], np.ndarray]
 MAX_MODEL_CELLS = 50_000_000  # class x position values a model may hold on the driver
@@ -42,7 +42,7 @@ def centroid_scorer(centroids: np.ndarray) -> BatchScorer:
     """Softmax of minus the squared distance to each class centroid."""
 
     def score(x: np.ndarray) -> np.ndarray:
-        cross = x @ np.nan_to_num(centroids).T
+        cross = steady_product(x, np.nan_to_num(centroids).T)
         norms = (centroids**2).sum(axis=1)
         return row_softmax(2 * cross - norms)  # |x|^2 is the same for every class
 
@@ -53,7 +53,7 @@ def subband_centroid_scorer(centroids: np.ndarray, geom: Geometry) -> BatchScore
     """The same in subband space: features are transformed, then compared."""
     matrix = transform_matrix(geom)
     inner = centroid_scorer(centroids)
-    return lambda x: inner(x @ matrix)
+    return lambda x: inner(steady_product(x, matrix))
 
 
 def score_in_batches(df: DataFrame, scorer: BatchScorer, width: int, features: str = "features") -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.numeric import finite_or_null
 
-AGG_CHUNK = 40  # columns per aggregate, so that generated code stays below the JVM method limit
-
 STAT_SCHEMA = (
     "ordinal int, column string, n_rows long, n_finite long, n_missing long, total double, "
     "min double, max double"
@@ -21,39 +21,43 @@ STAT_SCHEMA = (
 def column_stats(
     df: DataFrame, features: Sequence[str], split: str | None = "split", part: str = "train"
 ) -> DataFrame:
-    """One row per feature over the train rows: counts, sum, min and max of finite values."""
+    """One row per feature over the train rows: counts, sum, min and max of finite values.
+
+    One scan whatever the number of columns: each task adds up its Arrow batches and sends one row
+    per column. Features of a table without rows have zero counts.
+    """
     rows = df.filter(F.col(split) == part) if split else df
-    one_rows = []
-    for start in range(0, len(features), AGG_CHUNK):
-        chunk = features[start : start + AGG_CHUNK]
-        clean = rows.select(*[finite_or_null(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(chunk)])
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i in range(len(chunk)):
-            c = f"c{i}"
-            aggs += [
-                F.count(c).alias(f"k{i}"),
-                F.sum(c).alias(f"s{i}"),
-                F.min(c).alias(f"lo{i}"),
-                F.max(c).alias(f"hi{i}"),
-            ]
-        structs = [
-            F.struct(
-                F.lit(start + i).alias("ordinal"),
-                F.lit(name).alias("column"),
-                F.col("n").alias("n_rows"),
-                F.col(f"k{i}").alias("n_finite"),
-                (F.col("n") - F.col(f"k{i}")).alias("n_missing"),
-                F.coalesce(F.col(f"s{i}"), F.lit(0.0)).alias("total"),
-                F.col(f"lo{i}").alias("min"),
-                F.col(f"hi{i}").alias("max"),
+    slim = rows.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(features)])
+    width = len(features)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, finite, total = 0, np.zeros(width, np.int64), np.zeros(width)
+        low, high = np.full(width, np.inf), np.full(width, -np.inf)
+        for batch in batches:
+            n += batch.num_rows
+            for i in range(width):
+                x = batch.column(i).to_numpy(zero_copy_only=False)
+                x = x[np.isfinite(x)]
+                if len(x):
+                    finite[i] += len(x)
+                    total[i] += x.sum()
+                    low[i], high[i] = min(low[i], x.min()), max(high[i], x.max())
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(width, dtype=np.int32)), pa.array(np.full(width, n)), pa.array(finite), pa.array(total), pa.array(low), pa.array(high)],
+                names=["ordinal", "n", "k", "s", "lo", "hi"],
             )
-            for i, name in enumerate(chunk)
-        ]
-        one_rows.append(clean.agg(*aggs).select(F.inline(F.array(*structs))))
-    out = one_rows[0]
-    for more in one_rows[1:]:
-        out = out.unionByName(more)
-    return out
+
+    parts = slim.mapInArrow(add_up, "ordinal int, n long, k long, s double, lo double, hi double")
+    sums = parts.groupBy("ordinal").agg(*[f(c).alias(c) for c, f in (("n", F.sum), ("k", F.sum), ("s", F.sum), ("lo", F.min), ("hi", F.max))])
+    names = df.sparkSession.createDataFrame(list(enumerate(features)), "ordinal int, column string")
+    zero = F.lit(0).cast("long")
+    n, k = F.coalesce("n", zero), F.coalesce("k", zero)
+    # both sides have one row per column
+    return names.join(F.broadcast(sums), "ordinal", "left").select(
+        "ordinal", "column", n.alias("n_rows"), k.alias("n_finite"), (n - k).alias("n_missing"),
+        F.coalesce("s", F.lit(0.0)).alias("total"), F.when(k > 0, F.col("lo")).alias("min"), F.when(k > 0, F.col("hi")).alias("max"),
+    )
 
 
 def scaler_stats(stats: DataFrame) -> DataFrame:
@@ -76,6 +80,10 @@ def scaler_stats(stats: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ selection
+# The three reasons of dropped columns, in the order in which they are checked.
+MISSING, CONSTANT, DUPLICATE = "missing_ratio_above_threshold", "constant_on_train", "duplicate_of"
+
+
 def _drop_row(df: DataFrame, reason: str, evidence: Column, rank: int) -> DataFrame:
     return df.select(
         F.lit(rank).alias("step"), "ordinal", "column", F.lit(reason).alias("reason"), evidence.alias("evidence")
@@ -84,13 +92,13 @@ def _drop_row(df: DataFrame, reason: str, evidence: Column, rank: int) -> DataFr
 
 def drop_high_missing(scaler: DataFrame, threshold: float = 0.80) -> DataFrame:
     hit = scaler.filter(F.col("missing_ratio") > threshold)
-    return _drop_row(hit, "missing_ratio_above_threshold", F.round("missing_ratio", 6).cast("string"), 1)
+    return _drop_row(hit, MISSING, F.round("missing_ratio", 6).cast("string"), 1)
 
 
 def drop_constant(scaler: DataFrame, threshold: float = 0.80) -> DataFrame:
     """Constant columns among those not already dropped for missing values."""
     hit = scaler.filter((F.col("missing_ratio") <= threshold) & F.col("is_constant"))
-    return _drop_row(hit, "constant_on_train", F.round("min", 6).cast("string"), 2)
+    return _drop_row(hit, CONSTANT, F.round("min", 6).cast("string"), 2)
 
 
 def duplicate_candidates(scaler: DataFrame, threshold: float = 0.80, constants: bool = True) -> DataFrame:
@@ -113,7 +121,7 @@ def duplicate_candidates(scaler: DataFrame, threshold: float = 0.80, constants:
 def drop_duplicate_columns(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates equal to their keeper on every given row, checked in one aggregate.
 
-    ``rows`` are the train rows or a sample of them. The candidate list is bounded by the
+    ``rows`` are the train rows. The candidate list is bounded by the
     number of columns and is read by the driver.
     """
     pairs = candidates.collect()  # fewer rows than the table has columns
@@ -140,7 +148,7 @@ def drop_duplicate_columns(rows: DataFrame, candidates: DataFrame) -> DataFrame:
         ]
         found = rows.agg(F.count(F.lit(1)).alias("n"), *diffs).select(F.inline(F.array(*structs)))
     hit = found.filter((F.col("n_diff") == 0) & (F.col("n_rows") > 0))
-    return _drop_row(hit, "duplicate_of", F.col("keeper"), 3)
+    return _drop_row(hit, DUPLICATE, F.col("keeper"), 3)
 
 
 def column_drop_report(
@@ -194,14 +202,28 @@ class Scaler:
         return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)).cast("float")
 
 
+def unfused(column: Column) -> Column:
+    """The column through a lambda over one element.
+
+    A projection that holds a lambda is not fused with its neighbours, and Spark then cuts its code
+    into methods that the JVM can compile. Fused, the code of some twenty columns is one method too
+    large for the compiler, and every row is interpreted.
+    """
+    return F.element_at(F.transform(F.array(column), lambda x: x), 1)
+
+
+def _each(scaler: Scaler, form: Callable[[int], Column]) -> dict[str, Column]:
+    return {c: unfused(form(i)) if i == 0 else form(i) for i, c in enumerate(scaler.columns)}
+
+
 def impute_mean(df: DataFrame, scaler: Scaler) -> DataFrame:
     """Missing values replaced by the train mean."""
-    return df.withColumns({c: scaler.imputed(i) for i, c in enumerate(scaler.columns)})
+    return df.withColumns(_each(scaler, scaler.imputed))
 
 
 def minmax_scale(df: DataFrame, scaler: Scaler) -> DataFrame:
     """Impute, scale by the train bounds, clip to [0, 1], single precision."""
-    return df.withColumns({c: scaler.scaled(i) for i, c in enumerate(scaler.columns)})
+    return df.withColumns(_each(scaler, scaler.scaled))
 
 
 def assemble_vector(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:

@@ -33,15 +33,15 @@ def prepare_dataset(
     target_rows: int | None = None,
     mode: str = "capped",
     missing_threshold: float = 0.80,
-    verify_rows: int | None = None,
+    check_splits: bool = True,
     seed: int = 42,
 ) -> Prepared:
     """Merge labels, sample, split, fit on train rows, prune columns, scale - in this order.
 
     The statistics and the column decisions are read by the driver (one row per feature); the
-    rows pass through narrow steps only and can be written straight to a table. With
-    ``verify_rows`` duplicate columns are compared on that many train rows in key order instead
-    of all of them.
+    rows pass through narrow steps only and can be written straight to a table. Duplicate columns
+    are compared on all train rows. Splits that overlap or miss rows are an error, and so are keys
+    that repeat, which would end up in two splits.
     """
     slim = df.select(key, label, *[F.col(f"`{c}`") for c in features])
     if merge:
@@ -57,8 +57,9 @@ def prepare_dataset(
     rows = S.stratified_split(chosen, key, label, seed=seed).join(F.broadcast(classes), label)
     stats = pinned(E.scaler_stats(E.column_stats(rows, features)), "feature columns")
     train = rows.filter(F.col("split") == "train")
-    sample = S.first_rows(train, key, verify_rows) if verify_rows else train
-    drops = E.column_drop_report(stats, sample, missing_threshold)
+    if check_splits:
+        S.assert_no_leakage(rows.select(key, "split"), key).collect()  # one row
+    drops = E.column_drop_report(stats, train, missing_threshold)
     drops = pinned(drops, "feature columns")
     scaler = E.Scaler.collect(E.subset_stats(stats, drops))
     scaled = E.minmax_scale(rows, scaler).select(key, label, "code", "split", *[F.col(f"`{c}`") for c in scaler.columns])

@@ -16,7 +16,6 @@ from flowloom.operators.sampling import split_class_counts
 from flowloom.plans.evaluate import per_class_report
 from flowloom.sources.sinks import report_format
 
-CURVE_POINTS = 2000
 MACRO = -2  # class code of the averaged ROC curve
 
 
@@ -38,8 +37,8 @@ def confusion_tables(preds: DataFrame, num_classes: int) -> DataFrame:
     return report_format(counts.join(shares, "y_true"))
 
 
-def roc_table(preds: DataFrame, max_points: int = CURVE_POINTS) -> DataFrame:
-    """Class, micro (-1) and macro (-2) ROC points."""
+def roc_table(preds: DataFrame, max_points: int | None = None) -> DataFrame:
+    """Class, micro (-1) and macro (-2) ROC points; thinned only where ``max_points`` asks for it."""
     points = R.roc_points(preds, micro=True, max_points=max_points)
     macro = R.macro_roc(preds).select(
         F.lit(MACRO).alias("class"), F.col("idx").cast("long").alias("idx"), "fpr", "tpr", F.lit(0.0).alias("threshold")
@@ -47,7 +46,7 @@ def roc_table(preds: DataFrame, max_points: int = CURVE_POINTS) -> DataFrame:
     return report_format(points.unionByName(macro))
 
 
-def pr_table(preds: DataFrame, max_points: int = CURVE_POINTS) -> DataFrame:
+def pr_table(preds: DataFrame, max_points: int | None = None) -> DataFrame:
     return report_format(R.pr_points(preds, micro=True, max_points=max_points))
 
 

@@ -47,13 +47,17 @@ def centroid_scorer(spark, sf):
     return scored.select("row_key", "y_true", argmax_class("y_prob").alias("y_pred"), F.round(prob_of("y_prob", "y_true"), 5).alias("p_true"))
 
 
-def first_ten(x: np.ndarray) -> np.ndarray:
-    return S.row_softmax(x[:, :K])
+def folded_logits(x: np.ndarray) -> np.ndarray:
+    """Softmax of the components added up by class, as ``inputs.logits`` does it."""
+    z = np.zeros((len(x), K))
+    for i in range(x.shape[1]):
+        z[:, i % K] += x[:, i]
+    return S.row_softmax(z)
 
 
 @query("score_in_batches", with_("hard") + f"SELECT row_key, y_true, y_pred, {r('y_prob[y_true + 1]', 5)} AS p_true FROM hard")
 def score_in_batches(spark, sf):
-    scored = S.score_in_batches(vectors(spark, sf), first_ten, WIDTH)
+    scored = S.score_in_batches(vectors(spark, sf), folded_logits, WIDTH)
     return scored.select("row_key", "y_true", argmax_class("y_prob").alias("y_pred"), F.round(prob_of("y_prob", "y_true"), 5).alias("p_true"))
 
 

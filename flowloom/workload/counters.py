@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from flowloom.operators import anomaly as J
 from flowloom.operators import confusion as C
 from flowloom.streaming import detect as D
-from flowloom.workload.inputs import K, NORMAL_BEFORE, counters, features, normal, table, with_
+from flowloom.workload.inputs import NORMAL_BEFORE, counters, features, logits, normal, table, with_
 from flowloom.workload.registry import query, r
 
 WIDTH_K = 0.25  # band width used here: daily counts per switch are too small for three deviations
@@ -117,7 +117,7 @@ def stream_confusion(spark, sf):
     vec = D.file_stream(spark, sf, "embeddings.parquet")
     p = vec.select(
         F.col("label").alias("y_true"),
-        F.transform(softmax(F.slice("embedding", 1, K)), lambda x: x.cast("float")).alias("y_prob"),
+        F.transform(softmax(logits("embedding")), lambda x: x.cast("float")).alias("y_prob"),
     )
     snapshot = D.run_complete(D.stream_confusion(C.with_prediction(p)))
     s = C.class_summary(C.per_class(snapshot))

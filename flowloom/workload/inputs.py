@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,9 +68,18 @@ def vector_split(spark: SparkSession, sf: str) -> DataFrame:
     return S.stratified_split(vectors(spark, sf), "row_key", "y_true", seed=SEED)
 
 
+def logits(features: str = "features"):
+    """K sums over all components: component i counts for class i modulo K."""
+    parts = [[F.get(features, i).cast("double") for i in range(c, WIDTH, K)] for c in range(K)]
+    return F.array(*[reduce(lambda a, b: a + b, p) for p in parts])
+
+
+LOGITS_SQL = "[" + ", ".join(" + ".join(f"features[{i + 1}]::DOUBLE" for i in range(c, WIDTH, K)) for c in range(K)) + "]"
+
+
 def preds(spark: SparkSession, sf: str) -> DataFrame:
-    """Softmax of the first ten vector components as class probabilities."""
-    p = softmax(F.slice("features", 1, K))
+    """Softmax of the vectors folded into K logits as class probabilities."""
+    p = softmax(logits())
     return vectors(spark, sf).select("row_key", "y_true", F.transform(p, lambda x: x.cast("float")).alias("y_prob"))
 
 
@@ -172,7 +183,7 @@ CTES = {
  coalesce(hi, 0) - coalesce(lo, 0) <= 0 AS is_constant FROM stats""",
     "vectors": "SELECT vec_id AS row_key, label::INT AS y_true, embedding AS features FROM embeddings",
     "vsplit": split_cte("vectors", "y_true"),
-    "logits": f"SELECT row_key, y_true, list_transform(features[1:{K}], lambda x: x::DOUBLE) AS z FROM vectors",
+    "logits": f"SELECT row_key, y_true, {LOGITS_SQL} AS z FROM vectors",
     "expo": "SELECT row_key, y_true, list_transform(z, lambda v: exp(v - list_max(z))) AS ex FROM logits",
     "preds": "SELECT row_key, y_true, list_transform(ex, lambda v: (v / list_sum(ex))::FLOAT) AS y_prob FROM expo",
     "hard": "SELECT *, (list_position(y_prob, list_max(y_prob)) - 1)::INT AS y_pred FROM preds",

@@ -6,7 +6,7 @@ from flowloom.functions.vectors import softmax
 from flowloom.operators import confusion as C
 from flowloom.operators.sampling import epoch_batches
 from flowloom.plans.evaluate import summary_metrics as summary
-from flowloom.workload.inputs import K, SEED, preds, table, vectors, with_
+from flowloom.workload.inputs import K, logits, preds, SEED, table, vectors, with_
 from flowloom.workload.registry import query, r
 from flowloom.workload.curves import AP_CTE, AREA_CTE, RENORM_CTE
 
@@ -29,7 +29,7 @@ def _round(df, *skip):
 
 @query("softmax_array", with_("expo") + f"SELECT row_key, u.i::INT AS pos, {r('ex[u.i + 1] / list_sum(ex)')} AS p FROM expo, (SELECT unnest(range(0, {K})) AS i) u")
 def softmax_array(spark, sf):
-    v = vectors(spark, sf).select("row_key", softmax(F.slice("features", 1, K)).alias("p"))
+    v = vectors(spark, sf).select("row_key", softmax(logits()).alias("p"))
     return v.select("row_key", F.posexplode("p").alias("pos", "p")).withColumn("p", F.round("p", 6))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from flowloom.plans import report as P
 from flowloom.sources.sinks import report_format
 from flowloom.workload import attribution as I
-from flowloom.workload.curves import _CUM, _PR, _PR_COLS, _ROC, _ROC_COLS, AP_CTE, AREA_CTE, MACRO_CTES, _thin
+from flowloom.workload.curves import _CUM, _PR, _PR_COLS, _ROC, _ROC_COLS, AP_CTE, AREA_CTE, MACRO_CTES
 from flowloom.workload.inputs import K, flow_split, history, preds, with_
 from flowloom.workload.metrics import BASELINE_SQL
 from flowloom.workload.registry import query, r
@@ -33,13 +33,13 @@ def rpt_confusion_wide(spark, sf):
     return P.confusion_tables(preds(spark, sf), K)
 
 
-@query("rpt_roc", with_("counts_micro", more=f"{MACRO_CTES}, {_ROC}") + f"""SELECT {_ROC_COLS} FROM {_thin('roc', P.CURVE_POINTS)}
+@query("rpt_roc", with_("counts_micro", more=f"{MACRO_CTES}, {_ROC}") + f"""SELECT {_ROC_COLS} FROM roc
  UNION ALL SELECT -2, g, {r('g::DOUBLE / 999')}, {r('tpr')}, 0 FROM strips""")
 def rpt_roc(spark, sf):
     return P.roc_table(preds(spark, sf))
 
 
-@query("rpt_pr", with_("counts_micro", more=f"{_CUM}, {_PR}") + f"SELECT {_PR_COLS} FROM {_thin('pr', P.CURVE_POINTS)}")
+@query("rpt_pr", with_("counts_micro", more=f"{_CUM}, {_PR}") + f"SELECT {_PR_COLS} FROM pr")
 def rpt_pr(spark, sf):
     return P.pr_table(preds(spark, sf))
 

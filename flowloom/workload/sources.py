@@ -60,10 +60,9 @@ def projected_scan(spark, sf):
 @query("feature_table_sink", prep_ctes() + "SELECT row_key, split, " + ", ".join(f"{_scaled(c)} AS {c}" for c in KEPT) + " FROM split WHERE split <> 'test'")
 def feature_table_sink(spark, sf):
     prep = prepared(spark, sf)
-    selected = prep.rows.filter(F.col("split") != "test").select("row_key")
+    chosen = prep.scaled.filter(F.col("split") != "test")  # a split is a column of the rows, no join is needed
     back = W.write_feature_table(
-        prep.scaled.select("row_key", "split", *prep.scaler.columns), shared_dir(spark, "features"), selected,
-        partition_by=["split"],
+        chosen.select("row_key", "split", *prep.scaler.columns), shared_dir(spark, "features"), partition_by=["split"],
     )
     return back.select("row_key", "split", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in KEPT])
 
