@@ -186,17 +186,57 @@ def quality_report(checks: Sequence[DataFrame]) -> DataFrame:
     return out.withColumn("n", F.lit(1).cast("long")).unionByName(totals)
 
 
+#: Cells of an octave of values; where each half of the axis begins.
+CELLS_PER_OCTAVE, CELL_ORIGIN = 64, 200_000
+
+
+def value_cell(v: Column) -> Column:
+    """Number of a cell of the value axis, growing with the value; at most some 280,000 cells in all."""
+    size = F.floor(F.log2(F.abs(v)) * CELLS_PER_OCTAVE) + CELL_ORIGIN
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
+def exact_percentiles(values: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(*keys, share, result): interpolated percentiles of the values of each group.
+
+    Values meet in counts. Totals of the cells say in which cell a rank falls, and only the distinct
+    values of that cell are ordered, so no group is ever held in one buffer.
+    """
+    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_cell", value_cell(F.col("_v")))
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_c"))
+    whole = Window.partitionBy(*keys)
+    upto = cells.select(
+        *keys, "_cell", "_c", F.sum("_c").over(whole.orderBy("_cell")).alias("_upto"), F.sum("_c").over(whole).alias("_all"),
+    )
+    position = F.col("_share") * (F.col("_all") - 1)
+    wanted = upto.withColumn("_share", F.explode(F.array(*[F.lit(float(x)) for x in shares]))).withColumn("_pos", position)
+    wanted = wanted.withColumn("_rank", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))))
+    edges = wanted.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))).select(
+        *[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_ecell"), "_share", "_pos", "_rank",
+        (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_at"),
+    ).distinct()
+    inside = [*keys, "_cell"]
+    running = counts.withColumn("_to", F.sum("_n").over(Window.partitionBy(*inside).orderBy("_v")))
+    same = [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(keys)] + [F.col("_cell") == F.col("_ecell")]
+    found = running.join(edges, same).where((F.col("_at") < F.col("_to")) & (F.col("_at") >= F.col("_to") - F.col("_n")))
+    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
+    return found.groupBy(*keys, F.col("_share").alias("share")).agg(
+        (low + (high - low) * (F.first("_pos") - F.min("_rank"))).alias("result")
+    )
+
+
 def latency_percentiles(
     samples: DataFrame, batch: str, stages: Sequence[str], share_of: str, total: str | None = None
 ) -> DataFrame:
     """p50 and p95 of every stage and of their sum per batch size, throughput, share of one stage."""
     total_col = F.col(total) if total else sum((F.col(s) for s in stages[1:]), F.col(stages[0]))
     df = samples.withColumn("t_total", total_col)
-    aggs = []
-    for s in [*stages, "t_total"]:
-        p = F.percentile(s, F.array(F.lit(0.5), F.lit(0.95)))
-        aggs += [F.get(p, 0).alias(f"{s}_p50"), F.get(p, 1).alias(f"{s}_p95")]
-    out = df.groupBy(batch).agg(*aggs)
+    names = [*stages, "t_total"]
+    long = df.select(batch, F.inline(F.array(*[F.struct(F.lit(n).alias("_stage"), F.col(n).cast("double").alias("_value")) for n in names])))
+    points = exact_percentiles(long, [batch, "_stage"], "_value", [0.5, 0.95])
+    pick = lambda n, x: F.max(F.when((F.col("_stage") == n) & (F.col("share") == x), F.col("result")))
+    out = points.groupBy(batch).agg(*[pick(n, x).alias(f"{n}_{p}") for n in names for p, x in (("p50", 0.5), ("p95", 0.95))])
     half = F.col("t_total_p50")
     return out.select(
         "*",

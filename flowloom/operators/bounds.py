@@ -37,12 +37,12 @@ def fetched(df: DataFrame, what: str, max_rows: int = MAX_CLASSES) -> pa.Table:
     return table
 
 
-def labelled(df: DataFrame, label: str) -> DataFrame:
+def labelled(df: DataFrame, label: str, name: str | None = None) -> DataFrame:
     """``df`` unchanged if every label is there; a NULL label fails the query.
 
     A row without a label belongs to no class: codes, draws and splits per class would shift or lose it.
     """
-    missing = F.raise_error(F.lit(f"NULL in label column {label}")).cast("boolean")
+    missing = F.raise_error(F.lit(f"NULL in label column {name or label}")).cast("boolean")
     return df.filter(F.when(F.col(f"`{label}`").isNull(), missing).otherwise(F.lit(True)))
 
 

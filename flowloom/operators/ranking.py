@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.text import seeded_hash
-from flowloom.operators.bounds import MAX_CLASSES, bounded, fetched, pinned, small
+from flowloom.operators.bounds import MAX_CLASSES, bounded, fetched, labelled, pinned, small
 
 BUCKET_DIGITS = 4  # 65,536 buckets per group when every row needs its rank
 CUT_DIGITS = 3  # 4,096 buckets per group and level when only some ranks are wanted
@@ -65,6 +65,8 @@ def hash_cuts(
     count = F.count(F.lit(1)).alias("_c")
     length = digits
     hist = hashed.groupBy("_g", F.substring("_h", 1, length).alias("_b")).agg(count)
+    if group:
+        hist = labelled(hist, "_g", group)
     if limit_table is None:
         lims = F.array(*[x.cast("long") for x in limits(F.col("_n"))])
         n_cuts = len(limits(F.col("_n")))

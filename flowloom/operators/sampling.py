@@ -37,7 +37,7 @@ def class_cap(counts: DataFrame, target: int, n: str = "n") -> DataFrame:
 def _sample_limits(df: DataFrame, label: str, target: int, mode: str) -> DataFrame:
     """(_g, _lims, n, take) per class; without a useful target every row is taken."""
     counts = df.groupBy(F.col(label).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
-    counts = labelled(counts, "_g")
+    counts = labelled(counts, "_g", label)
     counts = pinned(counts, f"classes in {label}")
     whole = Window.partitionBy(F.lit(0))
     n_all = F.sum("n").over(whole)
@@ -137,7 +137,7 @@ def stratified_split(
         n_test, n_val = split_sizes(n, test_size, val_size)
         return [n_test, n_test + n_val]
 
-    cuts = labelled(hash_cuts(df, key, seed, limits, group=label), "_g")
+    cuts = hash_cuts(df, key, seed, limits, group=label)
     return part_by_cuts(df, cuts, key, seed, SPLITS, group=label, out=out)
 
 
