@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import functions as F
@@ -51,6 +52,41 @@ def repeated(df, times: int):
     return copies.withColumn("row_key", F.col("row_key") * times + F.col("_i")).drop("_i").repartition(4 * int(CPUS))
 
 
+WIDE_ROWS, WIDE_COLUMNS = 1_000_000, 81
+
+
+def wide(spark) -> dict[str, float]:
+    """Preparation and scaling of a table of 81 features, written to Parquet and scanned from it.
+
+    Every feature is a multiple of one of the given ones, so that no two are equal. Scaling is given net of a
+    bare scan of the same table.
+    """
+    from flowloom.plans.prepare import prepare_dataset
+
+    base = inputs.flows(spark, SF_DIR)
+    rows = repeated(base, -(-WIDE_ROWS // base.count()))
+    names = [f"w{i}" for i in range(WIDE_COLUMNS)]
+    real = [c for c in inputs.FEATURES if c != "f_const"]
+    made = [(F.col(real[i % len(real)]) * (1.0 + i) + (F.col("row_key") % (i + 2))).alias(c) for i, c in enumerate(names)]
+    path = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/wide"
+    rows.select("row_key", "label", *made).write.parquet(path)
+    table = spark.read.parquet(path)
+    n = table.count()
+    scaler = E.Scaler.collect(E.scaler_stats(E.column_stats(table, names, split=None)))
+    steps = {
+        "scan": lambda: drain(table), "stats": lambda: E.column_stats(table, names, split=None).collect(),
+        "scale": lambda: drain(E.minmax_scale(table, scaler)),
+        "prepare": lambda: drain(prepare_dataset(table, "row_key", "label", names, merge=inputs.MERGE).scaled),
+    }
+    took = {}
+    for name, step in steps.items():
+        step()
+        took[name] = timed(step)
+    out = {f"wide_{k}_rows_per_sec": n / v for k, v in took.items()}
+    out["wide_scale_net_rows_per_sec"] = n / max(1e-9, took["scale"] - took["scan"])
+    return {"wide_rows": n, "wide_columns": WIDE_COLUMNS, **{k: round(v) for k, v in out.items()}}
+
+
 def throughput(spark) -> dict[str, float]:
     out = {}
     vec = repeated(inputs.vectors(spark, SF_DIR), 400).persist()
@@ -87,11 +123,13 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
     times = {}
-    for name in names:
+    for name in names if names != ["wide"] else []:
         run = lambda: drain(QUERIES[name](spark, SF_DIR))  # noqa: B023, E731
         run()
         times[name] = round(timed(run), 3)
-    extra = {} if sys.argv[1:] else {"throughput": throughput(spark)}
+    extra = {} if sys.argv[1:] else {"throughput": throughput(spark) | wide(spark)}
+    if names == ["wide"]:
+        extra, times = {"throughput": wide(spark)}, {}
     print(json.dumps({
         "metric": "total seconds of the headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), **extra,

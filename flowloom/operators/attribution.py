@@ -1,35 +1,43 @@
 """Feature attribution and subband ablation with a plugged-in scorer.
 
-A scorer is a function from a DataFrame (row_key, y_true, ..., features) to one with y_prob in
-place of features.
+A scorer is a function from a matrix of rows to a matrix of class probabilities; it runs inside the
+tasks, and only counts of (true, predicted) are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.text import seeded_hash
-from flowloom.functions.vectors import argmax_class
 from flowloom.functions.wavelet import SUBBANDS
-from flowloom.operators.ranking import hash_rank
 
-Scorer = Callable[[DataFrame], DataFrame]
+#: Probabilities of each class for the rows of a matrix.
+BatchScorer = Callable[[np.ndarray], np.ndarray]
 
+#: Rows, on average, of a block in which values change places.
+PERMUTED_ROWS = 4_096
+COUNTS = "j int, r int, y_true int, y_pred int, n long"
 
-def grouped_macro_f1(scored: DataFrame, *group: str) -> DataFrame:
-    """Macro-F1 over present classes for each group of predictions: (*group, macro_f1)."""
-    n = F.count(F.lit(1))
-    cm = scored.groupBy(*group, F.col("y_true").cast("int").alias("y_true"), argmax_class("y_prob").alias("y_pred")).agg(n.alias("n"))
+
+def _counts(j: int, r: int, y: np.ndarray, prob: np.ndarray) -> pd.DataFrame:
+    pairs, n = np.unique(np.stack([y, prob.argmax(axis=1)], axis=1), axis=0, return_counts=True)
+    return pd.DataFrame({"j": j, "r": r, "y_true": pairs[:, 0], "y_pred": pairs[:, 1], "n": n})
+
+
+def macro_f1_of_counts(counts: DataFrame, *group: str) -> DataFrame:
+    """Macro-F1 over present classes for each group of (y_true, y_pred, n): (*group, macro_f1)."""
     zero = F.lit(0).cast("long")
     hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(zero)
     sides = F.array(
         F.struct(F.col("y_true").alias("c"), F.col("n").alias("t"), zero.alias("p"), hit.alias("tp")),
         F.struct(F.col("y_pred").alias("c"), zero.alias("t"), F.col("n").alias("p"), zero.alias("tp")),
     )
-    per = cm.select(*group, F.inline(sides)).groupBy(*group, "c").agg(
+    per = counts.select(*group, F.inline(sides)).groupBy(*group, "c").agg(
         F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("tp").alias("tp")
     )
     f1 = F.when(F.col("t") > 0, 2.0 * F.col("tp") / (F.col("t") + F.col("p")))
@@ -37,62 +45,77 @@ def grouped_macro_f1(scored: DataFrame, *group: str) -> DataFrame:
 
 
 def permutation_importance(
-    rows: DataFrame, scorer: Scorer, n_features: int, n_repeats: int = 5, seed: int = 42,
+    rows: DataFrame, scorer: BatchScorer, n_features: int, n_repeats: int = 5, seed: int = 42,
     names: Sequence[str] | None = None, key: str = "row_key", features: str = "features",
 ) -> DataFrame:
     """Mean and population deviation of the macro-F1 drop when one raw feature is shuffled.
 
-    For each (feature, repeat) the rows ranked by one hash take the values of the rows ranked by
-    another. Only keys and single values go through that shuffle; vectors are joined afterwards.
+    Rows are dealt once to blocks of about ``PERMUTED_ROWS`` and ordered by a hash in each. For every
+    (feature, repeat) the values of the feature move along that order, by another step each time, so
+    they change places within a block. Only counts of (true, predicted) leave a block.
     """
-    pairs = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(r).alias("r")) for j in range(n_features) for r in range(n_repeats)])
-    base = hash_rank(rows, key, f"{seed}|base", out="_at").select(key, "y_true", features, "_at")
-    slots = rows.select(F.col(key).alias("_donor"), features, F.explode(pairs).alias("_p")).select(
-        "_donor", F.col("_p.j").alias("j"), F.col("_p.r").alias("r"), F.get(features, F.col("_p.j")).alias("_v")
+    blocks = max(1, -(-rows.count() // PERMUTED_ROWS))
+    dealt = rows.select(
+        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), seeded_hash(seed, key).alias("_h"),
+        F.col("y_true").cast("int").alias("_y"), F.col(features).cast("array<double>").alias("_x"),
     )
-    shuffled = hash_rank(
-        slots, "_donor", seed, group=["j", "r"], digits=3, out="_at",
-        order_hash=seeded_hash(seed, "j", "r", "_donor"),
-    ).select("j", "r", "_at", "_v")
-    swapped = F.transform(
-        F.col(features), lambda x, i: F.when(i == F.col("j"), F.col("_v")).otherwise(x)
-    )
-    varied = base.join(shuffled, "_at").select(key, "y_true", "j", "r", swapped.alias(features))
-    drops = grouped_macro_f1(scorer(varied), "j", "r")
-    whole = grouped_macro_f1(scorer(base.select(key, "y_true", features))).first()[0]  # one number
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_h", kind="stable")
+        x, y = np.stack(pdf["_x"].to_numpy()), pdf["_y"].to_numpy()
+        out = [_counts(-1, 0, y, scorer(x))]
+        for j in range(n_features):
+            own = x[:, j].copy()
+            for r in range(n_repeats):
+                x[:, j] = np.roll(own, -(1 + (j * n_repeats + r) % max(1, len(x) - 1)))
+                out.append(_counts(j, r, y, scorer(x)))
+            x[:, j] = own
+        return pd.concat(out)
+
+    counts = dealt.groupBy("_block").applyInPandas(run, COUNTS)
+    f1 = macro_f1_of_counts(counts, "j", "r")
+    whole = F.max(F.when(F.col("j") == -1, F.col("macro_f1"))).over(Window.partitionBy(F.lit(0)))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1) if names else F.concat(F.lit("f"), F.col("j"))
-    drop = F.lit(whole) - F.col("macro_f1")
-    table = drops.groupBy("j").agg(
+    drop = F.col("_whole") - F.col("macro_f1")
+    table = f1.withColumn("_whole", whole).filter(F.col("j") >= 0).groupBy("j").agg(
         F.avg(drop).alias("mean_decrease"), F.stddev_pop(drop).alias("std_decrease"),
-        F.count(F.lit(1)).cast("int").alias("n_repeats"),
-    )
-    rank = F.row_number().over(Window.orderBy(F.desc("mean_decrease"), "j"))
-    return table.select(
-        label.alias("feature"), "mean_decrease", "std_decrease", "n_repeats",
-        F.lit(whole).alias("baseline_macro_f1"), rank.alias("rank"),
+        F.count(F.lit(1)).cast("int").alias("n_repeats"), F.max("_whole").alias("baseline_macro_f1"),
     )
+    # equal drops may differ in the last bits; such features rank by position
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round("mean_decrease", 9)), "j"))
+    return table.select(label.alias("feature"), "mean_decrease", "std_decrease", "n_repeats", "baseline_macro_f1", rank.alias("rank"))
 
 
 def group_ablation(
-    rows: DataFrame, scorer: Scorer, subbands: str = "subbands", names: Sequence[str] = SUBBANDS
+    rows: DataFrame, scorer: BatchScorer, subbands: str = "subbands", names: Sequence[str] = SUBBANDS
 ) -> DataFrame:
-    """Macro-F1 with all bands and with each band set to zero; nothing is fitted again."""
-    masks = F.explode(F.array(*[F.lit(i) for i in range(-1, len(names))])).alias("mask")
-    zeroed = F.transform(
-        F.col(subbands),
-        lambda band, i: F.when(i == F.col("mask"), F.transform(band, lambda x: F.lit(0.0))).otherwise(band),
-    )
-    varied = rows.select("row_key", "y_true", subbands, masks).select(
-        "row_key", "y_true", "mask", zeroed.alias(subbands)
-    )
-    f1 = grouped_macro_f1(scorer(varied), "mask")
-    full = F.max(F.when(F.col("mask") == -1, F.col("macro_f1"))).over(Window.partitionBy(F.lit(0)))
+    """Macro-F1 with all bands and with each band set to zero; nothing is fitted again.
+
+    Each Arrow batch is scored with every mask and sends only its counts.
+    """
+    flat = rows.select(F.col("y_true").cast("int").alias("_y"), F.flatten(subbands).alias("_x"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, y = np.stack(pdf["_x"].to_numpy()), pdf["_y"].to_numpy()
+            width = x.shape[1] // len(names)
+            for mask in range(-1, len(names)):
+                part = x
+                if mask >= 0:
+                    part = x.copy()
+                    part[:, mask * width : (mask + 1) * width] = 0.0
+                yield _counts(mask, 0, y, scorer(part))
+
+    f1 = macro_f1_of_counts(flat.mapInPandas(run, COUNTS), "j")
+    full = F.max(F.when(F.col("j") == -1, F.col("macro_f1"))).over(Window.partitionBy(F.lit(0)))
     drop = F.col("macro_f1_full") - F.col("macro_f1_ablated")
     return (
-        f1.select("mask", F.col("macro_f1").alias("macro_f1_ablated"), full.alias("macro_f1_full"))
-        .filter(F.col("mask") >= 0)
+        f1.select("j", F.col("macro_f1").alias("macro_f1_ablated"), full.alias("macro_f1_full"))
+        .filter(F.col("j") >= 0)
         .select(
-            F.element_at(F.array(*[F.lit(n) for n in names]), F.col("mask") + 1).alias("branch"),
+            F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1).alias("branch"),
             "macro_f1_full", "macro_f1_ablated", drop.alias("macro_f1_drop"),
             F.when(F.col("macro_f1_full") > 0, 100 * drop / F.col("macro_f1_full")).otherwise(F.lit(0.0)).alias("drop_percent"),
         )

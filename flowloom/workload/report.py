@@ -72,7 +72,7 @@ def rpt_ablation(spark, sf):
     return report_format(I.ablation(spark, sf)).withColumn("drop_percent", F.round("drop_percent", 4))
 
 
-@query("rpt_permutation")
+@query("rpt_permutation", I.PERMUTATION_SQL)
 def rpt_permutation(spark, sf):
     return report_format(I.permutation_importance(spark, sf))
 

@@ -262,29 +262,31 @@ def test_permutation_finds_the_feature(spark):
     g = V.geometry(16)
     cent = np.array([x[y == c].mean(axis=0) for c in range(3)])
     scorer = K.subband_centroid_scorer(cent @ V.transform_matrix(g), g)
-    score = lambda d: K.score_in_batches(d, scorer, 16)
-    a = I.permutation_importance(df, score, 16, 3, seed=1).orderBy("rank").collect()
-    b = I.permutation_importance(df.repartition(5), score, 16, 3, seed=1).orderBy("rank").collect()
+    a = I.permutation_importance(df, scorer, 16, 3, seed=1).orderBy("rank").collect()
+    b = I.permutation_importance(df.repartition(5), scorer, 16, 3, seed=1).orderBy("rank").collect()
     assert a == b and a[0].feature == "f2" and a[0].mean_decrease > 0.3 and len(a) == 16
     assert all(abs(r.mean_decrease) < 0.2 for r in a[1:])
 
 
-def test_permutation_moves_whole_columns(spark):
-    """Scoring by the shuffled value itself shows that each repeat is a permutation."""
+def test_permutation_moves_whole_columns(spark, tmp_path):
+    """What the scorer is given: each repeat permutes one column and leaves the others."""
     _, x, df = blobs(spark, 40, 4)
-    seen = []
+    seen = tmp_path / "seen"
+    seen.mkdir()
 
-    def score(d):
-        seen.append(d)
-        return K.score_in_batches(d, lambda m: np.tile([1.0, 0.0, 0.0], (len(m), 1)), 4)
+    def score(m):
+        np.save(seen / f"{len(list(seen.iterdir())):03d}.npy", m)
+        return np.tile([1.0, 0.0, 0.0], (len(m), 1))
 
     I.permutation_importance(df, score, 4, 2, seed=3).collect()
-    varied = next(d for d in seen if "j" in d.columns)
-    for j in range(4):
-        got = sorted(r.features[j] for r in varied.filter((F.col("j") == j) & (F.col("r") == 0)).collect())
-        assert got == sorted(x[:, j])
-        other = {r.row_key: r.features[(j + 1) % 4] for r in varied.filter((F.col("j") == j) & (F.col("r") == 0)).collect()}
-        assert all(other[i] == x[i, (j + 1) % 4] for i in range(40))
+    given = [np.load(p) for p in sorted(seen.iterdir())][: 1 + 4 * 2]
+    base, varied = given[0], given[1:]
+    assert sorted(map(tuple, base)) == sorted(map(tuple, x))
+    for at, m in enumerate(varied):
+        j = at // 2
+        assert sorted(m[:, j]) == sorted(x[:, j]) and (m[:, j] != base[:, j]).any()
+        assert np.array_equal(np.delete(m, j, axis=1), np.delete(base, j, axis=1))
+    assert not np.array_equal(varied[0], varied[1])
 
 
 def test_ablation_against_brute_force(spark):
@@ -292,7 +294,7 @@ def test_ablation_against_brute_force(spark):
     g = V.geometry(16)
     m = V.transform_matrix(g)
     cent = np.array([x[y == c].mean(axis=0) for c in range(3)]) @ m
-    out = {r.branch: r for r in I.group_ablation(V.with_subbands(df, "features", g), lambda d: K.score_in_batches(d, K.centroid_scorer(cent), 64, "subbands")).collect()}
+    out = {r.branch: r for r in I.group_ablation(V.with_subbands(df, "features", g), K.centroid_scorer(cent)).collect()}
 
     def f1(z):
         p = ((z[:, None, :] - cent[None]) ** 2).sum(axis=2).argmin(axis=1)
