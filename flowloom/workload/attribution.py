@@ -7,9 +7,9 @@ from flowloom.functions import wavelet as V
 from flowloom.functions.vectors import argmax_class, prob_of
 from flowloom.operators import attribution as I
 from flowloom.operators import scoring as S
-from flowloom.workload.inputs import GEOM, K, SEED, WIDTH, swt_ctes, vector_split, vectors, with_
+from flowloom.workload.inputs import GEOM, K, LABELLED_WIDTH, SEED, WIDTH, labelled_vectors, swt_ctes, vector_split, vectors, with_
 from flowloom.workload.registry import query, r
-from flowloom.workload.wavelet import GEOM_SHORT, SHORT, _PADDED
+from flowloom.workload.wavelet import GEOM_LABELLED, PADDED_SWT
 
 
 def _train(df):
@@ -122,16 +122,15 @@ def group_ablation(spark, sf):
 
 
 def folded(spark, sf):
-    short = vectors(spark, sf).select("row_key", F.slice("features", 1, SHORT).alias("x"))
-    return I.fold_attribution(V.with_subbands(short, "x", GEOM_SHORT), "subbands", SHORT)
+    return I.fold_attribution(V.with_subbands(labelled_vectors(spark, sf), "x", GEOM_LABELLED), "subbands", LABELLED_WIDTH)
 
 
 def linear(spark, sf):
     return I.linear_attribution(vectors(spark, sf), raw_centroids(spark, sf).tolist())
 
 
-_FOLD = f"""{_PADDED}, {swt_ctes('padded', 'x')},
- fm AS (SELECT i AS pos, avg(abs(d1[i + 1]) + abs(d2[i + 1]) + abs(d3[i + 1]) + abs(a3[i + 1])) AS s FROM w3, range(0, {SHORT}) t(i) GROUP BY 1),
+_FOLD = f"""{PADDED_SWT},
+ fm AS (SELECT i AS pos, avg(abs(d1[i + 1]) + abs(d2[i + 1]) + abs(d3[i + 1]) + abs(a3[i + 1])) AS s FROM w3, range(0, {LABELLED_WIDTH}) t(i) GROUP BY 1),
  fold AS (SELECT 'f' || pos AS feature, s AS mean_abs, 100 * s / sum(s) OVER () AS percent, row_number() OVER (ORDER BY s DESC, pos)::INT AS rank FROM fm)"""
 _LIN = f"""{_CENT}, mu AS (SELECT i, avg(v) AS mu FROM pos GROUP BY 1), sd AS (SELECT i, avg(abs(v - mu)) AS s FROM pos JOIN mu USING (i) GROUP BY 1),
  st AS (SELECT i, sum(abs(m)) AS w FROM cent GROUP BY 1), lm AS (SELECT i AS pos, s * w AS s FROM sd JOIN st USING (i)),

@@ -83,6 +83,15 @@ def preds(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).select("row_key", "y_true", F.transform(p, lambda x: x.cast("float")).alias("y_prob"))
 
 
+LABELLED_WIDTH = WIDTH + 1  # a width that needs padding
+
+
+def labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors with the label as one more component."""
+    x = F.concat(F.transform("features", lambda v: v.cast("double")), F.array(F.col("y_true").cast("double")))
+    return vectors(spark, sf).select("row_key", x.alias("x"))
+
+
 # ------------------------------------------------------------------ events
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """Events per day as a training history."""
@@ -155,9 +164,8 @@ def _filter_sql(prev: str, taps: tuple[float, ...], step: int, n: int) -> str:
     return f"list_transform(range(0, {n}), lambda o: {terms})"
 
 
-def swt_ctes(source: str, features_col: str, prefix: str = "") -> str:
+def swt_ctes(source: str, features_col: str, prefix: str = "", n: int = WIDTH) -> str:
     """Common tables w1, w2, w3 -> bands with columns d1, d2, d3, a3 next to those of ``source``."""
-    n = WIDTH
     out = [f"{prefix}w0 AS (SELECT *, list_transform({features_col}, lambda v: v::DOUBLE) AS a0 FROM {source})"]
     for lev in (1, 2, 3):
         s = 2 ** (lev - 1)

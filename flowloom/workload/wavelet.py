@@ -4,11 +4,10 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import wavelet as V
 from flowloom.operators.bounds import fetched
-from flowloom.workload.inputs import GEOM, K, WIDTH, swt_ctes, vectors, with_
+from flowloom.workload.inputs import GEOM, K, LABELLED_WIDTH, WIDTH, labelled_vectors, swt_ctes, vectors, with_
 from flowloom.workload.registry import query, r
 
-SHORT = 60  # a width that needs padding to 64
-GEOM_SHORT = V.geometry(SHORT)
+GEOM_LABELLED = V.geometry(LABELLED_WIDTH)
 BANDS = tuple(b.lower() for b in V.SUBBANDS)
 _SWT = with_("vectors", more=swt_ctes("vectors", "features"))
 _BAND_COLS = {"cD1": "d1", "cD2": "d2", "cD3": "d3", "cA3": "a3"}
@@ -35,11 +34,17 @@ def swt_geometry(spark, sf):
     )
 
 
-@query("pad_reflect", f"SELECT vec_id AS row_key, i::INT AS pos, {r(f'embedding[CASE WHEN i < {SHORT} THEN i + 1 ELSE 2 * {SHORT} - 1 - i END]')} AS v "
-       "FROM embeddings, range(0, 64) t(i)")
+# The padded width is the next multiple of 2^3.
+_N, _PAD_N = LABELLED_WIDTH, -(-LABELLED_WIDTH // 8) * 8
+_WIDE = "list_append(list_transform(features, lambda v: v::DOUBLE), y_true::DOUBLE)"
+_PADDED = f"""wide AS (SELECT row_key, {_WIDE} AS f FROM vectors),
+ padded AS (SELECT row_key, list_transform(range(0, {_PAD_N}), lambda i: f[CASE WHEN i < {_N} THEN i + 1 ELSE 2 * {_N} - 1 - i END]) AS x FROM wide)"""
+PADDED_SWT = f"{_PADDED}, {swt_ctes('padded', 'x', n=_PAD_N)}"
+
+
+@query("pad_reflect", with_("vectors", more=_PADDED) + f"SELECT row_key, i::INT AS pos, {r('x[i + 1]')} AS v FROM padded, range(0, {_PAD_N}) t(i)")
 def pad_reflect(spark, sf):
-    short = vectors(spark, sf).select("row_key", F.slice("features", 1, SHORT).alias("x"))
-    padded = short.select("row_key", F.posexplode(V.pad_reflect("x", GEOM_SHORT)).alias("pos", "v"))
+    padded = labelled_vectors(spark, sf).select("row_key", F.posexplode(V.pad_reflect("x", GEOM_LABELLED)).alias("pos", "v"))
     return padded.withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
@@ -58,24 +63,21 @@ def _cells(df):
     return flat.select("row_key", "band", "cell", F.round(F.col("_v").cast("double"), 5).alias("value"))
 
 
-_IMAGE = " UNION ALL ".join(
-    f"SELECT row_key, {n} AS band, i::INT AS cell, {r(f'CASE WHEN i < 64 THEN {c}[i + 1] ELSE 0 END::FLOAT', 5)} AS value FROM w3, range(0, 81) t(i)"
-    for n, c in enumerate(_BAND_COLS.values())
-)
+def _image(width: int, cells: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT row_key, {n} AS band, i::INT AS cell, {r(f'CASE WHEN i < {width} THEN {c}[i + 1] ELSE 0 END::FLOAT', 5)} AS value FROM w3, range(0, {cells}) t(i)"
+        for n, c in enumerate(_BAND_COLS.values())
+    )
 
 
-@query("subband_image", _SWT + _IMAGE)
+@query("subband_image", _SWT + _image(64, 81))
 def subband_image(spark, sf):
     return _cells(subbands(spark, sf).select("row_key", V.subband_image("subbands", GEOM).alias("image")))
 
 
-_PADDED = f"""padded AS (SELECT row_key, list_transform(range(0, 64), lambda i: features[CASE WHEN i < {SHORT} THEN i + 1 ELSE 2 * {SHORT} - 1 - i END]) AS x FROM vectors)"""
-
-
-@query("swt_transform", with_("vectors", more=f"{_PADDED}, {swt_ctes('padded', 'x')}") + _IMAGE)
+@query("swt_transform", with_("vectors", more=PADDED_SWT) + _image(_PAD_N, GEOM_LABELLED.side**2))
 def swt_transform(spark, sf):
-    short = vectors(spark, sf).select("row_key", F.slice("features", 1, SHORT).alias("x"))
-    return _cells(V.swt_images(short, "x", GEOM_SHORT))
+    return _cells(V.swt_images(labelled_vectors(spark, sf), "x", GEOM_LABELLED))
 
 
 _ENERGY = {b: f"list_sum(list_transform({c}, lambda v: v * v))" for b, c in _BAND_COLS.items()}
@@ -113,8 +115,7 @@ def energy_share(spark, sf):
     return _rounded(V.energy_share(energy(spark, sf)))
 
 
-@query("unfold_positions", with_("vectors", more=f"{_PADDED}, {swt_ctes('padded', 'x')}") + f"SELECT row_key, i::INT AS pos, {_LONG} FROM w3, range(0, {SHORT}) t(i)")
+@query("unfold_positions", with_("vectors", more=PADDED_SWT) + f"SELECT row_key, i::INT AS pos, {_LONG} FROM w3, range(0, {_N}) t(i)")
 def unfold_positions(spark, sf):
-    short = vectors(spark, sf).select("row_key", F.slice("features", 1, SHORT).alias("x"))
-    bands = V.with_subbands(short, "x", GEOM_SHORT)
-    return _rounded(V.band_positions(bands, "subbands", GEOM_SHORT, "row_key"))
+    bands = V.with_subbands(labelled_vectors(spark, sf), "x", GEOM_LABELLED)
+    return _rounded(V.band_positions(bands, "subbands", GEOM_LABELLED, "row_key"))
