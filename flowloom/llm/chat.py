@@ -5,10 +5,11 @@ before each backslash, ``###``, ``</turn>`` and, in roles, ``:``, so that readin
 the UTF-8 bytes of the formatted turn.
 
 A node of the tree is a turn together with all turns before it; its name is a chain of hashes. Equal
-nodes of all conversations are one row. Nodes are ordered by the chain of names from the root, which is
-depth-first order, and laid one behind the other in a token stream. Spark sorts them by range, sums the
-token counts of each range, and adds the sums of the ranges before, so that one first turn under a third
-of all conversations is no large group. A node has: the interval of its tokens in the stream, the
+nodes of all conversations are one row. Conversations are sorted by their chains; a node's place is that
+of the first conversation through it and its depth, which is depth-first order, and the nodes are laid
+one behind the other in a token stream. Spark sorts by range, sums inside each range, and adds the sums
+of the ranges before, so that one first turn under a third of all conversations is no large group. No
+step makes more rows than there are turns. A node has: the interval of its tokens in the stream, the
 position id of its first token (the tokens of its ancestors come before), and where its loss mask
 begins and ends. A conversation has the intervals of its nodes from the root on: a token sees its own
 interval up to itself and those of its ancestors whole.
@@ -26,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from flowloom.llm.common import cut
 
@@ -58,13 +60,12 @@ def formatted(rows: DataFrame) -> DataFrame:
 
 
 def paths(turns: DataFrame) -> DataFrame:
-    """Each turn of each conversation with its place and the names of the nodes down to it.
+    """Each conversation with the hashes of its turns and the names of the nodes down to each turn.
 
-    Only hashes and lengths are gathered for a conversation, not its texts.
+    Only hashes are gathered for a conversation, not its texts.
     """
-    named = turns.withColumn("_fl_hash", F.substring(F.sha2(F.concat("_fl_head", "_fl_body"), 256), 1, 32))
-    item = F.struct(F.col("_fl_turn"), F.col("_fl_hash"))
-    convs = named.groupBy("_fl_conv").agg(F.sort_array(F.collect_list(item)).alias("_fl_items"))
+    named = turns.withColumn("_fl_hash", turn_hash())
+    convs = named.groupBy("_fl_conv").agg(F.sort_array(F.collect_list(F.struct("_fl_turn", "_fl_hash"))).alias("_fl_items"))
     # The name of a node covers its turn and, through the name before it, all turns above.
     chain = F.aggregate(
         "_fl_items", F.array().cast("array<string>"),
@@ -73,6 +74,36 @@ def paths(turns: DataFrame) -> DataFrame:
     return convs.select("_fl_conv", F.transform("_fl_items", lambda x: x["_fl_hash"]).alias("_fl_hashes"), chain.alias("_fl_chain"))
 
 
+def turn_hash() -> Column:
+    return F.substring(F.sha2(F.concat("_fl_head", "_fl_body"), 256), 1, 32)
+
+
+def running(df: DataFrame, order: list[str], size: str, out: str) -> DataFrame:
+    """``out``: the sum of ``size`` over all rows up to and with each, in the given order.
+
+    Rows are sorted by range and summed inside each range; the sums of the ranges before, one number
+    for each partition, are added afterwards.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_fl_range", F.spark_partition_id())
+    fields = [*ranged.schema.fields, T.StructField("_fl_sum", T.LongType())]
+
+    def add(batches):
+        total = 0
+        for pdf in batches:
+            if len(pdf):
+                sums = total + pdf[size].cumsum()
+                total = int(sums.iloc[-1])
+                yield pdf.assign(_fl_sum=sums)
+
+    laid = cut(ranged.mapInPandas(add, T.StructType(fields)))
+    base, total = [], 0
+    for r in laid.groupBy("_fl_range").agg(F.max("_fl_sum").alias("s")).orderBy("_fl_range").collect():
+        base += [F.lit(r[0]), F.lit(total)]
+        total += r["s"]
+    before = F.create_map(*base)[F.col("_fl_range")] if base else F.lit(0)
+    return laid.select(*df.columns, (F.col("_fl_sum") + before).alias(out))
+
+
 def tree(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes, conversations).
 
@@ -83,59 +114,35 @@ def tree(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """
     rows = conversations.select(*[F.col(f"`{c}`").alias(f"_fl_{o}") for c, o in ((conv_id, "conv"), (turn, "turn"), (role, "role"), (text, "text"))])
     turns = formatted(rows)
-    convs = cut(paths(turns))
-    steps = convs.select("_fl_conv", "_fl_chain", F.posexplode("_fl_hashes").alias("_fl_depth", "_fl_hash"))
-    node = F.element_at("_fl_chain", F.col("_fl_depth") + 1)
-    # Equal nodes meet in partial sums before the shuffle; a chain is the same for all of them.
-    shapes = steps.select(
-        node.alias("node"), "_fl_hash", F.col("_fl_depth").alias("depth"),
-        F.concat_ws("/", F.slice("_fl_chain", 1, F.col("_fl_depth") + 1)).alias("_fl_path"),
-    ).distinct()
-    texts = turns.select(
-        F.substring(F.sha2(F.concat("_fl_head", "_fl_body"), 256), 1, 32).alias("_fl_hash"), "_fl_head", "_fl_body", "_fl_loss",
-    ).distinct()
-    size = F.octet_length("_fl_head") + F.octet_length("_fl_body") + len(CLOSE)
-    sized = shapes.join(texts.select("_fl_hash", size.cast("long").alias("_fl_size")), "_fl_hash")
-    ranged = sized.repartitionByRange("_fl_path").sortWithinPartitions("_fl_path")
-
-    def lay(batches):
-        total = 0
-        for pdf in batches:
-            ends = total + pdf["_fl_size"].cumsum()
-            yield pdf.assign(_fl_end=ends)
-            total = int(ends.iloc[-1]) if len(ends) else total
-
-    laid = cut(ranged.withColumn("_fl_range", F.spark_partition_id()).mapInPandas(
-        lay, T.StructType([*ranged.schema.fields, T.StructField("_fl_range", T.IntegerType()), T.StructField("_fl_end", T.LongType())])
-    ))
-    # One sum for each range: as many rows as there are partitions.
-    sums = laid.groupBy("_fl_range").agg(F.sum("_fl_size").alias("_fl_sum")).orderBy("_fl_range").collect()
-    before, total = {}, 0
-    for r in sums:
-        before[r[0]] = total
-        total += r[1]
-    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_fl_range")] if before else F.lit(0)
-    placed = laid.select(
-        "node", "_fl_hash", "depth", "_fl_path", "_fl_size",
-        (F.col("_fl_end") - F.col("_fl_size") + base).alias("start"), (F.col("_fl_end") + base).alias("end"),
+    # In the order of their chains, conversations that share their first turns stand together, and a node's
+    # place depth-first is that of the first conversation that goes through it, and then its depth.
+    keyed = paths(turns).select("_fl_hashes", "_fl_chain", "_fl_conv", F.lit(1).cast("long").alias("_fl_one"))
+    # The id travels as text through pandas, because a null would turn whole numbers into floating ones.
+    ids = keyed.schema["_fl_conv"].dataType
+    ranked = running(keyed.withColumn("_fl_conv", F.col("_fl_conv").cast("string")), ["_fl_chain", "_fl_conv"], "_fl_one", "_fl_rank")
+    convs = ranked.withColumn("_fl_conv", F.col("_fl_conv").cast(ids))
+    step = F.arrays_zip(
+        F.col("_fl_chain").alias("node"), F.col("_fl_hashes").alias("hash"), F.concat(F.array(F.lit(None).cast("string")), "_fl_chain").alias("parent"),
+    )
+    steps = convs.select("_fl_conv", "_fl_rank", F.posexplode(step).alias("depth", "_fl_s")).where("_fl_s.node is not null").select(
+        "_fl_conv", "_fl_rank", "depth", F.col("_fl_s.node").alias("node"), F.col("_fl_s.parent").alias("parent"), F.col("_fl_s.hash").alias("_fl_hash"),
     )
-    steps = convs.select("_fl_conv", F.posexplode("_fl_chain").alias("_fl_depth", "node"))
-    seen = steps.join(placed.select("node", "start", "end"), "node")
-    item = F.struct("_fl_depth", "node", "start", "end")
-    listed = seen.groupBy("_fl_conv").agg(F.sort_array(F.collect_list(item)).alias("_fl_items"))
-    length = lambda i: F.aggregate(F.slice("_fl_items", 1, i), F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    intervals = F.transform("_fl_items", lambda x, i: F.struct(
-        x["_fl_depth"].alias("depth"), x["node"].alias("node"), x["start"].alias("start"), x["end"].alias("end"), length(i).alias("position"),
-    ))
-    examples = listed.select(F.col("_fl_conv").alias("conv"), intervals.alias("intervals"))
-    # A node's position is the number of tokens of its ancestors, whose names are on its path.
-    up = placed.select("node", F.posexplode(F.split("_fl_path", "/")).alias("_fl_i", "_fl_up"))
-    above = up.join(placed.select(F.col("node").alias("_fl_up"), F.col("_fl_size").alias("_fl_above")), "_fl_up")
-    position = above.groupBy("node").agg(F.sum("_fl_above").alias("_fl_sum"))
-    parts = F.split("_fl_path", "/")
+    # Equal nodes meet in partial results before the shuffle; depth, parent and turn are the same for all of them.
+    shapes = steps.groupBy("node").agg(F.min("_fl_rank").alias("_fl_rank"), F.min("depth").alias("depth"), F.min("parent").alias("parent"), F.min("_fl_hash").alias("_fl_hash"))
+    size = (F.octet_length("_fl_head") + F.octet_length("_fl_body") + len(CLOSE)).cast("long")
+    texts = turns.select(turn_hash().alias("_fl_hash"), "_fl_head", "_fl_body", "_fl_loss").distinct()
+    sized = shapes.join(texts.select("_fl_hash", size.alias("_fl_size")), "_fl_hash")
+    placed = running(sized, ["_fl_rank", "depth"], "_fl_size", "end").withColumn("start", F.col("end") - F.col("_fl_size"))
+    seen = steps.select("_fl_conv", "_fl_rank", "depth", "node").join(placed.select("node", "start", "end"), "node")
+    down = W.partitionBy("_fl_rank").orderBy("depth").rowsBetween(W.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col("end") - F.col("start")).over(down), F.lit(0).cast("long"))
+    seen = seen.withColumn("position", at)
+    examples = seen.groupBy("_fl_rank", F.col("_fl_conv").alias("conv")).agg(
+        F.sort_array(F.collect_list(F.struct("depth", "node", "start", "end", "position"))).alias("intervals")
+    ).drop("_fl_rank")
+    position = seen.groupBy("node").agg(F.min("position").alias("position"))
     nodes = placed.join(position, "node").join(texts, "_fl_hash").select(
-        "node", F.when(F.col("depth") > 0, F.element_at(parts, F.greatest(F.col("depth"), F.lit(1)))).alias("parent"), "depth",
-        "start", "end", (F.col("_fl_sum") - F.col("_fl_size")).alias("position"),
+        "node", "parent", "depth", "start", "end", "position",
         F.octet_length("_fl_head").cast("long").alias("loss_start"),
         F.when(F.col("_fl_loss"), F.octet_length("_fl_head") + F.octet_length("_fl_body")).otherwise(F.octet_length("_fl_head")).cast("long").alias("loss_end"),
         F.concat("_fl_head", "_fl_body", F.lit(CLOSE)).cast("binary").alias("tokens"),
