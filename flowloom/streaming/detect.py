@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,16 +58,23 @@ def stream_confusion(preds: DataFrame, true: str = "y_true", pred: str = "y_pred
 
 
 def run_complete(stream: DataFrame) -> DataFrame:
-    """Last snapshot of a complete-mode aggregate whose result is small, such as class x class counts."""
+    """Last snapshot of a complete-mode aggregate, written batch by batch to the shared folder."""
     spark = stream.sparkSession
-    name = f"snapshot_{uuid.uuid4().hex}"
+    base = shared_dir(spark, "snapshot")
+    written: list[str] = []
+
+    def keep(snapshot: DataFrame, batch: int) -> None:
+        path = f"{base}/table/{batch}"
+        snapshot.write.mode("overwrite").parquet(path)  # a batch that is run again writes the same folder
+        written.append(path)
+
     query = (
-        stream.writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", shared_dir(spark, "snapshot"))
+        stream.writeStream.foreachBatch(keep).outputMode("complete")
+        .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)
 
 
 def stream_append_unique(
