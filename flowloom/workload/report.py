@@ -8,7 +8,7 @@ from flowloom.workload import attribution as I
 from flowloom.workload.curves import _CUM, _PR, _PR_COLS, _ROC, _ROC_COLS, AP_CTE, AREA_CTE, MACRO_CTES
 from flowloom.workload.inputs import K, flow_split, history, preds, with_
 from flowloom.workload.metrics import BASELINE_SQL
-from flowloom.workload.registry import query, r
+from flowloom.workload.registry import SQL, query, r
 from flowloom.workload.wavelet import SHARE_SQL, energy
 
 _H = ("learning_rate", "train_mse_loss", "val_mse_loss", "train_accuracy", "epoch_seconds", "samples_per_second", "peak_rss_mb")
@@ -87,7 +87,14 @@ def rpt_baseline(spark, sf):
     return P.baseline_table(preds(spark, sf), K)
 
 
-@query("report_all")
+_TABLES = ("learning_curves", "lr_schedule", "epoch_time", "confusion", "roc", "pr", "per_class", "baseline", "class_distribution",
+           "subband_energy", "ablation", "permutation", "attribution")
+REPORT_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS report, count(*) AS n_rows FROM ({SQL['rpt_confusion_wide' if t == 'confusion' else f'rpt_{t}']})" for t in _TABLES
+)
+
+
+@query("report_all", REPORT_SQL)
 def report_all(spark, sf):
     inputs = {
         "history": history(spark, sf),
@@ -95,6 +102,7 @@ def report_all(spark, sf):
         "splits": flow_split(spark, sf),
         "energy": energy(spark, sf).withColumnRenamed("y_true", "label"),
         "ablation": I.ablation(spark, sf),
+        "permutation": I.permutation_importance(spark, sf),
         "attribution": I.folded(spark, sf),
     }
     return P.report_sizes(P.report_all(inputs, K, "label"), spark)
