@@ -6,13 +6,14 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Characters of text that one call of a batch function gets, unless a single text is longer.
-CHUNK_CHARS = 4_000_000
+#: Bytes of text that one call of a batch function gets, unless a single text is longer.
+CHUNK_CHARS = 1_000_000
 
 #: Prefix of every column that an operator adds for itself.
 OWN = "_fl_"
@@ -40,16 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts with about ``limit`` characters; every text is in exactly one run."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
+def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about ``limit`` bytes; every text is in exactly one run."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > limit:
             yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def source_columns(keep: list[str], text: str) -> list[Column]:
@@ -68,22 +69,25 @@ def map_texts(
     as the empty one), and lists of the columns ``others``, and gives one list for each field. Only the named columns are read, so other
     columns may have any names. No row is moved between partitions.
     """
-    source = df.select(*source_columns(keep, text))
-    if others:
-        source = df.select(*source_columns(keep, text), *[F.col(f"`{c}`").alias(f"{OWN}other{i}") for i, c in enumerate(others)])
+    source = df.select(*source_columns(keep, text), *[F.col(f"`{c}`").alias(f"{OWN}other{i}") for i, c in enumerate(others or [])])
     kept = [T.StructField(c, f.dataType, f.nullable) for c, f in zip(keep, source.schema.fields, strict=False)]
+    # A text that is kept anyway goes to Python once.
+    at = keep.index(text) if text in keep and dict(df.dtypes).get(text) == "string" else len(keep)
+    if at < len(keep):
+        source = source.drop(OWN + "body")
+    first_other = len(keep) + (at == len(keep))
     types = [to_arrow_type(f.dataType) for f in fields]
-    names = [f.name for f in kept] + [f.name for f in fields]
+    names = [*keep, *[f.name for f in fields]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
                 part = batch.slice(lo, hi - lo)
-                more = [part.column(len(kept) + 1 + i).to_pylist() for i in range(len(others or []))]
-                new = [pa.array(c, type=k) for c, k in zip(fn(texts[lo:hi], *more), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + new, names=names)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                more = [part.column(first_other + i).to_pylist() for i in range(len(others or []))]
+                new = [pa.array(c, type=k) for c, k in zip(fn(texts, *more), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + new, names=names)
 
     return source.mapInArrow(run, T.StructType([*kept, *fields]))
 

@@ -37,7 +37,7 @@ BYTE_BITS = 16
 WIDTH = BYTES + (1 << BYTE_BITS)
 SMOOTH, COST, EPOCHS, FOLDS, MIX = 1.0, 1.0, 30, 3, 0.25
 LAST = {".": 1, ",": 2, "!": 3, "?": 3, "%": 4, "#": 5, "$": 6, "&": 7, "*": 8, "|": 9, ";": 10, ":": 10, ")": 11, '"': 11}
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def shape(word: str) -> int:
