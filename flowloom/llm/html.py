@@ -1,8 +1,11 @@
 """Main text of web pages by consensus of the pages of a host.
 
 Pass one scores the containers of every page: a text block gives its characters outside links to its
-container, half to the next one out, and so on. The best container's path, tags with their first class
-and without digits, is the page's vote. Spark adds up the votes of a host, with partial sums before the
+container, half to the next one out, and so on. Lists and tables are no containers here. From the best one
+the page climbs to the enclosing article or main, and on to every container around it that adds text of few
+links outside other articles; the body only where it holds such text itself, a heading or a tenth as much.
+The path of the container it arrives at, tags with their first class and without digits, is the page's vote
+with all characters below it. Spark adds up the votes of a host, with partial sums before the
 shuffle, so a host with a third of all pages sends a row for each path and task. Pass two extracts the
 blocks below the host's winning path; a page without such a container falls back to its own best one.
 
@@ -43,6 +46,9 @@ DROPPED = {
     "svg", "math", "canvas", "object", "audio", "video", "map",
 } | RAW
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "center", "table", "tbody", "tr", "td", "ul", "ol", "dl", "details", "fieldset", "header"}
+#: What a list or a table holds belongs to the container around it.
+VOTING = CONTAINERS - {"table", "tbody", "tr", "td", "ul", "ol", "dl"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = CONTAINERS | DROPPED | {
     "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "th", "thead", "tfoot", "caption",
     "address", "figure", "figcaption", "hgroup", "summary", "legend", "hr", "br",
@@ -137,7 +143,7 @@ class Page:
             self.tags.append(tag)
             self.parents.append(parent)
             first = re.sub(r"\d+", "", (names.get("class", "").lower().split() or [""])[0])
-            grows = tag in CONTAINERS and len(self.paths[parent]) < LONGEST_PATH
+            grows = tag in VOTING and len(self.paths[parent]) < LONGEST_PATH
             self.paths.append(f"{self.paths[parent]}>{tag}.{first}" if grows else self.paths[parent])
             self.dropped.append(self.dropped[parent] or self.drops(tag, names, stack))
             if tag in RAW:
@@ -157,26 +163,70 @@ class Page:
         return hidden or names.get("role", "").lower() in ROLES or is_marked(f"{names.get('class', '')} {names.get('id', '')}")
 
     def best(self) -> tuple[str, float]:
-        """Path and score of the best container."""
+        """Path of the best container, and the characters outside links below it."""
         scores: dict[int, float] = {}
         for owner, text, linked in self.blocks:
             e, share = owner, max(0, len(text) - 2 * linked)
             while e >= 0 and share >= 0.5:
-                if e == 0 or self.tags[e] in CONTAINERS:
+                if e == 0 or self.tags[e] in VOTING:
                     scores[e] = scores.get(e, 0.0) + share * (1.25 if self.tags[e] in ("article", "main") else 1.0)
                     share /= 2
                 e = self.parents[e]
         if not scores:
             return "", 0.0
-        e = max(scores, key=lambda e: (scores[e], -e))
-        return self.paths[e], scores[e]
+        e = self.climb(max(scores, key=lambda e: (scores[e], -e)))
+        return self.paths[e], self.held(self.paths[e])
 
-    def extract(self, path: str) -> str | None:
-        """Blocks below the elements of a path, in page order; None if the page has no such element."""
+    def climb(self, e: int) -> int:
+        """The outermost container around an element that adds to the article."""
+        n = len(self.tags)
+        below, direct, heading = [0] * n, [0] * n, [False] * n
+        for owner, text, linked in self.blocks:
+            if 2 * linked < len(text):
+                below[owner] += len(text)
+                at = owner
+                while at > 0 and self.tags[at] not in VOTING:
+                    at = self.parents[at]
+                direct[at] += len(text)
+                heading[at] = heading[at] or self.tags[owner] in HEADINGS
+        outside = below[:]  # without the text of other articles
+        for i in range(n - 1, 0, -1):
+            below[self.parents[i]] += below[i]
+            if self.tags[i] != "article":
+                outside[self.parents[i]] += outside[i]
+        around = []
+        at = e
+        while at >= 0:
+            if at == 0 or self.tags[at] in VOTING:
+                around.append(at)
+            at = self.parents[at]
+        article = next((i for i, at in enumerate(around) if self.tags[at] in ("article", "main")), 0)
+        chosen, last = around[article], around[article]
+        for at in around[article + 1 :]:
+            if self.tags[at] in ("", "html", "body"):
+                adds = heading[at] or direct[at] > 0 and 10 * direct[at] >= below[chosen]
+            else:
+                adds = outside[at] > (0 if self.tags[last] == "article" else outside[last])
+            if adds:
+                chosen = at
+            last = at
+        return chosen
+
+    def held(self, path: str) -> float:
+        """Characters outside links below the elements of a path."""
+        inside = self.below(path)
+        return float(sum(max(0, len(t) - 2 * linked) for e, t, linked in self.blocks if inside[e]))
+
+    def below(self, path: str) -> list[bool]:
         inside = [False] * len(self.tags)
         for e in range(len(self.tags)):
-            own = self.paths[e] == path and (e == 0 or self.tags[e] in CONTAINERS)
+            own = self.paths[e] == path and (e == 0 or self.tags[e] in VOTING)
             inside[e] = own or (e > 0 and inside[self.parents[e]])
+        return inside
+
+    def extract(self, path: str) -> str | None:
+        """Blocks below the elements of a path, in page order; None if the page has no such element."""
+        inside = self.below(path)
         if not any(inside):
             return None
         return " ".join(t for e, t, _ in self.blocks if inside[e])

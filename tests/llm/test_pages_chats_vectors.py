@@ -69,6 +69,24 @@ def test_winners_too_large_to_broadcast(spark, monkeypatch):
     assert {r.page_id: r.text for r in QUERIES["op3_html_extraction"](spark, SF).collect()} == want
 
 
+P = "word " * 200
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    (f"<body><article><h1>title</h1><div class=body><p>{P}</p></div></article><div>x</div></body>", f"title {P}"),
+    (f"<article><p>{'lead ' * 20}</p><ul><li>{P}</ul></article>", f"{'lead ' * 20}{P}"),
+    (f"<table><tr><td>{'lead ' * 20}<td>{P}</table>", f"{'lead ' * 20}{P}"),
+    (f"<body><div class=post><h2>t</h2><div class=lead>a</div><div class=body><p>{P}</p></div><section>{'more ' * 50}</section></div><div>x</div></body>", f"t a {P}{'more ' * 50}"),
+    (f"<main><h1>t</h1><article>{P}</article></main><div>x</div>", f"t {P}"),
+    (f"<main><article>{P}</article><article class=teaser>other</article></main>", P),
+    (f"<div id=page><div class=body>{P}</div><div><a href=x>{'link ' * 30}</a></div></div>", P),
+    (f"<body><h1>t</h1><div>{P}</div></body>", f"t {P}"),
+    (f"<body><div class=a>{P}</div>Copyright<div class=b>x</div></body>", P),
+])
+def test_page_climbs_to_the_whole_article(source, text):
+    assert pages.main_text(source, None)[0] == text.strip()
+
+
 # ------------------------------------------------------------------ chats
 def digests(turns):
     loss = "".join(t for r, t in turns if r == "assistant")
