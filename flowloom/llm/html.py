@@ -10,7 +10,10 @@ shuffle, so a host with a third of all pages sends a row for each path and task.
 blocks below the host's winning path; a page without such a container falls back to its own best one.
 
 Blocks below menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments never count, by tag, role, class or id. Character references are decoded once; white space in a
+comments never count, by tag, role, class or id. A class or id alone does not drop what lies around main or
+around the page's largest article, nor the elements of one name that together hold most of the page's text
+outside links: these stay with a quarter of their score, and reader comments, adverts and notices among
+them only where nothing around them is taken. Character references are decoded once; white space in a
 block becomes one space; empty blocks go; blocks are joined in page order by one space.
 
 Null and empty pages have an empty text. Pages without a host vote for themselves alone. Rows that
@@ -64,26 +67,43 @@ MARKS = {
     "related", "recommended", "newsletter", "subscribe", "signup", "login", "popup", "modal", "widget", "toolbar", "pagination",
     "pager", "search",
 }
+#: Marks of text that is never part of an article around it.
+OTHERS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie",
+    "cookies", "consent", "notice", "notices", "alert", "gdpr", "comment", "comments", "disqus", "replies", "respond",
+}
+#: Score of marked text that holds most of a page, and share of a page's text that its main article has at least.
+PENALTY, LEAST_ARTICLE = 0.25, 0.25
 WHOLE = {"header", "site-header", "page-header", "top", "bottom", "side", "aside", "hidden", "form"}
 SAFE = {"html", "body", "main", "article"}
 WINNERS_BYTES = 8_000_000
 
 
-def is_marked(names: str) -> bool:
+def mark_of(names: str) -> str:
+    """The first class name or id that marks what is not the article; empty if there is none."""
     for name in names.lower().split():
-        parts = re.split(r"[-_]+|(?<=\D)(?=\d)", name)
-        if name in WHOLE or parts[0] not in ("with", "has", "no", "without") and not MARKS.isdisjoint(parts):
-            return True
-    return False
+        parts = parts_of(name)
+        if name in WHOLE or not MARKS.isdisjoint(parts):
+            return name
+    return ""
+
+
+def parts_of(name: str) -> list[str]:
+    """Parts of a name, up to a word that says what it comes with."""
+    parts = re.split(r"[-_]+|(?<=\D)(?=\d)", name)
+    return parts[: next((i for i, p in enumerate(parts) if p in ("with", "has", "no", "without")), len(parts))]
 
 
 class Page:
-    """Elements and text blocks of a page; an element is (tag, path, parent, dropped)."""
+    """Elements and text blocks of a page; an element is (tag, path, parent, dropped, mark)."""
 
     def __init__(self, source: str):
-        self.tags, self.paths, self.parents, self.dropped = [""], [""], [-1], [False]
+        self.tags, self.paths, self.parents, self.dropped, self.marks = [""], [""], [-1], [False], [""]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.parse(source)
+        self.weights, self.others = [1.0] * len(self.tags), [False] * len(self.tags)
+        if any(self.marks):
+            self.judge()
 
     def parse(self, source: str) -> None:
         stack = [0]
@@ -146,6 +166,7 @@ class Page:
             grows = tag in VOTING and len(self.paths[parent]) < LONGEST_PATH
             self.paths.append(f"{self.paths[parent]}>{tag}.{first}" if grows else self.paths[parent])
             self.dropped.append(self.dropped[parent] or self.drops(tag, names, stack))
+            self.marks.append("" if tag in ("html", "body", "main") else mark_of(f"{names.get('class', '')} {names.get('id', '')}"))
             if tag in RAW:
                 end = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(source, at)
                 at = end.start() if end else len(source)
@@ -160,13 +181,45 @@ class Page:
         if tag in ("html", "body", "main"):
             return False
         hidden = "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
-        return hidden or names.get("role", "").lower() in ROLES or is_marked(f"{names.get('class', '')} {names.get('id', '')}")
+        return hidden or names.get("role", "").lower() in ROLES
+
+    def judge(self) -> None:
+        """Weight of each element's text by the marks around it; blocks of weight 0 go."""
+        n = len(self.tags)
+        below = [0] * n
+        for owner, text, linked in self.blocks:
+            below[owner] += max(0, len(text) - 2 * linked)
+        for e in range(n - 1, 0, -1):
+            below[self.parents[e]] += below[e]
+        foreign = [False] * n
+        for e in range(1, n):
+            foreign[e] = foreign[self.parents[e]] or not OTHERS.isdisjoint(parts_of(self.marks[e]))
+        articles = [e for e in range(n) if self.tags[e] == "article" and not foreign[e] and below[e] >= max(1, LEAST_ARTICLE * below[0])]
+        kept = [False] * n
+        for e in [e for e in range(n) if self.tags[e] == "main" and below[e]] + sorted(articles, key=lambda e: (-below[e], e))[:1]:
+            while e > 0 and not kept[e]:
+                kept[e] = True
+                e = self.parents[e]
+        sums: dict[str, int] = {}
+        names: list[frozenset[str]] = [frozenset()] * n  # of the element and those around it
+        for e in range(1, n):
+            names[e] = names[self.parents[e]]
+            if self.marks[e] and self.marks[e] not in names[e]:
+                names[e] |= {self.marks[e]}
+                sums[self.marks[e]] = sums.get(self.marks[e], 0) + below[e]
+        for e in range(1, n):
+            self.weights[e], self.others[e] = self.weights[self.parents[e]], self.others[self.parents[e]]
+            if self.marks[e] and not kept[e]:
+                most = 2 * sums[self.marks[e]] > below[0]
+                self.weights[e] = min(self.weights[e], PENALTY if most else 0.0)
+                self.others[e] = self.others[e] or not OTHERS.isdisjoint(parts_of(self.marks[e]))
+        self.blocks = [b for b in self.blocks if self.weights[b[0]]]
 
     def best(self) -> tuple[str, float]:
         """Path of the best container, and the characters outside links below it."""
         scores: dict[int, float] = {}
         for owner, text, linked in self.blocks:
-            e, share = owner, max(0, len(text) - 2 * linked)
+            e, share = owner, max(0, len(text) - 2 * linked) * self.weights[owner]
             while e >= 0 and share >= 0.5:
                 if e == 0 or self.tags[e] in VOTING:
                     scores[e] = scores.get(e, 0.0) + share * (1.25 if self.tags[e] in ("article", "main") else 1.0)
@@ -182,7 +235,7 @@ class Page:
         n = len(self.tags)
         below, direct, heading = [0] * n, [0] * n, [False] * n
         for owner, text, linked in self.blocks:
-            if 2 * linked < len(text):
+            if 2 * linked < len(text) and self.others[e] >= self.others[owner]:
                 below[owner] += len(text)
                 at = owner
                 while at > 0 and self.tags[at] not in VOTING:
@@ -213,23 +266,25 @@ class Page:
         return chosen
 
     def held(self, path: str) -> float:
-        """Characters outside links below the elements of a path."""
-        inside = self.below(path)
-        return float(sum(max(0, len(t) - 2 * linked) for e, t, linked in self.blocks if inside[e]))
+        """Characters outside links below the elements of a path, by their weight."""
+        return sum((max(0, len(t) - 2 * linked) * self.weights[e] for e, t, linked in self.taken(path) or []), 0.0)
 
-    def below(self, path: str) -> list[bool]:
-        inside = [False] * len(self.tags)
+    def taken(self, path: str) -> list[tuple[int, str, int]] | None:
+        """Blocks below the elements of a path; those of others only if there is nothing else."""
+        top = [-1] * len(self.tags)
         for e in range(len(self.tags)):
-            own = self.paths[e] == path and (e == 0 or self.tags[e] in VOTING)
-            inside[e] = own or (e > 0 and inside[self.parents[e]])
-        return inside
+            top[e] = top[self.parents[e]] if e else -1
+            if top[e] < 0 and self.paths[e] == path and (e == 0 or self.tags[e] in VOTING):
+                top[e] = e
+        if max(top) < 0:
+            return None
+        inside = [b for b in self.blocks if top[b[0]] >= 0]
+        return [b for b in inside if self.others[top[b[0]]] >= self.others[b[0]]] or inside
 
     def extract(self, path: str) -> str | None:
         """Blocks below the elements of a path, in page order; None if the page has no such element."""
-        inside = self.below(path)
-        if not any(inside):
-            return None
-        return " ".join(t for e, t, _ in self.blocks if inside[e])
+        blocks = self.taken(path)
+        return None if blocks is None else " ".join(t for _, t, _ in blocks)
 
 
 def main_text(source: str, winner: str | None) -> tuple[str, str]:

@@ -87,6 +87,21 @@ def test_page_climbs_to_the_whole_article(source, text):
     assert pages.main_text(source, None)[0] == text.strip()
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    (f"<body><div class=content-sidebar-wrap><main><p>{P}</p></main><div class=sidebar>x</div></div></body>", P),
+    (f"<body><div class=entry><h1>t</h1>{f'<div class=elementor-widget><p>{P}</p></div>' * 3}</div></body>", f"t {P}{P}{P}"),
+    (f"<body><div class=article-with-comments><p>{P}</p></div></body>", P),
+    (f"<body><div class=post-share-wrap><article><p>{P}</p></article></div></body>", P),
+    (f"<body><article id=search-results-article><p>{P}</p></article></body>", P),
+    (f"<body><div class=post><p>{P}</p></div><div class=related-posts><article>{'teaser ' * 9}</article></div></body>", P),
+    (f"<main><div class=post><p>{P}</p></div><div id=comments><article class=comment-body>{P}{P}</article></div></main>", P),
+    (f"<body><article>{P}</article><div class=comment-list>{P}{P}{P}</div></body>", P),
+    (f"<body><p class=comment>{P}</p></body>", P),
+])
+def test_marked_names_alone_do_not_drop_the_article(source, text):
+    assert pages.main_text(source, None)[0] == text.strip()
+
+
 # ------------------------------------------------------------------ chats
 def digests(turns):
     loss = "".join(t for r, t in turns if r == "assistant")
