@@ -6,8 +6,10 @@ the page climbs to the enclosing article or main, and on to every container arou
 links outside other articles; the body only where it holds such text itself, a heading or a tenth as much.
 The path of the container it arrives at, tags with their first class and without digits, is the page's vote
 with all characters below it. Spark adds up the votes of a host, with partial sums before the
-shuffle, so a host with a third of all pages sends a row for each path and task. Pass two extracts the
-blocks below the host's winning path; a page without such a container falls back to its own best one.
+shuffle, so a host with a third of all pages sends a row for each path and task. Winning paths are the one with the most characters and all that have
+two pages and a twentieth of the host's votes, so 21 at most. Pass two extracts the blocks below the
+winning path that holds most of the page; where none holds a quarter of what the page's own best container
+holds, or the page has none, that container is taken.
 
 Blocks below menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments never count, by tag, role, class or id. A class or id alone does not drop what lies around main or
@@ -76,6 +78,8 @@ OTHERS = {
 PENALTY, LEAST_ARTICLE = 0.25, 0.25
 WHOLE = {"header", "site-header", "page-header", "top", "bottom", "side", "aside", "hidden", "form"}
 SAFE = {"html", "body", "main", "article"}
+#: Pages, and share of a host's pages, that a path needs to win beside the first; share of a page's own best container that a winner holds at least.
+LEAST_PAGES, LEAST_VOTES, LEAST_HELD = 2, 0.05, 0.25
 WINNERS_BYTES = 8_000_000
 
 
@@ -287,15 +291,15 @@ class Page:
         return None if blocks is None else " ".join(t for _, t, _ in blocks)
 
 
-def main_text(source: str, winner: str | None) -> tuple[str, str]:
-    """(text, path used): by the winning path if that gives text, else by the page's own best container."""
+def main_text(source: str, winners: list[str] | str | None) -> tuple[str, str]:
+    """(text, path used): by the winning path that holds most of the page, or by the page's own best container."""
     page = Page(source)
-    if winner is not None:
-        found = page.extract(winner)
-        if found:
-            return found, winner
-    path, _ = page.best()
-    return page.extract(path) or "", path
+    own, score = page.best()
+    held = sorted((-page.held(w), i, w) for i, w in enumerate([winners] if isinstance(winners, str) else winners or []))
+    for chars, _, w in held:
+        if -chars >= LEAST_HELD * score and (found := page.extract(w)):
+            return found, w
+    return page.extract(own) or "", own
 
 
 def host_of(url: str):
@@ -304,23 +308,27 @@ def host_of(url: str):
 
 
 def winning_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(``_fl_host``, ``_fl_path``): the path with the largest sum of scores on each host, ties to the first."""
+    """(``_fl_host``, ``_fl_paths``): the path with the largest sum of scores on each host, ties to the first, and all with enough votes."""
     def make() -> Callable[[list[str]], list[list]]:
         return lambda sources: [list(c) for c in zip(*[Page(s).best() for s in sources], strict=True)]
 
     named = pages.select(F.col(f"`{html}`").alias("_fl_html"), host_of(url).alias("_fl_host")).where("_fl_host is not null")
     votes = map_texts(named, "_fl_html", ["_fl_host"], [string_field("_fl_path"), T.StructField("_fl_score", T.DoubleType())], make)
     # Whole numbers add up to the same sum in any order.
-    sums = votes.where("_fl_score > 0").groupBy("_fl_host", "_fl_path").agg(F.sum(F.floor("_fl_score")).alias("_fl_score"))
+    sums = votes.where("_fl_score > 0").groupBy("_fl_host", "_fl_path").agg(F.sum(F.floor("_fl_score")).alias("_fl_score"), F.count("*").alias("_fl_pages"))
+    sums = cut(sums)  # pages are read once for both uses
     best = F.min(F.struct((-F.col("_fl_score")).alias("s"), F.col("_fl_path").alias("p")))
-    return sums.groupBy("_fl_host").agg(best.alias("_fl_best")).select("_fl_host", F.col("_fl_best.p").alias("_fl_path"))
+    hosts = sums.groupBy("_fl_host").agg(best.alias("_fl_best"), F.sum("_fl_pages").alias("_fl_all"))
+    enough = (F.col("_fl_pages") >= F.greatest(F.lit(LEAST_PAGES), LEAST_VOTES * F.col("_fl_all"))) | (F.col("_fl_path") == F.col("_fl_best.p"))
+    won = sums.join(hosts, "_fl_host").where(enough)
+    return won.groupBy("_fl_host").agg(F.sort_array(F.collect_list("_fl_path")).alias("_fl_paths"))
 
 
 def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """``keep``, ``text``, ``n_chars`` and ``path`` of every page."""
     kept = keep or ["page_id", "url"]
     winners = cut(winning_paths(pages, html, url))
-    size = winners.agg(F.sum(F.octet_length("_fl_host") + F.octet_length("_fl_path"))).first()[0] or 0
+    size = winners.agg(F.sum(F.octet_length("_fl_host") + F.octet_length(F.array_join("_fl_paths", "")))).first()[0] or 0
     # Up to a checked size the winners go to every task; beyond it pages and winners meet by host.
     side = F.broadcast(winners) if size <= WINNERS_BYTES else winners
     named = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html}`").alias("_fl_html"), host_of(url).alias("_fl_host"))
@@ -329,5 +337,5 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", keep:
     def make() -> Callable[..., list[list]]:
         return lambda sources, paths: [list(c) for c in zip(*map(main_text, sources, paths), strict=True)]
 
-    out = map_texts(met, "_fl_html", kept, [string_field("text"), string_field("path")], make, ["_fl_path"])
+    out = map_texts(met, "_fl_html", kept, [string_field("text"), string_field("path")], make, ["_fl_paths"])
     return out.select(*[f"`{c}`" for c in kept], "text", F.length("text").cast("long").alias("n_chars"), "path")

@@ -63,6 +63,17 @@ def test_hosts_agree_on_a_path(spark, no_docs):
     assert pages.extract_pages(df.limit(0)).collect() == []
 
 
+def test_each_template_of_a_host_has_its_path(spark):
+    """A smaller template, and a single page of a third one, have a short element on the first one's path."""
+    first = lambda i: f"<body><div class=content><p>{'word ' * 60}{i}</p></div></body>"
+    other = lambda name, n, i: f"<body><div class=content><p>teaser</p></div><section class={name}><p>{'text ' * n}{i}</p></section></body>"
+    rows = [(i, "http://h.example/a", first(i)) for i in range(8)] + [(i, "http://h.example/b", other("story", 6, i)) for i in range(8, 12)]
+    rows += [(12, "http://h.example/c", other("single", 40, 12))]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"{'word ' * 60}{i}" for i in range(8)} | {i: f"{'text ' * 6}{i}" for i in range(8, 12)} | {12: f"{'text ' * 40}12"}
+    assert got == want
+
+
 def test_winners_too_large_to_broadcast(spark, monkeypatch):
     want = {r.page_id: r.text for r in QUERIES["op3_html_extraction"](spark, SF).collect()}
     monkeypatch.setattr(pages, "WINNERS_BYTES", 0)
