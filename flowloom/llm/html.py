@@ -34,15 +34,14 @@ from pyspark.sql import types as T
 
 from flowloom.llm.common import cut, map_texts, string_field
 
-#: No alternative looks past the next tag, so that broken markup is read in linear time.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z<>][^<>]*>|<!\w[^<>]*>"
-    r"""|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|[^<>]*)>""",
-    re.DOTALL,
-)
+OTHER_TOKENS = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z<>][^<>]*>|<!\w[^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)"
+#: Quotes count after an equals sign and may hold anything; one that never closes is read up to the next tag's end.
+#: Where no end of the tag follows, LOOSE, which never looks past the next tag, reads the stretch once more: both are linear.
+TOKEN = re.compile(OTHER_TOKENS + r"""((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>"'][^\s<>]*+)?+)*+)(>?)""", re.DOTALL)
+LOOSE = re.compile(OTHER_TOKENS + r"""((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|[^<>]*)(>)""", re.DOTALL)
 #: Characters from which a path does not grow further; elements below share it.
 LONGEST_PATH = 2_000
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose text is not the article's.
@@ -112,7 +111,7 @@ class Page:
     def parse(self, source: str) -> None:
         stack = [0]
         parts: list[tuple[str, bool]] = []
-        links = at = 0
+        links = at = loose = 0
 
         def text(raw: str) -> None:
             if raw and not self.dropped[stack[-1]]:
@@ -137,7 +136,18 @@ class Page:
                 if tag in bound:
                     return
 
-        while m := TOKEN.search(source, at):
+        while True:
+            m = LOOSE.search(source, at, loose) if at < loose else TOKEN.search(source, at)
+            if not m and at < loose:
+                text(source[at:loose])
+                at = loose
+                continue
+            if not m:
+                break
+            if m[2] and not m[4]:
+                text(source[at : m.start()])
+                at, loose = m.start(), m.end()
+                continue
             text(source[at : m.start()])
             at = m.end()
             if not m[2]:

@@ -5,6 +5,7 @@ import hashlib
 import html as references
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -113,6 +114,21 @@ def test_marked_names_alone_do_not_drop_the_article(source, text):
     assert pages.main_text(source, None)[0] == text.strip()
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("<p>a<div class=ad data-content=\"<b>x</b>\">buy</div><p>b", "a b"), ("<p title='a<b'>ok</p>", "ok"), ("<p data-v2=\"class='ad'\" title=\"1 < 2 > 0\">ok", "ok"),
+    ("<p>it's <b don't>ok</b> it's", "it's ok it's"), ("<a href=x?y=\"z>t</a> \"u\"", "t \"u\""), ("<p title=\"x <b>y</b>", "<p title=\"x y"), ("<p a='<i' <b>y", "<p a='<i' y"),
+])
+def test_quoted_attributes_hold_anything(source, text):
+    assert pages.main_text(source, None)[0] == text
+
+
+@pytest.mark.parametrize("part", ['<a b="<a " ', "<a b='", '<a b="<a>" ', '<a b="<a>"<', '<a b=', "<a b=\"'<'", "< <a", '<a b="c'])
+def test_broken_markup_is_read_in_linear_time(part):
+    began = time.process_time()
+    pages.main_text(part * (400_000 // len(part)), None)
+    assert time.process_time() - began < 20
+
+
 # ------------------------------------------------------------------ chats
 def digests(turns):
     loss = "".join(t for r, t in turns if r == "assistant")
