@@ -8,9 +8,9 @@ block can reach it, and the block is skipped. Within the blocks that remain, WAN
 advances to the first item whose terms' maxima together reach the threshold, and scores only such items.
 All items above the threshold are retrieved, none is cut off by rank.
 
-A retrieved item is verified on the passage: its word five-shingles must be there to ``OVERLAP``, and the
-words of its question and of its answer must each be there to the same share. The answer is the last
-sentence, or the last quarter where there is only one.
+A retrieved item is verified on the passage: the word five-shingles of its question and answer together must
+be there to ``OVERLAP``. Neither part is asked for apart: the items do not mark their answers, and a short
+last sentence that is changed or missing leaves a near copy of the item.
 
 Items are taken in groups of at most ``GROUP_ITEMS`` items and ``GROUP_CHARS`` characters, one pass over
 the documents for each group, so what a task holds is bounded whatever the size of the benchmark. Term
@@ -62,35 +62,19 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """Words before the last sentence, and those of it; the last quarter is the answer of a single sentence."""
-    parts = [p for p in map(words, re.split(r"(?<=[.!?])\s+", text)) if p]
-    if len(parts) > 1:
-        return [w for p in parts[:-1] for w in p], parts[-1]
-    all_words = parts[0] if parts else []
-    at = len(all_words) - len(all_words) // 4
-    return all_words[:at], all_words[at:]
-
-
 @dataclass
 class Item:
     item_id: int
-    question: list[str]
-    answer: list[str]
+    words: list[str]
     shingles: set[tuple[str, ...]]
 
     def confirmed(self, passage: list[str]) -> float:
-        """Share of the shingles that the passage holds; 0 if question or answer are not there."""
-        held, there = shingles(passage) if len(self.question) + len(self.answer) >= SHINGLE else None, set(passage)
-        if held is None:
-            (whole,) = self.shingles
-            n = len(whole)
-            share = float(any(tuple(passage[i : i + n]) == whole for i in range(len(passage) - n + 1)))
+        """Share of the shingles that the passage holds; 0 if it is too small."""
+        if len(self.words) < SHINGLE:
+            n = len(self.words)
+            share = float(any(passage[i : i + n] == self.words for i in range(len(passage) - n + 1)))
         else:
-            share = len(self.shingles & held) / len(self.shingles)
-        for part in (self.question, self.answer):
-            if part and sum(w in there for w in part) < OVERLAP * len(part):
-                return 0.0
+            share = len(self.shingles & shingles(passage)) / len(self.shingles)
         return share if share >= OVERLAP else 0.0
 
 
@@ -98,16 +82,15 @@ class BlockMaxIndex:
     """Postings of the items of one class of lengths; passages are two cells of ``cell`` words."""
 
     def __init__(self, items: list[tuple[int, str]], idf: dict[str, float], mean: float):
-        bags = [(len(w), i, t, Counter(w)) for i, t in items if (w := words(t))]
+        bags = [(len(w), i, w, Counter(w)) for i, t in items if (w := words(t))]
         bags.sort(key=lambda x: x[:2])
         self.cell = max((n for n, *_ in bags), default=1)
         self.items = []
         self.terms: dict[str, int] = {}
         lists: list[list[tuple[int, float]]] = []
-        for at, (n, i, t, bag) in enumerate(bags):
-            q, a = question_and_answer(t)
-            self.items.append(Item(i, q, a, shingles(q + a)))
-            raw = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for w, f in bag.items()}
+        for at, (n, i, w, bag) in enumerate(bags):
+            self.items.append(Item(i, w, shingles(w)))
+            raw = {x: idf[x] * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for x, f in bag.items()}
             own = sum(raw.values())
             for w, x in raw.items():
                 k = self.terms.setdefault(w, len(self.terms))

@@ -156,6 +156,23 @@ def test_decontamination_of_planted_items(spark, odd_docs, no_docs, monkeypatch)
     assert all(r.leaks == [] for r in decontam.leaks_of(d, none).collect())
 
 
+def test_decontamination_of_near_copies(spark):
+    """Items with a short last sentence, in documents without it, with a word of it changed, or with a word changed elsewhere."""
+    rng = random.Random(10)
+    items = [(i, f"{prose(rng, 40)}. {prose(rng, 1 + i % 4)}.") for i in range(30)]
+    docs = []
+    for i, t in items:
+        body, last = t.split(". ")
+        words = body.split()
+        for k, part in enumerate((body, f"{body}. changed {' '.join(last.split()[1:])}", " ".join([*words[:20], "changed", *words[21:]]) + ". " + last)):
+            docs.append((100 * k + i, f"{prose(rng, 60)} {part} {prose(rng, 60)}"))
+    want = plain_leaks(docs, items)
+    assert len(want) >= 80
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontam.leaks_of(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, x.item_id) for r in got for x in r.leaks} == want
+
+
 def test_block_maxima_and_wand_retrieve_all_above_the_threshold():
     rng = random.Random(9)
     items = [(i, prose(rng, rng.randrange(6, 30))) for i in range(60)]
