@@ -15,6 +15,7 @@ from flowloom.llm.hnsw import nearest
 from flowloom.llm.html import extract_pages
 from flowloom.llm.licenses import scan_licenses
 from flowloom.llm.lines import dedup_lines
+from flowloom.llm.merkle import manifest
 from flowloom.llm.packing import pack_documents
 from flowloom.llm.secrets import find_secrets
 from flowloom.llm.simhash import near_duplicates
@@ -130,3 +131,48 @@ SQL["op11_line_dedup"] = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id
  m AS (SELECT k.*, coalesce(doc_id <> keeper, false) AS gone FROM k LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r, doc_id"""
+
+
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest(table(spark, sf_dir, "documents"), "doc_id", "source", LEAF, {"text": text}, with_proof=False)
+
+
+#: CRC-32 (reflected polynomial 3988292384) of a decimal number, byte by byte and bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}::VARCHAR) || ':' || {f}::VARCHAR END" for f in [*LEAF[:-1], text]) + ")"
+
+
+def _levels_sql(name: str, source: str) -> str:
+    """All levels of each tree of ``source`` (tree, nodes), the lowest first."""
+    return f"""{name} AS (SELECT tree, 0 AS level, nodes FROM {source}
+  UNION ALL SELECT tree, level + 1, [sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')) FOR i IN range((len(nodes) + 2) // 3)] FROM {name} WHERE len(nodes) > 1)"""
+
+
+def _proof_sql(name: str, levels: str, leaves: str) -> str:
+    """For each leaf (tree, pos): places and siblings of its levels, and the root."""
+    return f"""{name}_up AS (SELECT l.tree, l.pos, v.level, l.pos // (3 ** v.level)::BIGINT AS i, v.nodes FROM {leaves} l JOIN {levels} v USING (tree)),
+ {name} AS (SELECT tree, pos, list({{'p': i % 3, 's': array_to_string(list_concat(nodes[i - i % 3 + 1:i], nodes[i + 2:i - i % 3 + 3]), '')}} ORDER BY level)
+   FILTER (len(nodes) > 1) AS proof, max(nodes[1]) FILTER (len(nodes) = 1) AS root FROM {name}_up GROUP BY ALL)"""
+
+
+SQL["op12_merkle_manifest"] = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {_leaf_sql('text')} AS leaf,
+  CASE WHEN {_CRC} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS claim FROM documents),
+ r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos FROM d),
+ g AS (SELECT tree, list(leaf ORDER BY pos) AS nodes FROM r GROUP BY 1), {_levels_sql('v', 'g')}, {_proof_sql('low', 'v', 'r')},
+ s AS (SELECT tree AS name, '' AS tree, root AS leaf, row_number() OVER (ORDER BY tree) - 1 AS pos FROM (SELECT DISTINCT tree, root FROM low)),
+ sg AS (SELECT tree, list(leaf ORDER BY pos) AS nodes FROM s GROUP BY 1), {_levels_sql('sv', 'sg')}, {_proof_sql('high', 'sv', 's')},
+ f AS (SELECT doc_id, r.leaf, r.claim, low.root AS subroot, high.root AS root, list_concat(coalesce(low.proof, []), coalesce(high.proof, [])) AS proof
+  FROM r JOIN low USING (tree, pos) JOIN s ON s.name = r.tree JOIN high ON high.pos = s.pos),
+ e AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string([x.s FOR x IN proof], '')) AS proof_sha256,
+  list_reduce(list_concat([claim], [x.p || x.s FOR x IN proof]), lambda h, x: sha256(substr(x, 2, 64 * x[1]::INT) || h || substr(x, 2 + 64 * x[1]::INT))) AS folded_root FROM f)
+SELECT *, folded_root = root AS verified FROM e"""
