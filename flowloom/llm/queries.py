@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,6 +18,7 @@ from flowloom.llm.licenses import scan_licenses
 from flowloom.llm.lines import dedup_lines
 from flowloom.llm.merkle import manifest
 from flowloom.llm.packing import pack_documents
+from flowloom.llm.runs import find_runs, words_of
 from flowloom.llm.secrets import find_secrets
 from flowloom.llm.simhash import near_duplicates
 from flowloom.llm.tokens import count_tokens
@@ -176,3 +178,28 @@ SQL["op12_merkle_manifest"] = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('
  e AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string([x.s FOR x IN proof], '')) AS proof_sha256,
   list_reduce(list_concat([claim], [x.p || x.s FOR x IN proof]), lambda h, x: sha256(substr(x, 2, 64 * x[1]::INT) || h || substr(x, 2 + 64 * x[1]::INT))) AS folded_root FROM f)
 SELECT *, folded_root = root AS verified FROM e"""
+
+
+def planted_words(text: str, doc_id: int | None) -> list[bytes]:
+    """Words of a text; by its id, every tenth text repeats a stretch of its words to its end."""
+    words = words_of(text)
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(table(spark, sf_dir, "documents"), words=planted_words, others=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("n"), (-r.start).alias("s"), (-r.period).alias("p"), r.start.alias("start"), r.period.alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    out = found.withColumn("_fl_top", longest)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_fl_top.start").alias("start"), F.col("_fl_top.n").alias("length"),
+        F.col("_fl_top.period").alias("period"), F.floor(1000 * F.col("_fl_top.n") / F.col("_fl_top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
