@@ -101,16 +101,20 @@ class LineRuns:
                 self.levels.append([])
             runs = reduce(DataFrame.unionAll, [self.spark.table(name) for name in old])
             self.levels[level + 1].append(self.write(runs.repartition(self.buckets, *HASH)))
+            self.forget(old)
             level += 1
 
+    def forget(self, names: list[str]) -> None:
+        """Drop tables from the session; files stay, as frames that were handed out may read them, and go with the shared folder."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def all(self) -> DataFrame:
         """(``_fl_h1``, ``_fl_h2``, ``_fl_id``): every key once, with the document that keeps it."""
         return reduce(DataFrame.unionAll, [self.spark.table(name) for name in self.names()])
 
     def close(self) -> None:
-        """Forget the tables; their files go with the shared folder."""
-        for name in self.names():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.forget(self.names())
         self.levels = [[]]
 
 
