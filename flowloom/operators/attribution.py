@@ -10,18 +10,20 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions.text import seeded_hash
-from flowloom.functions.wavelet import SUBBANDS
+from flowloom.functions.wavelet import SUBBANDS, fixed_width_rows
+from flowloom.operators.ranking import hash_rank
 
 #: Probabilities of each class for the rows of a matrix.
 BatchScorer = Callable[[np.ndarray], np.ndarray]
 
-#: Rows, on average, of a block in which values change places.
+#: Rows of a block of consecutive places that one task scores at a time.
 PERMUTED_ROWS = 4_096
 COUNTS = "j int, r int, y_true int, y_pred int, n long"
+COUNTS_ARROW = pa.schema([(c, pa.int32()) for c in ("j", "r", "y_true", "y_pred")] + [("n", pa.int64())])
 
 
 def _counts(j: int, r: int, y: np.ndarray, prob: np.ndarray) -> pd.DataFrame:
@@ -44,35 +46,66 @@ def macro_f1_of_counts(counts: DataFrame, *group: str) -> DataFrame:
     return per.groupBy(*group).agg(F.coalesce(F.avg(f1), F.lit(0.0)).alias("macro_f1"))
 
 
+def order_hash(seed: int, order: Column, key: str) -> Column:
+    """Hash that sorts the rows in order number ``order``; the first order has the plain seed."""
+    start = F.when(order == 0, F.lit(f"{seed}|")).otherwise(F.concat(F.lit(f"{seed}/"), order.cast("string"), F.lit("|")))
+    return F.md5(F.concat(start, F.col(key).cast("string")))
+
+
+def with_following(ranked: DataFrame, n: int, block: int, halo: int) -> DataFrame:
+    """Rows with place ``_a`` (from 0, of ``n``) dealt to blocks of consecutive places, each followed by ``halo`` more rows.
+
+    Adds ``_block``, ``_at`` (the row's place in its block) and ``_len`` (the block's own rows). The rows
+    after the last are the first ones. A row goes to its own block, and to those before it that reach it.
+    """
+    blocks = max(1, -(-n // block))
+    back = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(blocks, -(-halo // block) + 1)).cast("long"))).alias("_back")
+    before = F.floor(F.col("_a") / block) - F.col("_back")
+    around = before < 0
+    dealt = ranked.select("*", back).withColumn("_block", F.when(around, before + blocks).otherwise(before))
+    at = F.col("_a") - F.col("_block") * block + F.when(F.floor(F.col("_a") / block) < F.col("_back"), F.lit(n)).otherwise(F.lit(0))
+    dealt = dealt.withColumn("_at", at).withColumn("_len", F.least(F.lit(block).cast("long"), F.lit(n) - F.col("_block") * block))
+    return dealt.filter(F.col("_at") < F.col("_len") + halo).drop("_back", "_a")
+
+
 def permutation_importance(
     rows: DataFrame, scorer: BatchScorer, n_features: int, n_repeats: int = 5, seed: int = 42,
     names: Sequence[str] | None = None, key: str = "row_key", features: str = "features",
+    orders: int = 1, block: int = PERMUTED_ROWS,
 ) -> DataFrame:
     """Mean and population deviation of the macro-F1 drop when one raw feature is shuffled.
 
-    Rows are dealt once to blocks of about ``PERMUTED_ROWS`` and ordered by a hash in each. For every
-    (feature, repeat) the values of the feature move along that order, by another step each time, so
-    they change places within a block. Only counts of (true, predicted) leave a block.
+    All rows are ranked by a hash, and for every (feature, repeat) the values of the feature move along
+    that order, around the whole table, by another step each time. ``orders`` is the number of hashes
+    that the repeats take in turn; with as many as repeats, each repeat has an order of its own. Ranks are
+    cut into blocks, and a block also gets the rows that follow it, as many as the longest step: so the
+    result depends neither on ``block`` nor on partitions. Only counts of (true, predicted) leave a block.
     """
-    blocks = max(1, -(-rows.count() // PERMUTED_ROWS))
-    dealt = rows.select(
-        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), seeded_hash(seed, key).alias("_h"),
+    n = rows.count()
+    if not 1 <= orders <= n_repeats:
+        raise ValueError("orders are one at least and no more than repeats")
+    steps = {(j, r): 1 + (j * n_repeats + r) % (n - 1) if n > 1 else 0 for j in range(n_features) for r in range(n_repeats)}
+    source = rows.select(
+        F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("_o"), F.col(key).alias("_key"),
         F.col("y_true").cast("int").alias("_y"), F.col(features).cast("array<double>").alias("_x"),
     )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_h", kind="stable")
-        x, y = np.stack(pdf["_x"].to_numpy()), pdf["_y"].to_numpy()
-        out = [_counts(-1, 0, y, scorer(x))]
+    ranked = hash_rank(source, ["_key"], seed, "_o", out="_a", order_hash=order_hash(seed, F.col("_o"), "_key"))
+    dealt = with_following(ranked.withColumn("_a", F.col("_a") - 1).drop("_key"), n, block, max(steps.values(), default=0))
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_at").combine_chunks()
+        m, order = part["_len"][0].as_py(), part["_o"][0].as_py()
+        x, y = fixed_width_rows(part["_x"].chunk(0), n_features), part["_y"].to_numpy()[:m]
+        own = np.array(x[:m])
+        out = [_counts(-1, 0, y, scorer(own))] if order == 0 else []
         for j in range(n_features):
-            own = x[:, j].copy()
-            for r in range(n_repeats):
-                x[:, j] = np.roll(own, -(1 + (j * n_repeats + r) % max(1, len(x) - 1)))
-                out.append(_counts(j, r, y, scorer(x)))
-            x[:, j] = own
-        return pd.concat(out)
-
-    counts = dealt.groupBy("_block").applyInPandas(run, COUNTS)
+            for r in range(order, n_repeats, orders):
+                own[:, j] = x[steps[j, r] : steps[j, r] + m, j]
+                out.append(_counts(j, r, y, scorer(own)))
+            own[:, j] = x[:m, j]
+        return pa.Table.from_pandas(pd.concat(out), COUNTS_ARROW, preserve_index=False)
+
+    counts = dealt.groupBy("_o", "_block").applyInArrow(run, COUNTS)
     f1 = macro_f1_of_counts(counts, "j", "r")
     whole = F.max(F.when(F.col("j") == -1, F.col("macro_f1"))).over(Window.partitionBy(F.lit(0)))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1) if names else F.concat(F.lit("f"), F.col("j"))
@@ -95,20 +128,20 @@ def group_ablation(
     """
     flat = rows.select(F.col("y_true").cast("int").alias("_y"), F.flatten(subbands).alias("_x"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x, y = np.stack(pdf["_x"].to_numpy()), pdf["_y"].to_numpy()
+            x, y = fixed_width_rows(batch.column(1), len(batch.column(1)[0])), batch.column(0).to_numpy()
             width = x.shape[1] // len(names)
             for mask in range(-1, len(names)):
                 part = x
                 if mask >= 0:
                     part = x.copy()
                     part[:, mask * width : (mask + 1) * width] = 0.0
-                yield _counts(mask, 0, y, scorer(part))
+                yield pa.RecordBatch.from_pandas(_counts(mask, 0, y, scorer(part)), COUNTS_ARROW, preserve_index=False)
 
-    f1 = macro_f1_of_counts(flat.mapInPandas(run, COUNTS), "j")
+    f1 = macro_f1_of_counts(flat.mapInArrow(run, COUNTS), "j")
     full = F.max(F.when(F.col("j") == -1, F.col("macro_f1"))).over(Window.partitionBy(F.lit(0)))
     drop = F.col("macro_f1_full") - F.col("macro_f1_ablated")
     return (

@@ -67,31 +67,51 @@ def fit_score_classifier(spark, sf):
     return scored.select("row_key", "y_true", argmax_class("y_prob").alias("y_pred"))
 
 
-# A value that moves changes one term of the distance. At this size all rows are one block.
-_PERM = f"""{_CENT}, tt AS (SELECT row_key, row_number() OVER (ORDER BY md5('{SEED}|' || row_key)) - 1 AS a, count(*) OVER () AS n FROM vsplit WHERE split = 'test'),
- pv AS (SELECT tt.a, tt.n, pos.y_true, pos.i, pos.v FROM tt JOIN pos USING (row_key)),
- bz AS (SELECT a, y_true, c, sum((v - m) * (v - m)) AS d FROM pv JOIN cent USING (i) GROUP BY ALL),
- sw AS (SELECT p.a, p.i AS j, r, p.v AS was, q.v AS now FROM pv p, range(0, 5) t(r)
-  JOIN pv q ON q.i = p.i AND q.a = (p.a + 1 + (p.i * 5 + r) % greatest(1, p.n - 1)) % p.n),
- vz AS (SELECT bz.a, bz.y_true, sw.j, sw.r, bz.c, d - (was - m) * (was - m) + (now - m) * (now - m) AS d FROM sw JOIN bz ON bz.a = sw.a JOIN cent ON cent.c = bz.c AND cent.i = sw.j
-  UNION ALL SELECT a, y_true, -1, 0, c, d FROM bz),
+def _permuted(orders: int) -> str:
+    """A value that moves changes one term of the distance; repeat r moves along order r modulo ``orders``."""
+    return f"""{_CENT}, od AS (SELECT unnest(range(0, {orders})) AS o),
+ tt AS (SELECT row_key, o, row_number() OVER (PARTITION BY o ORDER BY md5('{SEED}' || CASE WHEN o = 0 THEN '' ELSE '/' || o END || '|' || row_key)) - 1 AS a,
+  count(*) OVER (PARTITION BY o) AS n FROM vsplit, od WHERE split = 'test'),
+ pv AS (SELECT tt.o, tt.a, tt.n, pos.y_true, pos.i, pos.v FROM tt JOIN pos USING (row_key)),
+ bz AS (SELECT o, a, y_true, c, sum((v - m) * (v - m)) AS d FROM pv JOIN cent USING (i) GROUP BY ALL),
+ sw AS (SELECT p.o, p.a, p.i AS j, r, p.v AS was, q.v AS now FROM pv p JOIN range(0, 5) t(r) ON r % {orders} = p.o
+  JOIN pv q ON q.o = p.o AND q.i = p.i AND q.a = (p.a + 1 + (p.i * 5 + r) % greatest(1, p.n - 1)) % p.n),
+ vz AS (SELECT bz.a, bz.y_true, sw.j, sw.r, bz.c, d - (was - m) * (was - m) + (now - m) * (now - m) AS d
+   FROM sw JOIN bz ON bz.o = sw.o AND bz.a = sw.a JOIN cent ON cent.c = bz.c AND cent.i = sw.j
+  UNION ALL SELECT a, y_true, -1, 0, c, d FROM bz WHERE o = 0),
  guess AS (SELECT j, r, a, y_true, arg_min(c, d) AS p FROM vz GROUP BY ALL),
  cls AS (SELECT g.j, g.r, codes.c, count(*) FILTER (g.y_true = codes.c) AS t, count(*) FILTER (g.p = codes.c) AS q,
   count(*) FILTER (g.p = codes.c AND g.y_true = codes.c) AS tp FROM guess g, codes GROUP BY ALL),
  pf AS (SELECT j, r, coalesce(avg(2.0::DOUBLE * tp / (t + q)) FILTER (t > 0), 0) AS f1 FROM cls GROUP BY ALL),
  pi AS (SELECT j, avg(b.f1 - pf.f1) AS mean_decrease, stddev_pop(b.f1 - pf.f1) AS std_decrease, count(*)::INT AS n_repeats, max(b.f1) AS baseline_macro_f1
   FROM pf, (SELECT f1 FROM pf WHERE j = -1) b WHERE j >= 0 GROUP BY j)"""
-PERMUTATION_SQL = with_("vsplit", "codes", more=_PERM) + f"""SELECT 'f' || j AS feature, {r('mean_decrease')} AS mean_decrease, {r('std_decrease')} AS std_decrease, n_repeats,
+
+
+def _permutation_sql(orders: int) -> str:
+    return with_("vsplit", "codes", more=_permuted(orders)) + f"""SELECT 'f' || j AS feature, {r('mean_decrease')} AS mean_decrease, {r('std_decrease')} AS std_decrease, n_repeats,
  {r('baseline_macro_f1')} AS baseline_macro_f1, row_number() OVER (ORDER BY round(mean_decrease, 9) DESC, j)::INT AS rank FROM pi"""
 
 
-@query("permutation_importance", PERMUTATION_SQL)
-def permutation_importance(spark, sf):
+PERMUTATION_SQL = _permutation_sql(1)
+
+
+def _permutation(spark, sf, orders):
     rows = _test(vector_split(spark, sf)).select("row_key", "y_true", "features")
-    out = I.permutation_importance(rows, S.centroid_scorer(raw_centroids(spark, sf)), WIDTH, 5, SEED)
+    out = I.permutation_importance(rows, S.centroid_scorer(raw_centroids(spark, sf)), WIDTH, 5, SEED, orders=orders)
     return out.withColumns({c: F.round(c, 6) for c in ("mean_decrease", "std_decrease", "baseline_macro_f1")})
 
 
+@query("permutation_importance", PERMUTATION_SQL)
+def permutation_importance(spark, sf):
+    return _permutation(spark, sf, 1)
+
+
+@query("permutation_fresh_orders", _permutation_sql(5))
+def permutation_fresh_orders(spark, sf):
+    """Each repeat has a random order of its own."""
+    return _permutation(spark, sf, 5)
+
+
 def ablation(spark, sf):
     scorer = S.centroid_scorer(subband_scorer(spark, sf))
     bands = V.with_subbands(_test(vector_split(spark, sf)), "features", GEOM)
