@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from flowloom.operators import anomaly as J
 from flowloom.operators import confusion as C
 from flowloom.streaming import detect as D
+from flowloom.streaming import learn as L
+from flowloom.streaming.ledger import run_ledger
 from flowloom.workload.inputs import NORMAL_BEFORE, counters, features, logits, normal, table, with_
 from flowloom.workload.registry import query, r
 
@@ -124,13 +126,32 @@ def stream_confusion(spark, sf):
     return s.select(F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), "n_samples")
 
 
-@query("stream_append_unique", "SELECT DISTINCT (ts::DATE - DATE '2024-01-01' + 1)::INT AS epoch FROM events")
-def stream_append_unique(spark, sf):
+@query("stream_sigma_thresholds", with_("feats", more=_THR) + "SELECT n_rows, " + ", ".join(f"{r(f'{c}_threshold')} AS {c}_threshold" for c in ("r_pi", "r_fi", "d_np")) + " FROM thr")
+def stream_sigma_thresholds(spark, sf):
+    """Learned batch by batch inside the stream, equal to one pass over all rows."""
+    events = D.file_stream(spark, sf, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    closed = J.counter_features(J.windowed_counters(events, "user_id", "ts", "event_type", "value"))
+    states, _ = L.learn_and_detect(closed, F.col("window_start") < F.lit(NORMAL_BEFORE).cast("timestamp"), k=WIDTH_K)
+    th = L.thresholds_of(states.latest(), WIDTH_K)
+    row = (th.n_rows, *(round(x, 6) + 0.0 for x in (th.r_pi, th.r_fi, th.d_np)))
+    return spark.createDataFrame([row], "n_rows long, r_pi_threshold double, r_fi_threshold double, d_np_threshold double")
+
+
+def _ledger(spark, sf):
     ts = F.col("ts").cast("timestamp")
-    rows = D.file_stream(spark, sf, "events.parquet").select(
-        (F.datediff(ts, F.lit("2024-01-01").cast("date")) + 1).alias("epoch"), ts.alias("ts"), "event_id"
-    )
-    unique = D.stream_append_unique(rows, "epoch", "ts", "event_id")
-    return D.run_to_table(unique, "stream-unique").select("epoch")
+    epoch = (F.datediff(ts, F.lit("2024-01-01").cast("date")) + 1).alias("epoch")
+    return run_ledger(D.file_stream(spark, sf, "events.parquet").select(epoch, "event_id"), "epoch", "event_id")
+
+
+_EPOCH = "(ts::DATE - DATE '2024-01-01' + 1)::INT AS epoch"
+
+
+@query("stream_append_unique", f"SELECT DISTINCT {_EPOCH} FROM events")
+def stream_append_unique(spark, sf):
+    return _ledger(spark, sf).where("accepted").select("epoch")
 
 
+@query("stream_repeats", f"SELECT {_EPOCH}, count(*) - 1 AS n_repeats FROM events GROUP BY 1 HAVING count(*) > 1")
+def stream_repeats(spark, sf):
+    """The side output: rows whose epoch was there before."""
+    return _ledger(spark, sf).where("NOT accepted").groupBy("epoch").agg(F.count(F.lit(1)).alias("n_repeats"))
