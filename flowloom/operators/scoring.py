@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.functions.wavelet import Geometry, fixed_width_rows, steady_product, transform_matrix
+from flowloom.operators.logistic import fit_logistic
 
 BatchScorer = Callable[[np.ndarray], np.ndarray]
 MAX_MODEL_CELLS = 50_000_000  # class x position values a model may hold on the driver
@@ -86,23 +87,10 @@ def score_in_batches(df: DataFrame, scorer: BatchScorer, width: int, features: s
 
 
 def fit_score_classifier(
-    train: DataFrame, rows: DataFrame, label: str = "y_true", features: str = "features",
-    max_iter: int = 20, reg: float = 0.01, key: str = "row_key",
+    train: DataFrame, rows: DataFrame, num_classes: int, width: int, label: str = "y_true", features: str = "features",
+    max_steps: int = 20, reg: float = 0.01, key: str = "row_key",
 ) -> DataFrame:
     """Multinomial logistic regression fitted on ``train`` and applied to ``rows``."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    def as_vector(df: DataFrame, *cols: str) -> DataFrame:
-        return df.select(*cols, F.col(label).cast("double").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("vec"))
-
-    lr = LogisticRegression(
-        featuresCol="vec", labelCol="label", family="multinomial", maxIter=max_iter, regParam=reg
-    )
-    model = lr.fit(as_vector(train))
-    scored = model.transform(as_vector(rows, key))
-    return scored.select(
-        key,
-        F.col("label").cast("int").alias("y_true"),
-        vector_to_array("probability").cast("array<float>").alias("y_prob"),
-    )
+    model = fit_logistic(train, num_classes, width, label, features, reg, max_steps)
+    wanted = rows.select(key, F.col(label).cast("int").alias("y_true"), F.col(features).cast("array<double>").alias("_x"))
+    return score_in_batches(wanted, model, width, "_x")

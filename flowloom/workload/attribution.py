@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from flowloom.functions import wavelet as V
 from flowloom.functions.vectors import argmax_class, prob_of
 from flowloom.operators import attribution as I
+from flowloom.operators import logistic as L
 from flowloom.operators import scoring as S
+from flowloom.operators import shapley as H
 from flowloom.workload.inputs import GEOM, K, LABELLED_WIDTH, SEED, WIDTH, labelled_vectors, swt_ctes, vector_split, vectors, with_
 from flowloom.workload.registry import query, r
 from flowloom.workload.wavelet import GEOM_LABELLED, PADDED_SWT
@@ -61,12 +63,38 @@ def score_in_batches(spark, sf):
 
 @query("fit_score_classifier")
 def fit_score_classifier(spark, sf):
-    bands = V.with_subbands(vector_split(spark, sf), "features", GEOM)
-    rows = bands.select("row_key", "y_true", "split", F.flatten("subbands").alias("features"))
-    scored = S.fit_score_classifier(_train(rows), _test(rows))
+    """Fitted on the train rows to the optimum; the transform is linear, so raw features give the model class of the subbands."""
+    rows = vector_split(spark, sf).select("row_key", "y_true", "split", "features")
+    scored = S.fit_score_classifier(_train(rows), _test(rows), K, WIDTH)
     return scored.select("row_key", "y_true", argmax_class("y_prob").alias("y_pred"))
 
 
+STEPS, REG = 4, 0.01
+
+
+def _newton_sql() -> str:
+    """STEPS steps of two unknowns from zero, each by the inverse of a 2 x 2 matrix."""
+    steps = "".join(
+        f""", s{t + 1} AS (SELECT b - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b, w - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS w FROM (
+  SELECT any_value(b) AS b, any_value(w) AS w, avg(p - y) AS g0, avg((p - y) * x) + {REG}::DOUBLE * any_value(w) AS g1, avg(p * (1 - p)) AS h00,
+  avg(p * (1 - p) * x) AS h01, avg(p * (1 - p) * x * x) + {REG}::DOUBLE AS h11 FROM (SELECT *, 1 / (1 + exp(-(b + w * x))) AS p FROM v2, s{t})))"""
+        for t in range(STEPS)
+    )
+    more = "v2 AS (SELECT (y_true = 0)::INT AS y, features[1]::DOUBLE AS x FROM vectors), s0 AS (SELECT 0::DOUBLE AS b, 0::DOUBLE AS w)" + steps
+    return with_("vectors", more=more) + f"""SELECT {STEPS}::INT AS steps, {r('any_value(b)')} AS intercept, {r('any_value(w)')} AS weight,
+ {r(f'avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) + {REG / 2} * any_value(w) * any_value(w)')} AS loss
+ FROM (SELECT *, 1 / (1 + exp(-(b + w * x))) AS p FROM v2, s{STEPS})"""
+
+
+@query("fit_newton_steps", _newton_sql())
+def fit_newton_steps(spark, sf):
+    """A fixed number of steps of the distributed fit: first class against the rest, on one feature."""
+    rows = vectors(spark, sf).select((F.col("y_true") == 0).cast("int").alias("y_true"), F.array(F.get("features", 0).cast("double")).alias("features"))
+    m = L.fit_logistic(rows, 2, 1, reg=REG, max_steps=STEPS, tol=0.0)
+    row = (m.steps, *(round(float(v), 6) + 0.0 for v in (*m.weights[1], m.loss)))
+    return spark.createDataFrame([row], "steps int, intercept double, weight double, loss double")
+
+
 def _permuted(orders: int) -> str:
     """A value that moves changes one term of the distance; repeat r moves along order r modulo ``orders``."""
     return f"""{_CENT}, od AS (SELECT unnest(range(0, {orders})) AS o),
@@ -173,6 +201,29 @@ def linear_attribution(spark, sf):
     return _rounded(linear(spark, sf))
 
 
+BACKGROUND, ORDERS = 20, 2
+
+
+def distance_scorer(centroids: np.ndarray):
+    """Minus the squared distances to the centroids, not turned into probabilities."""
+    norms = (centroids**2).sum(axis=1)
+    return lambda x: 2 * x @ centroids.T - norms - (x**2).sum(axis=1, keepdims=True)
+
+
+# Distances add up over features, so a feature's value is its own term less that term's mean over the background.
+_SHAP = f"""{_CENT}, bg AS (SELECT row_key FROM vsplit ORDER BY md5('{SEED}|' || row_key), row_key LIMIT {BACKGROUND}),
+ bm AS (SELECT c, i, avg((v - m) * (v - m)) AS q FROM pos JOIN bg USING (row_key) JOIN cent USING (i) GROUP BY ALL),
+ sm AS (SELECT i AS pos, sum(abs(q - (v - m) * (v - m))) / count(DISTINCT row_key) AS s FROM pos JOIN cent USING (i) JOIN bm USING (c, i) GROUP BY 1),
+ shap AS (SELECT 'f' || pos AS feature, s AS mean_abs, 100 * s / sum(s) OVER () AS percent, row_number() OVER (ORDER BY s DESC, pos)::INT AS rank FROM sm)"""
+
+
+@query("shapley_attribution", with_("vsplit", more=_SHAP) + f"SELECT {_ATTR} FROM shap")
+def shapley_attribution(spark, sf):
+    rows = vectors(spark, sf)
+    background = H.background_rows(rows, BACKGROUND, SEED)
+    return _rounded(H.shapley_attribution(rows, distance_scorer(raw_centroids(spark, sf)), background, ORDERS, SEED))
+
+
 @query("importance_comparison", with_("vsplit", more=f"{_LIN}, {_FOLD}") + f"""SELECT l.feature, {r('l.mean_abs')} AS mean_decrease, l.rank AS rank_permutation,
  {r('f.mean_abs')} AS mean_abs, f.rank AS rank_attribution, l.rank <= 10 AND coalesce(f.rank <= 10, false) AS top_consensus FROM lin l LEFT JOIN fold f USING (feature)""")
 def importance_comparison(spark, sf):

@@ -328,6 +328,6 @@ def test_fold_drops_padding(spark):
 
 def test_classifier_learns(spark):
     _, _, df = blobs(spark, 90)
-    scored = K.fit_score_classifier(df, df)
+    scored = K.fit_score_classifier(df, df, 3, 16)
     hit = scored.filter(F.array_position("y_prob", F.array_max("y_prob")) - 1 == F.col("y_true")).count()
     assert hit > 80
