@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.functions.numeric import finite_or_null
+from flowloom.functions.wavelet import fixed_width_rows
 
 STAT_SCHEMA = (
     "ordinal int, column string, n_rows long, n_finite long, n_missing long, total double, "
@@ -18,45 +20,71 @@ STAT_SCHEMA = (
 )
 
 
+def as_matrix(columns: Sequence[str]) -> Column:
+    """The columns as one array of doubles.
+
+    Spark cuts the code of a long array into methods that the JVM compiles; the code of a projection of
+    some forty columns or more is one method that is too large for that, so every row would be interpreted.
+    """
+    return F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+
+
+def fingerprints(values: np.ndarray, finite: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """[column] sums, modulo 2^64, of a row's weight times its folded value; every missing value is one value."""
+    bits = np.where(finite, values + 0.0, np.nan).view(np.uint64)
+    return ((bits ^ (bits >> np.uint64(32))) * weights).sum(axis=1, dtype=np.uint64)
+
+
 def column_stats(
-    df: DataFrame, features: Sequence[str], split: str | None = "split", part: str = "train"
+    df: DataFrame, features: Sequence[str], split: str | None = "split", part: str = "train", key: str | None = None,
+    matrix: str | None = None,
 ) -> DataFrame:
     """One row per feature over the train rows: counts, sum, min and max of finite values.
 
     One scan whatever the number of columns: each task adds up its Arrow batches and sends one row
-    per column. Features of a table without rows have zero counts.
+    per column. Features of a table without rows have zero counts. With a ``key`` there is also a
+    ``fingerprint`` of the values by key, the same for any order of the rows: columns whose fingerprints
+    differ are not equal, and no scan is needed to find that out. ``matrix`` names an array that holds the
+    features already.
     """
     rows = df.filter(F.col(split) == part) if split else df
-    slim = rows.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(features)])
     width = len(features)
+    weight = (F.xxhash64(F.col(f"`{key}`")) if key else F.lit(0).cast("long")).alias("w")
+    slim = rows.select(weight, (F.col(matrix) if matrix else as_matrix(features)).alias("x"))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, finite, total = 0, np.zeros(width, np.int64), np.zeros(width)
+        n, finite, total, print_ = 0, np.zeros(width, np.int64), np.zeros(width), np.zeros(width, np.uint64)
         low, high = np.full(width, np.inf), np.full(width, -np.inf)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             n += batch.num_rows
-            for i in range(width):
-                x = batch.column(i).to_numpy(zero_copy_only=False)
-                x = x[np.isfinite(x)]
-                if len(x):
-                    finite[i] += len(x)
-                    total[i] += x.sum()
-                    low[i], high[i] = min(low[i], x.min()), max(high[i], x.max())
+            x = np.ascontiguousarray(fixed_width_rows(batch.column(1), width).T)
+            ok = np.isfinite(x)
+            finite += ok.sum(axis=1)
+            if key:
+                print_ += fingerprints(x, ok, batch.column(0).to_numpy().view(np.uint64))
+            whole = ok.all()
+            total += (x if whole else np.where(ok, x, 0.0)).sum(axis=1)
+            low = np.minimum(low, (x if whole else np.where(ok, x, np.inf)).min(axis=1))
+            high = np.maximum(high, (x if whole else np.where(ok, x, -np.inf)).max(axis=1))
         if n:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(width, dtype=np.int32)), pa.array(np.full(width, n)), pa.array(finite), pa.array(total), pa.array(low), pa.array(high)],
-                names=["ordinal", "n", "k", "s", "lo", "hi"],
-            )
+            halves = (print_ >> np.uint64(32)).astype(np.int64), (print_ & np.uint64(2**32 - 1)).astype(np.int64)
+            cols = (np.arange(width, dtype=np.int32), np.full(width, n), finite, total, low, high, *halves)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["ordinal", "n", "k", "s", "lo", "hi", "p1", "p0"])
 
-    parts = slim.mapInArrow(add_up, "ordinal int, n long, k long, s double, lo double, hi double")
-    sums = parts.groupBy("ordinal").agg(*[f(c).alias(c) for c, f in (("n", F.sum), ("k", F.sum), ("s", F.sum), ("lo", F.min), ("hi", F.max))])
+    parts = slim.mapInArrow(add_up, "ordinal int, n long, k long, s double, lo double, hi double, p1 long, p0 long")
+    sums = parts.groupBy("ordinal").agg(*[f(c).alias(c) for c, f in (("n", F.sum), ("k", F.sum), ("s", F.sum), ("lo", F.min), ("hi", F.max), ("p1", F.sum), ("p0", F.sum))])
     names = df.sparkSession.createDataFrame(list(enumerate(features)), "ordinal int, column string")
-    zero = F.lit(0).cast("long")
+    zero, half = F.lit(0).cast("long"), F.lit(2**32)
     n, k = F.coalesce("n", zero), F.coalesce("k", zero)
+    # The sums of halves stay far below the range of a long; their carry is taken over here.
+    print_ = F.concat_ws(":", (F.col("p1") + F.floor(F.col("p0") / half)) % half, F.col("p0") % half).alias("fingerprint")
     # both sides have one row per column
     return names.join(F.broadcast(sums), "ordinal", "left").select(
         "ordinal", "column", n.alias("n_rows"), k.alias("n_finite"), (n - k).alias("n_missing"),
         F.coalesce("s", F.lit(0.0)).alias("total"), F.when(k > 0, F.col("lo")).alias("min"), F.when(k > 0, F.col("hi")).alias("max"),
+        *([print_] if key else []),
     )
 
 
@@ -76,6 +104,7 @@ def scaler_stats(stats: DataFrame) -> DataFrame:
         F.coalesce(mean, F.lit(0.0)).alias("mean"),
         (1 - F.col("n_finite") / n_rows).alias("missing_ratio"),
         (hi - lo <= 0).alias("is_constant"),
+        *[c for c in stats.columns if c == "fingerprint"],
     )
 
 
@@ -102,13 +131,13 @@ def drop_constant(scaler: DataFrame, threshold: float = 0.80) -> DataFrame:
 
 
 def duplicate_candidates(scaler: DataFrame, threshold: float = 0.80, constants: bool = True) -> DataFrame:
-    """Kept columns whose statistics equal those of an earlier column: (ordinal, column, keeper)."""
+    """Kept columns whose statistics, and fingerprints if there are any, equal those of an earlier column: (ordinal, column, keeper)."""
     kept = scaler.filter(F.col("missing_ratio") <= threshold)
     if constants:
         kept = kept.filter(~F.col("is_constant"))
     # nine digits of the mean: sums of equal columns from different aggregates may differ in the last bits
     mean = F.format_string("%.8e", F.col("mean"))
-    signature = [F.round("min", 9), F.round("max", 9), mean, F.col("n_missing")]
+    signature = [F.round("min", 9), F.round("max", 9), mean, F.col("n_missing"), *[F.col(c) for c in scaler.columns if c == "fingerprint"]]
     same = Window.partitionBy(*signature).orderBy("ordinal")
     return kept.select(
         "ordinal",
@@ -221,9 +250,38 @@ def impute_mean(df: DataFrame, scaler: Scaler) -> DataFrame:
     return df.withColumns(_each(scaler, scaler.imputed))
 
 
-def minmax_scale(df: DataFrame, scaler: Scaler) -> DataFrame:
-    """Impute, scale by the train bounds, clip to [0, 1], single precision."""
-    return df.withColumns(_each(scaler, scaler.scaled))
+def minmax_scale(df: DataFrame, scaler: Scaler, matrix: str | None = None, features: Sequence[str] = ()) -> DataFrame:
+    """Impute, scale by the train bounds, clip to [0, 1], single precision.
+
+    The features of an Arrow batch are scaled as one matrix; the other columns pass as they are. With
+    ``matrix``, an array that holds ``features`` in this order, the scaled columns follow the others.
+    """
+    kept = scaler.columns
+    given = list(features) if matrix else list(kept)
+    rest = [f for f in df.schema.fields if f.name not in ({matrix} if matrix else set(kept))]
+    source = df.select(*[F.col(f"`{f.name}`") for f in rest], (F.col(matrix) if matrix else as_matrix(kept)).alias("_x"))
+    take = [given.index(c) for c in kept]
+    whole = take == list(range(len(given)))
+    names = [f.name for f in rest] + list(kept) if matrix else df.columns
+    other = {f.name: (f, i) for i, f in enumerate(rest)}
+    # The rows leave as they should be: a projection of this width on top would be interpreted.
+    out = T.StructType([other[c][0] if c in other else T.StructField(c, T.FloatType()) for c in names])
+    place = {c: i for i, c in enumerate(kept)}
+    minimum, mean = np.array(scaler.minimum), np.array(scaler.mean)
+    span = np.array(scaler.maximum) - minimum
+    span = np.where(span > 0, span, 1.0)
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = fixed_width_rows(batch.column(len(rest)), len(given))
+            x = x if whole else x[:, take]
+            x = (np.where(np.isfinite(x), x, mean) - minimum) / span
+            columns = np.ascontiguousarray(np.clip(x, 0.0, 1.0).astype(np.float32).T)
+            yield pa.RecordBatch.from_arrays([batch.column(other[c][1]) if c in other else pa.array(columns[place[c]]) for c in names], names=list(names))
+
+    return source.mapInArrow(scale, out)
 
 
 def assemble_vector(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:

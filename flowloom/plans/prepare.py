@@ -14,6 +14,10 @@ from flowloom.operators import stats as E
 from flowloom.operators.bounds import pinned, side_by_side
 
 
+#: Features of a row as one array, under a name of its own.
+MATRIX = "_fl_features"
+
+
 @dataclass(frozen=True)
 class Prepared:
     rows: DataFrame  # selected rows with label, code and split
@@ -40,7 +44,7 @@ def prepare_dataset(
 
     The statistics and the column decisions are read by the driver (one row per feature); the
     rows pass through narrow steps only and can be written straight to a table. Duplicate columns
-    are compared on all train rows. Splits that overlap or miss rows are an error, and so are keys
+    are compared on all train rows, in a scan of their own only where fingerprints agree. Splits that overlap or miss rows are an error, and so are keys
     that repeat, which would end up in two splits.
     """
     slim = df.select(key, label, *[F.col(f"`{c}`") for c in features])
@@ -54,15 +58,18 @@ def prepare_dataset(
     chosen = merged
     if target_rows:
         chosen = S.subsample(merged, key, label, target_rows, mode, seed)
-    rows = S.stratified_split(chosen, key, label, seed=seed).join(F.broadcast(classes), label)
-    stats = pinned(E.scaler_stats(E.column_stats(rows, features)), "feature columns")
+    # The features become one array right above the scan, and the passes over the rows carry that array.
+    packed = chosen.withColumn(MATRIX, E.as_matrix(features))
+    both = S.stratified_split(packed, key, label, seed=seed).join(F.broadcast(classes), label)
+    rows = both.drop(MATRIX)
+    stats = pinned(E.scaler_stats(E.column_stats(both, features, key=key, matrix=MATRIX)), "feature columns")
     train = rows.filter(F.col("split") == "train")
     if check_splits:
         S.assert_no_leakage(rows.select(key, "split"), key).collect()  # one row
     drops = E.column_drop_report(stats, train, missing_threshold)
     drops = pinned(drops, "feature columns")
     scaler = E.Scaler.collect(E.subset_stats(stats, drops))
-    scaled = E.minmax_scale(rows, scaler).select(key, label, "code", "split", *[F.col(f"`{c}`") for c in scaler.columns])
+    scaled = E.minmax_scale(both.select(key, label, "code", "split", MATRIX), scaler, MATRIX, features)
     return Prepared(rows, classes, stats, drops, scaler, scaled)
 
 

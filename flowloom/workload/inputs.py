@@ -51,8 +51,8 @@ def flow_split(spark: SparkSession, sf: str) -> DataFrame:
     return S.stratified_split(flows(spark, sf), "row_key", "label", seed=SEED)
 
 
-def flow_scaler(spark: SparkSession, sf: str) -> DataFrame:
-    return scaler_stats(column_stats(flow_split(spark, sf), FEATURES))
+def flow_scaler(spark: SparkSession, sf: str, key: str | None = None) -> DataFrame:
+    return scaler_stats(column_stats(flow_split(spark, sf), FEATURES, key=key))
 
 
 # ------------------------------------------------------------------ vectors and predictions

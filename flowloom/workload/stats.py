@@ -60,7 +60,7 @@ _DUP = f"""dup AS (SELECT 4 - 2 AS ordinal, 'f_copy' AS "column", 'duplicate_of'
 @query("drop_duplicates_cols", with_("scaler", more=f"{_CAND}, {_DUP}") + """SELECT "column", reason, evidence FROM dup""")
 def drop_duplicates_cols(spark, sf):
     train = flow_split(spark, sf).filter(F.col("split") == "train")
-    found = E.drop_duplicate_columns(train, E.duplicate_candidates(flow_scaler(spark, sf)))
+    found = E.drop_duplicate_columns(train, E.duplicate_candidates(flow_scaler(spark, sf, "row_key")))
     return found.select("column", "reason", "evidence")
 
 
@@ -71,7 +71,7 @@ _DROPS = """drops AS (SELECT 1 AS step, ordinal, "column", 'missing_ratio_above_
 
 def _drop_report(spark, sf):
     rows = flow_split(spark, sf)
-    return E.column_drop_report(flow_scaler(spark, sf), rows.filter(F.col("split") == "train"))
+    return E.column_drop_report(flow_scaler(spark, sf, "row_key"), rows.filter(F.col("split") == "train"))
 
 
 @query("column_drop_report", with_("scaler", more=f"{_CAND}, {_DUP}, {_DROPS}") + """SELECT step, ordinal, "column", reason FROM drops""")
