@@ -8,14 +8,15 @@ whose size is bounded. Each layer is one flat array of neighbour numbers. Vector
 so that all have the same length and the largest inner product is the smallest angle.
 
 Queries go in parts of about ``PART``: a part meets the graph of every shard, goes down the layers and
-keeps a beam of ``BEAM`` vectors on the lowest, the queries of a block in step. Scores are the inner products of the
+keeps a beam of ``BEAM`` vectors on the lowest, the queries of a block in step. Queries whose last kept vector a
+beam of twice the width improves go on with wider ones until it stays. Scores are the inner products of the
 original vectors in double precision. The best of all shards are merged for each query.
 
 Copies of a vector have one node. Of their ids only the ``top + 1`` smallest can be among the nearest,
 as ties go to smaller ids; a window keeps them before anything is gathered.
 
-Vectors that are null, zero, of another length than most, or hold null or infinite components take no
-part. Ids that are null take no part. Rows that repeat an id and a vector count once; an id with several
+Vectors that are null, zero, or hold null or infinite components take no part. Vectors of each length are
+searched among themselves; more than ``LENGTHS`` lengths fail. Ids that are null take no part. Rows that repeat an id and a vector count once; an id with several
 vectors is a candidate with each, and a query with its smallest. With few candidates all are returned.
 """
 
@@ -33,6 +34,8 @@ from flowloom.llm.common import cut
 
 SHARD = 16_384
 LINKS, CANDIDATES, BEAM, EXPAND, BLOCK = 16, 64, 128, 8, 256
+#: Lengths that the vectors of a table may have.
+LENGTHS = 1_000
 #: Queries that meet a graph in one task.
 PART = 2_048
 TOP = 20
@@ -128,6 +131,25 @@ class Graph:
             at = self.walk(queries, at, self.layers[level], 4)[0]
         return self.walk(queries, at, self.layers[0], beam)
 
+    def stable(self, queries: np.ndarray, beam: int, top: int) -> list[np.ndarray]:
+        """Ids found for each query, by falling similarity, with a beam that doubles until the best ``top`` stay.
+
+        A query goes on from what it has found as long as a wider beam finds a nearer ``top``-th vector; a beam
+        as wide as the graph has seen every vector that can be reached.
+        """
+        ids, sims = self.search(queries, beam)
+        out = [row[row >= 0] for row in ids]
+        live = np.arange(len(queries))
+        while len(live) and beam < len(self.x):
+            beam *= 2
+            worst = sims[:, top - 1]
+            ids, sims = self.walk(queries[live], ids, self.layers[0], beam)
+            for row, k in zip(ids, live.tolist(), strict=True):
+                out[k] = row[row >= 0]
+            better = sims[:, top - 1] > worst
+            live, ids, sims = live[better], ids[better], sims[better]
+        return out
+
     def walk(self, q: np.ndarray, start: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         n, rows = len(q), np.arange(len(q))[:, None]
         seen = np.zeros((n, len(self.x) + 1), bool)  # the last column takes the fill
@@ -183,7 +205,7 @@ def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     )
 
 
-def graphs(vectors: DataFrame, top: int, shards: int) -> DataFrame:
+def graphs(vectors: DataFrame, top: int, lengths: DataFrame) -> DataFrame:
     """One row for each shard: its ids and vectors and its graph as flat arrays."""
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_fl_id", kind="stable")
@@ -203,7 +225,8 @@ def graphs(vectors: DataFrame, top: int, shards: int) -> DataFrame:
 
     copies = W.partitionBy("_fl_vec").orderBy("_fl_id")
     few = vectors.distinct().withColumn("_fl_copy", F.row_number().over(copies)).where(F.col("_fl_copy") <= top + 1)
-    dealt = few.select("_fl_id", "_fl_vec", F.pmod(F.xxhash64("_fl_vec"), F.lit(shards)).cast("int").alias("_fl_shard"))
+    place = (F.col("_fl_first") + F.pmod(F.xxhash64("_fl_vec"), F.col("_fl_shards"))).cast("int").alias("_fl_shard")
+    dealt = few.join(F.broadcast(lengths), F.size("_fl_vec") == F.col("_fl_width")).select("_fl_id", "_fl_vec", place)
     return dealt.groupBy("_fl_shard").applyInPandas(
         build, "_fl_shard int, ids binary, node binary, raw binary, width int, levels binary, layers binary"
     )
@@ -223,11 +246,11 @@ def load(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
 def best_of(ids: np.ndarray, node: np.ndarray, raw: np.ndarray, graph: Graph, asks: np.ndarray, names: np.ndarray, top: int, beam: int) -> Iterator[tuple]:
     """(query, id, score) of the best candidates of one shard for a block of queries."""
     q = np.column_stack([asks / np.linalg.norm(asks, axis=1, keepdims=True), np.zeros(len(asks))]).astype(np.float32)
-    found, _ = graph.search(q, max(beam, 2 * (top + 1)))
+    found = graph.stable(q, max(beam, 2 * (top + 1)), top + 1)
     by_node = np.argsort(node, kind="stable")
     starts = np.searchsorted(node[by_node], np.arange(len(raw) + 1))
     for k in range(len(asks)):
-        hit = found[k][found[k] >= 0]
+        hit = found[k]
         score = raw[hit] @ asks[k]
         order = np.argsort(-score, kind="stable")[: top + 1]
         # Nodes whose score ties with the last one kept stay in the race.
@@ -247,19 +270,23 @@ def nearest(
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``top`` nearest found of each query, itself left out."""
     vectors = usable(df, vec_id, embedding)
-    sizes = vectors.groupBy(F.size("_fl_vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    spark = df.sparkSession
+    sizes = vectors.groupBy(F.size("_fl_vec").alias("w")).count().orderBy("w").limit(LENGTHS + 1).collect()
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors have more than {LENGTHS} lengths")
+    # Shards of each length: a query meets those of its own. The table has one row for each length.
+    counts = [max(1, -(-r["count"] // shard)) for r in sizes]
+    rows = [(r["w"], sum(counts[:i]), n) for i, (r, n) in enumerate(zip(sizes, counts, strict=True))]
+    lengths = spark.createDataFrame(rows, "_fl_width int, _fl_first long, _fl_shards long")
     out_schema = "query_id long, vec_id long, score double"
-    if sizes is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors = vectors.where(F.size("_fl_vec") == sizes["w"])
-    shards = max(1, -(-sizes["count"] // shard))
-    built = cut(graphs(vectors, top, shards))
-    asked = usable(queries, vec_id, embedding).where(F.size("_fl_vec") == sizes["w"])
+    built = cut(graphs(vectors, top, lengths))
+    asked = usable(queries, vec_id, embedding)
     asked = asked.groupBy("_fl_id").agg(F.min("_fl_vec").alias("_fl_vec"))
     parts = max(1, -(-asked.count() // PART))
     # Queries are repeated once for each shard, graphs once for each part of the queries: both sides are bounded.
-    asked = asked.withColumn("_fl_part", F.pmod(F.xxhash64("_fl_id"), F.lit(parts)).cast("int")).withColumn(
-        "_fl_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    asked = asked.join(F.broadcast(lengths), F.size("_fl_vec") == F.col("_fl_width")).select(
+        "_fl_id", "_fl_vec", F.pmod(F.xxhash64("_fl_id"), F.lit(parts)).cast("int").alias("_fl_part"),
+        F.explode(F.sequence(F.col("_fl_first").cast("int"), (F.col("_fl_first") + F.col("_fl_shards") - 1).cast("int"))).alias("_fl_shard"),
     )
     built = built.withColumn("_fl_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 

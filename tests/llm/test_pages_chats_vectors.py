@@ -248,3 +248,56 @@ def test_copies_of_a_hot_vector_keep_the_smallest_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [r.vec_id for r in hnsw.nearest(df, df.where("vec_id = 100")).orderBy("rank").collect()]
     assert got == list(range(20))
+
+
+def drawn(kind, n, d=64, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (n, d))
+    if kind == "raw":
+        return x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x * np.exp(rng.normal(0, 0.5, (n, 1))) if kind == "log-normal" else x
+
+
+def recall_of(x, found, queries, top=20):
+    """Mean share of the ``top`` largest inner products that were found; ``found`` maps a query to ids."""
+    hits = 0
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:top].tolist()) & set(found[q]))
+    return hits / (top * len(queries))
+
+
+@pytest.mark.parametrize("kind", ["raw", "log-normal", "unit"])
+def test_recall_on_a_full_shard(kind):
+    x, names = drawn(kind, hnsw.SHARD), np.arange(0, 16_000, 400)
+    graph = hnsw.Graph.build(hnsw.unit(x))
+    ids = np.arange(len(x))
+    found = collections.defaultdict(list)
+    for q, i, _ in hnsw.best_of(ids, ids, x, graph, x[names], names, 20, hnsw.BEAM):
+        found[q].append(i)
+    assert recall_of(x, found, names.tolist()) >= 0.95
+
+
+@pytest.mark.parametrize("kind", ["raw", "log-normal"])
+def test_recall_over_several_shards(spark, kind):
+    x = drawn(kind, 3_000, 32, 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in hnsw.nearest(df, df.where("vec_id % 50 = 0"), shard=1_000).collect():
+        found[r.query_id].append(r.vec_id)
+    assert recall_of(x, found, range(0, 3_000, 50)) >= 0.95
+
+
+def test_each_length_is_searched_apart(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in hnsw.nearest(df, df.where("vec_id % 20 = 0"), shard=50).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(got) == 10
+    for q, found in got.items():
+        same = [(i, v) for i, v in rows if len(v) == len(rows[q][1])]
+        assert len(found) == 20 and len({i for i, _ in plain_nearest(same, q, 20)} & set(found)) >= 19
