@@ -8,8 +8,8 @@ whose size is bounded. Each layer is one flat array of neighbour numbers. Vector
 so that all have the same length and the largest inner product is the smallest angle.
 
 Queries go in parts of about ``PART``: a part meets the graph of every shard, goes down the layers and
-keeps a beam of ``BEAM`` vectors on the lowest, the queries of a block in step. Queries whose last kept vector a
-beam of twice the width improves go on with wider ones until it stays. Scores are the inner products of the
+keeps a beam of ``BEAM`` vectors on the lowest, the queries of a block in step. Queries whose last kept vector the
+second half of the beam improves go on with a wider one until it stays. Scores are the inner products of the
 original vectors in double precision. The best of all shards are merged for each query.
 
 Copies of a vector have one node. Of their ids only the ``top + 1`` smallest can be among the nearest,
@@ -124,33 +124,28 @@ class Graph:
         if full.any():
             links[nodes[full]] = chosen(sims[full], table[full], x, most)
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, similarities) of the beam on the lowest layer, by falling similarity; -1 where there is none."""
-        at = np.zeros((len(queries), 1), np.int64)
-        for level in range(len(self.layers) - 1, 0, -1):
-            at = self.walk(queries, at, self.layers[level], 4)[0]
-        return self.walk(queries, at, self.layers[0], beam)
-
     def stable(self, queries: np.ndarray, beam: int, top: int) -> list[np.ndarray]:
-        """Ids found for each query, by falling similarity, with a beam that doubles until the best ``top`` stay.
+        """Ids found for each query, by falling similarity, with beams that widen until the best ``top`` stay.
 
-        A query goes on from what it has found as long as a wider beam finds a nearer ``top``-th vector; a beam
-        as wide as the graph has seen every vector that can be reached.
+        A beam is filled to its half first. A query is done if the other half brings no nearer ``top``-th
+        vector, else it goes on from what it has found with a beam of twice the width; a beam as wide as the
+        graph has seen every vector that can be reached.
         """
-        ids, sims = self.search(queries, beam)
-        out = [row[row >= 0] for row in ids]
+        at = np.zeros((len(queries), 1), np.int64)
+        for level in range(len(self.layers) - 1, 0, -1):
+            at = self.walk(queries, at, self.layers[level], 4)[0]
+        out: list[np.ndarray] = [at[0]] * len(queries)
         live = np.arange(len(queries))
-        while len(live) and beam < len(self.x):
-            beam *= 2
-            worst = sims[:, top - 1]
-            ids, sims = self.walk(queries[live], ids, self.layers[0], beam)
-            for row, k in zip(ids, live.tolist(), strict=True):
+        while len(live):
+            at, better = self.walk(queries[live], at, self.layers[0], beam, top)
+            for row, k in zip(at, live.tolist(), strict=True):
                 out[k] = row[row >= 0]
-            better = sims[:, top - 1] > worst
-            live, ids, sims = live[better], ids[better], sims[better]
+            better &= beam < len(self.x)
+            live, at, beam = live[better], at[better], 2 * beam
         return out
 
-    def walk(self, q: np.ndarray, start: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, q: np.ndarray, start: np.ndarray, links: np.ndarray, beam: int, top: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the beam by falling similarity, -1 where there is none, and whether its second half brought a nearer ``top``-th."""
         n, rows = len(q), np.arange(len(q))[:, None]
         seen = np.zeros((n, len(self.x) + 1), bool)  # the last column takes the fill
         seen[:, -1] = True
@@ -162,12 +157,21 @@ class Graph:
         sims[:, :width] = np.where(ids[:, :width] >= 0, np.einsum("nwd,nd->nw", self.x[ids[:, :width]], q), -np.inf)
         seen[rows, ids] = True
         open_[:] = ids >= 0
+        # Places of the beam that are opened so far, and the top-th similarity when the first half was done.
+        reach, place = np.full(n, max(top, beam // 2)), np.arange(beam)
+        worst = np.full(n, np.inf, np.float32)
         live = np.arange(n)
         while len(live):
+            ready = open_[live] & (place < reach[live, None])
+            rest = ~ready.any(axis=1)
+            if rest.any():
+                half = live[rest & (reach[live] < beam)]
+                worst[half], reach[half] = sims[half, min(top, beam) - 1], beam
+                live = live[~rest | open_[live].any(axis=1)]
+                continue
             # The first open places of each row; a row that has none is done.
-            rank = np.cumsum(open_[live], axis=1)
-            pick = open_[live] & (rank <= EXPAND)
-            r, c = np.nonzero(pick)
+            rank = np.cumsum(ready, axis=1)
+            r, c = np.nonzero(ready & (rank <= EXPAND))
             nexts = np.full((len(live), EXPAND), -1, np.int64)
             nexts[r, rank[r, c] - 1] = ids[live[r], c]
             open_[live[r], c] = False
@@ -185,8 +189,7 @@ class Graph:
             ids[live] = np.take_along_axis(np.concatenate([ids[live], near], axis=1), order, axis=1)
             opened = np.concatenate([open_[live], near >= 0], axis=1)
             open_[live] = np.take_along_axis(opened, order, axis=1) & (ids[live] >= 0)
-            live = live[open_[live].any(axis=1)]
-        return ids, sims
+        return ids, sims[:, min(top, beam) - 1] > worst
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
