@@ -34,6 +34,8 @@ from flowloom.llm.common import cut
 
 SHARD = 16_384
 LINKS, CANDIDATES, BEAM, EXPAND, BLOCK = 16, 64, 128, 8, 256
+#: Similarities between candidates that are held at once while links are chosen.
+PAIRS = 1 << 21
 #: Lengths that the vectors of a table may have.
 LENGTHS = 1_000
 #: Queries that meet a graph in one task.
@@ -47,17 +49,21 @@ def chosen(sims: np.ndarray, ids: np.ndarray, x: np.ndarray, most: int) -> np.nd
     ``sims`` and ``ids`` are candidates by falling similarity, -1 where there is none.
     """
     n, width = ids.shape
+    rows = max(1, PAIRS // max(1, width * width))
+    if n > rows:
+        return np.concatenate([chosen(sims[i : i + rows], ids[i : i + rows], x, most) for i in range(0, n, rows)])
     out = np.full((n, most), -1, np.int32)
     count = np.zeros(n, np.int64)
     nearest = np.full((n, width), -np.inf, np.float32)  # to any candidate chosen so far
     vectors = x[np.maximum(ids, 0)]
+    pairs = vectors @ vectors.transpose(0, 2, 1)  # of the candidates of a row, so bounded by their number
     for k in range(width):
         take = np.flatnonzero((ids[:, k] >= 0) & (count < most) & (sims[:, k] > nearest[:, k]))
         if not len(take):
             continue
         out[take, count[take]] = ids[take, k]
         count[take] += 1
-        nearest[take] = np.maximum(nearest[take], np.einsum("nwd,nd->nw", vectors[take], vectors[take, k]))
+        nearest[take] = np.maximum(nearest[take], pairs[take, k])
     # Free places go to the nearest that the rule passed over.
     for k in range(min(width, most)):
         c = ids[:, k]
@@ -180,7 +186,9 @@ class Graph:
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
             near[seen[live[:, None], near]] = -1
             seen[live[:, None], near] = True
-            near = near[:, (near >= 0).any(axis=0)]
+            # What is new stands together at the end of each row, so that only few places are looked up in vain.
+            near.sort(axis=1)
+            near = near[:, near.shape[1] - (near >= 0).sum(axis=1).max(initial=0) :]
             got = np.einsum("nwd,nd->nw", self.x[near], q[live])
             got[near < 0] = -np.inf
             every = np.concatenate([sims[live], got], axis=1)
@@ -246,10 +254,10 @@ def load(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
     return np.frombuffer(row.ids, np.int64), np.frombuffer(row.node, np.int32), raw, Graph(unit(raw), levels, layers)
 
 
-def best_of(ids: np.ndarray, node: np.ndarray, raw: np.ndarray, graph: Graph, asks: np.ndarray, names: np.ndarray, top: int, beam: int) -> Iterator[tuple]:
+def best_of(ids: np.ndarray, node: np.ndarray, raw: np.ndarray, graph: Graph, asks: np.ndarray, names: np.ndarray, top: int, beam: int, kept: int) -> Iterator[tuple]:
     """(query, id, score) of the best candidates of one shard for a block of queries."""
     q = np.column_stack([asks / np.linalg.norm(asks, axis=1, keepdims=True), np.zeros(len(asks))]).astype(np.float32)
-    found = graph.stable(q, max(beam, 2 * (top + 1)), top + 1)
+    found = graph.stable(q, beam, kept)
     by_node = np.argsort(node, kind="stable")
     starts = np.searchsorted(node[by_node], np.arange(len(raw) + 1))
     for k in range(len(asks)):
@@ -267,6 +275,16 @@ def best_of(ids: np.ndarray, node: np.ndarray, raw: np.ndarray, graph: Graph, as
             yield int(names[k]), int(own[i]), float(of[i])
 
 
+def share_of_shard(top: int, beam: int, shards: int) -> tuple[int, int]:
+    """Vectors of the best ``top`` that a shard has to bring with certainty, and the beam for them.
+
+    Vectors are dealt by a hash, so their number in a shard is binomial: mean and three deviations.
+    """
+    mean = (top + 1) / shards
+    kept = min(top + 1, int(np.ceil(mean + 3 * np.sqrt(mean))) + 1)
+    return kept, max(2 * kept, -(-beam * kept // (top + 1)))
+
+
 def nearest(
     df: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     top: int = TOP, shard: int = SHARD, beam: int = BEAM,
@@ -289,7 +307,7 @@ def nearest(
     # Queries are repeated once for each shard, graphs once for each part of the queries: both sides are bounded.
     asked = asked.join(F.broadcast(lengths), F.size("_fl_vec") == F.col("_fl_width")).select(
         "_fl_id", "_fl_vec", F.pmod(F.xxhash64("_fl_id"), F.lit(parts)).cast("int").alias("_fl_part"),
-        F.explode(F.sequence(F.col("_fl_first").cast("int"), (F.col("_fl_first") + F.col("_fl_shards") - 1).cast("int"))).alias("_fl_shard"),
+        F.explode(F.sequence(F.col("_fl_first").cast("int"), (F.col("_fl_first") + F.col("_fl_shards") - 1).cast("int"))).alias("_fl_shard"), "_fl_shards",
     )
     built = built.withColumn("_fl_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
@@ -298,9 +316,10 @@ def nearest(
         if len(asks) and len(graph):
             ids, node, raw, g = load(next(graph.itertuples(index=False)))
             asks = asks.sort_values("_fl_id")
+            kept, width = share_of_shard(top, beam, int(asks["_fl_shards"].iloc[0]))
             for lo in range(0, len(asks), BLOCK):
                 block = asks.iloc[lo : lo + BLOCK]
-                lines += best_of(ids, node, raw, g, np.stack(block["_fl_vec"].to_numpy()), block["_fl_id"].to_numpy(), top, beam)
+                lines += best_of(ids, node, raw, g, np.stack(block["_fl_vec"].to_numpy()), block["_fl_id"].to_numpy(), top, width, kept)
         return pd.DataFrame(lines, columns=["query_id", "vec_id", "score"])
 
     key = ["_fl_shard", "_fl_part"]

@@ -275,7 +275,7 @@ def test_recall_on_a_full_shard(kind):
     graph = hnsw.Graph.build(hnsw.unit(x))
     ids = np.arange(len(x))
     found = collections.defaultdict(list)
-    for q, i, _ in hnsw.best_of(ids, ids, x, graph, x[names], names, 20, hnsw.BEAM):
+    for q, i, _ in hnsw.best_of(ids, ids, x, graph, x[names], names, 20, hnsw.BEAM, 21):
         found[q].append(i)
     assert recall_of(x, found, names.tolist()) >= 0.95
 
