@@ -278,10 +278,10 @@ def best_of(ids: np.ndarray, node: np.ndarray, raw: np.ndarray, graph: Graph, as
 def share_of_shard(top: int, beam: int, shards: int) -> tuple[int, int]:
     """Vectors of the best ``top`` that a shard has to bring with certainty, and the beam for them.
 
-    Vectors are dealt by a hash, so their number in a shard is binomial: mean and three deviations.
+    Vectors are dealt by a hash, so their number in a shard is binomial: mean and two deviations.
     """
     mean = (top + 1) / shards
-    kept = min(top + 1, int(np.ceil(mean + 3 * np.sqrt(mean))) + 1)
+    kept = min(top + 1, int(np.ceil(mean + 2 * np.sqrt(mean))) + 1)
     return kept, max(2 * kept, -(-beam * kept // (top + 1)))
 
 
