@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowloom.operators import labels as L
+from flowloom.operators import epochs as E
 from flowloom.operators import sampling as S
 from flowloom.workload.inputs import SEED, flow_split, flows, table, with_
 from flowloom.workload.registry import query, r
@@ -122,6 +123,30 @@ def resume_batches(spark, sf):
     return S.resume_batches(epoch_batches(spark, sf), 3)
 
 
+def _in_place_sql(epoch: int) -> str:
+    """The network on row numbers in file order; what lands beyond the rows goes through again."""
+    p = E.PRIME
+
+    def once(source: str) -> str:
+        s = f"SELECT row_key, n, a, b, x // b AS l, x % b AS r FROM ({source})"
+        for i, (f, c) in enumerate(E.round_keys(SEED, epoch)):
+            v, (m, o) = ("r", ("l", "r")) if i % 2 == 0 else ("l", ("r", "l"))
+            z = f"((({v} + {c}) % {p}) * (({v} + {c}) % {p}) % {p} * {f} % {p})"
+            s = f"SELECT row_key, n, a, b, ({m} + {z}) % {'a' if m == 'l' else 'b'} AS {m}, {o} FROM ({s})"
+        return f"SELECT row_key, n, a, b, l * b + r AS x FROM ({s})"
+
+    first = "SELECT row_key, n, a, (n + a - 1) // a AS b, x FROM (SELECT *, ceil(sqrt(n))::BIGINT AS a FROM (SELECT o_orderkey AS row_key, row_number() OVER () - 1 AS x, count(*) OVER () AS n FROM orders))"
+    return f"""WITH RECURSIVE w AS ({once(first)} UNION ALL {once('SELECT row_key, n, a, b, x FROM w WHERE x >= n')})
+ SELECT row_key, (x // 128)::BIGINT AS batch_id, (x % 128)::BIGINT AS position FROM w WHERE x < n"""
+
+
+@query("epoch_batches_in_place", _in_place_sql(3))
+def epoch_batches_in_place(spark, sf):
+    """Full batches of a random order without a shuffle of the rows."""
+    rows, n = E.dense_numbers(spark, f"{sf}/orders.parquet")
+    return E.batches_in_place(rows.select(F.col("o_orderkey").alias("row_key"), "number"), n, 128, epoch=3, seed=SEED).drop("number")
+
+
 @query("row_subset", with_("split") + "SELECT o_orderkey AS row_key, o_totalprice FROM orders WHERE o_orderkey IN (SELECT row_key FROM split WHERE split = 'val')")
 def row_subset(spark, sf):
     keys = flow_split(spark, sf).filter(F.col("split") == "val")
