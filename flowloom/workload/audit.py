@@ -63,7 +63,9 @@ def partial_epochs(spark, sf):
     return A.partial_epochs(history(spark, sf), "is_partial", "resumed_after")
 
 
-@query("count_reconcile", "SELECT count(*) AS n_files, count(o_orderpriority) AS n_classes, count(*) AS n_splits, true AS ok FROM orders")
+@query("count_reconcile", with_("split", more="""c AS (SELECT (SELECT count(*) FROM orders) AS n_files,
+ (SELECT sum(n)::BIGINT FROM (SELECT count(*) AS n FROM flows GROUP BY label)) AS n_classes, (SELECT count(*) FROM split WHERE split IN ('train', 'val', 'test')) AS n_splits)""")
+       + "SELECT *, n_files = n_classes AND n_files = n_splits AS ok FROM c")
 def count_reconcile(spark, sf):
     files = rows_by_file(table(spark, sf, "orders")).withColumnRenamed("n_rows", "n")
     classes = flows(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -86,9 +88,10 @@ def metric_set_complete(spark, sf):
 
 
 @query("prediction_diff", with_("preds", more="""q AS (SELECT row_key, list_transform(y_prob, lambda v, i: CASE WHEN i = 1 AND row_key % 7 = 0 THEN (v::DOUBLE + 1e-6::DOUBLE)::FLOAT ELSE v END) AS y_prob FROM preds WHERE row_key <> 3),
- d AS (SELECT p.row_key AS a, q.row_key AS b, list_max(list_transform(range(1, 11), lambda i: abs(p.y_prob[i]::DOUBLE - q.y_prob[i]::DOUBLE))) AS m FROM preds p FULL OUTER JOIN q ON p.row_key = q.row_key)""")
-       + f"""SELECT count(*) AS n_rows, count(*) FILTER (a IS NULL OR b IS NULL) AS n_one_sided, 0::BIGINT AS n_shape_differs,
- {r('max(m) FILTER (a IS NOT NULL AND b IS NOT NULL)', 7)} AS max_diff, false AS ok FROM d""")
+ d AS (SELECT p.row_key AS a, q.row_key AS b, list_max(list_transform(range(1, 11), lambda i: abs(p.y_prob[i]::DOUBLE - q.y_prob[i]::DOUBLE))) AS m, len(p.y_prob) <> len(q.y_prob) AS other FROM preds p FULL OUTER JOIN q ON p.row_key = q.row_key)""")
+       + f"""SELECT count(*) AS n_rows, count(*) FILTER (a IS NULL OR b IS NULL) AS n_one_sided, count(*) FILTER (other) AS n_shape_differs,
+ {r('max(m) FILTER (a IS NOT NULL AND b IS NOT NULL)', 7)} AS max_diff,
+ count(*) FILTER (a IS NULL OR b IS NULL OR other) = 0 AND max(m) FILTER (a IS NOT NULL AND b IS NOT NULL) <= 1e-5 AS ok FROM d""")
 def prediction_diff(spark, sf):
     p = preds(spark, sf)
     moved = F.transform(

@@ -21,8 +21,12 @@ def _rounded(df):
     return df.withColumns({b: F.round(b, 6) for b in V.SUBBANDS})
 
 
-@query("swt_geometry", "SELECT len(embedding)::INT AS n_features, count(*) AS n_rows, 64 AS n_padded, 9 AS side, 8 AS raised_from, 2 AS final_side, 17 AS image_pad "
-       "FROM embeddings GROUP BY len(embedding)")
+# Padded to a multiple of 8, laid out as a square that three halvings leave with a side of two at least.
+@query("swt_geometry", """WITH w AS (SELECT len(embedding)::INT AS n_features, count(*) AS n_rows FROM embeddings GROUP BY 1),
+ p AS (SELECT *, ((n_features + 7) // 8 * 8)::INT AS n_padded FROM w), s AS (SELECT *, ceil(sqrt(n_padded))::INT AS own FROM p),
+ g AS (SELECT *, greatest(own, 9)::INT AS side FROM s)
+SELECT n_features, n_rows, n_padded, side, CASE WHEN side > own THEN own END AS raised_from, ((side + 7) // 8)::INT AS final_side,
+ (side * side - n_padded)::INT AS image_pad FROM g""")
 def swt_geometry(spark, sf):
     widths = vectors(spark, sf).groupBy(F.size("features").alias("n_features")).agg(F.count(F.lit(1)).alias("n_rows"))
     rows = []

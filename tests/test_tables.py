@@ -1,6 +1,8 @@
 """Statistics, preparation, sources, audit, counters, streams, attribution."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,20 @@ def test_file_tables(spark, dirty):
     assert len(bad) == 3 and all(r.missing == "gone" for r in bad)
 
 
+def test_file_profile_counts_bytes_and_rows_of_nested_folders(spark, tmp_path):
+    sizes = {"a/x.parquet": 10, "b/x.parquet": 25, "b/c/y.parquet": 0}
+    for name, n in sizes.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        pq.write_table(pa.table({"v": pa.array(range(n), pa.int64())}), tmp_path / name, row_group_size=10)
+    prof = P.file_profile(spark, str(tmp_path)).collect()
+    got = sorted((r.file, r.n_rows, r.bytes, r.n_row_groups, r.n_files) for r in prof if r.file)
+    size = {name: (tmp_path / name).stat().st_size for name in sizes}
+    groups = {name: pq.ParquetFile(tmp_path / name).metadata.num_row_groups for name in sizes}
+    assert got == sorted((name.split("/")[-1], n, size[name], groups[name], 1) for name, n in sizes.items())
+    total = [r for r in prof if r.file is None]
+    assert [(r.n_rows, r.bytes, r.n_row_groups, r.n_files) for r in total] == [(35, sum(size.values()), sum(groups.values()), 3)]
+
+
 def test_prepare_end_to_end(spark, dirty, tmp_path):
     df = P.scan_flows(spark, dirty)
     s = P.discover_schema(df)
