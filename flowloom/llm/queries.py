@@ -45,14 +45,27 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leak.select("doc_id", F.col("leak.item_id").alias("item_id"), F.round("leak.share", 6).alias("share"))
 
 
-#: Share of an item's word five-shingles in a document; items that are there are there whole in one passage.
-SQL["op2_benchmark_decontamination"] = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS w FROM documents),
- b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS w FROM benchmark),
- ds AS (SELECT DISTINCT doc_id, w[i:i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
- bs AS (SELECT DISTINCT item_id, w[i:i + 4] AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
- n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)
-SELECT doc_id, item_id, round(count(*)::DOUBLE / any_value(n), 6) AS share FROM ds JOIN bs USING (s) JOIN n USING (item_id)
-GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n)"""
+#: Lesser share of the word five-shingles of an item's parts in a passage; the parts are question and answer, where they are marked.
+SQL["op2_benchmark_decontamination"] = """WITH d AS (SELECT row_number() OVER () AS dn, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS w FROM documents),
+ q AS (SELECT row_number() OVER () AS bn, item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS w,
+   regexp_extract_all(regexp_extract(lower(text), '(?s)^(.*?)\\banswer\\s*:(.*)$', 1), '[\\p{L}\\p{M}\\p{N}_]+') AS qw,
+   regexp_extract_all(regexp_extract(lower(text), '(?s)^(.*?)\\banswer\\s*:(.*)$', 2), '[\\p{L}\\p{M}\\p{N}_]+') AS aw FROM benchmark),
+ parts AS (SELECT bn, item_id, len(w) AS n, w, 1 AS part FROM q WHERE len(qw) < 5 OR len(aw) < 5
+   UNION ALL SELECT bn, item_id, len(qw) + len(aw), qw, 1 FROM q WHERE len(qw) >= 5 AND len(aw) >= 5
+   UNION ALL SELECT bn, item_id, len(qw) + len(aw), aw, 2 FROM q WHERE len(qw) >= 5 AND len(aw) >= 5),
+ b AS (SELECT *, 1 << greatest(6, len(bin(n))) AS cell, least(5, len(w)) AS k FROM parts WHERE n > 0),
+ bs AS (SELECT DISTINCT bn, part, cell, w[i:i + k - 1] AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+ size AS (SELECT bn, part, count(*) AS n FROM bs GROUP BY 1, 2),
+ total AS (SELECT bn, count(*) AS parts FROM size GROUP BY 1),
+ ks AS (SELECT DISTINCT k FROM b),
+ ds AS (SELECT dn, k, i - 1 AS pos, w[i:i + k - 1] AS s FROM (SELECT dn, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN ks)),
+ met AS (SELECT dn, bn, part, s, pos, k, cell, pos // cell AS c FROM ds JOIN bs USING (s)),
+ placed AS (SELECT dn, bn, part, s, c FROM met UNION ALL SELECT dn, bn, part, s, c - 1 FROM met WHERE c > 0 AND pos + k <= (c + 1) * cell),
+ held AS (SELECT dn, bn, c, part, count(DISTINCT s) AS hits FROM placed GROUP BY ALL),
+ good AS (SELECT dn, bn, c, hits::DOUBLE / n AS share FROM held JOIN size USING (bn, part) WHERE 5 * hits >= 4 * n),
+ whole AS (SELECT dn, bn, c, min(share) AS share, count(*) AS parts FROM good GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, round(max(share), 6) AS share FROM whole JOIN total USING (bn, parts) JOIN d USING (dn) JOIN q USING (bn)
+GROUP BY dn, bn, doc_id, item_id"""
 
 
 @query

@@ -4,11 +4,12 @@ import collections
 import random
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from flowloom.llm import decontam, packing, quality, simhash
-from flowloom.llm.queries import QUERIES
+from flowloom.llm.queries import QUERIES, SQL
 
 from llm_helpers import DOCS, SF, prose, table, texts_of
 
@@ -173,6 +174,68 @@ def test_decontamination_of_near_copies(spark):
     assert {(r.doc_id, x.item_id) for r in got for x in r.leaks} == want
 
 
+def passage_leaks(docs, items):
+    """(document, item, share) by the docstring: every passage of every document against every item."""
+    out = collections.Counter()
+    for d, t in docs:
+        w = decontam.words(t or "")
+        for i, x in items:
+            parts = decontam.parts_of(x or "")
+            n = sum(map(len, parts))
+            if not n:
+                continue
+            cell, best = 2 ** max(6, n.bit_length()), 0.0
+            for at in range(0, len(w), cell):
+                here, k = w[at : at + 2 * cell], min(5, n)
+                held = {tuple(here[j : j + k]) for j in range(len(here) - k + 1)}
+                wanted = [{tuple(p[j : j + k]) for j in range(len(p) - k + 1)} for p in parts]
+                best = max(best, min(len(v & held) / len(v) for v in wanted))
+            if best >= 0.8:
+                out[d, i, round(best, 6)] += 1
+    return out
+
+
+def test_decontamination_of_templates_answers_and_any_ids(spark, tmp_path):
+    """Templated items, marked answers, marks inside words, text ids, null ids: query, SQL and brute force agree."""
+    rng = random.Random(12)
+    ask = "what is the name of the city that is the capital of"
+    names = [prose(rng, 1) + str(i) for i in range(30)]
+    items = [(f"t{i}", f"{ask} {x}") for i, x in enumerate(names)]
+    qa = [(prose(rng, 12), prose(rng, n)) for n in (1, 4, 5, 9, 9)]
+    items += [(f"q{i}", f"Question: {q}? Answer: {a}.") for i, (q, a) in enumerate(qa)]
+    items += [(None, prose(rng, 25)), (None, prose(rng, 18)), (None, None), ("same", prose(rng, 20)), ("hi", "\u0915\u094d\u092f\u093e \u0939\u093f\u0928\u094d\u0926\u0940 \u092e\u0947\u0902 \u0932\u093f\u0916\u0928\u093e \u0906\u0938\u093e\u0928 \u0939\u0948")]
+    items += [items[-2], ("short", "two words"), ("long", prose(rng, 300))]
+    text = [t or "" for _, t in items]
+    docs = [f"{prose(rng, 40)} {ask} {prose(rng, 30)}", f"{ask} {names[3]}", f"x {prose(rng, 100)} {ask} elsewhere", "what is the name of the city"]
+    docs += [f"{prose(rng, 60)} {q} {prose(rng, 10)} {a} {prose(rng, 5)}" for q, a in qa] + [f"{prose(rng, 9)} {q} {prose(rng, 30)}" for q, _ in qa]
+    docs += [f"{prose(rng, k)} {t} {prose(rng, 70)}" for k, t in zip((0, 50, 100, 120, 180) * 9, text) if t]
+    docs += [f"{prose(rng, 500)} {text[-1]} {prose(rng, 700)}", text[-1], None, "", "two words", "two other words", f"{qa[4][0]} " + prose(rng, 200) + f" {qa[4][1]}"]
+    spark.createDataFrame(items, "item_id string, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    want = passage_leaks(list(enumerate(docs)), items)
+    assert {(0, f"t{i}") for i in range(30)} <= {k[:2] for k in want} and any(i is None for _, i, _ in want)
+    got = QUERIES["op2_benchmark_decontamination"](spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.item_id, r.share) for r in got) == want
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path / name}.parquet/*.parquet')")
+    assert collections.Counter(con.execute(SQL["op2_benchmark_decontamination"]).fetchall()) == want
+
+
+def test_no_accepted_passage_stays_under_the_threshold():
+    rng = random.Random(13)
+    few = [prose(rng, 1) for _ in range(12)]
+    items = [(i, " ".join(rng.choices(few, k=rng.randrange(5, 40)))) for i in range(60)]
+    idf, mean = decontam.statistics([items])
+    for ix in decontam.build(items, idf, mean):
+        for at, item in enumerate(ix.items):
+            for _ in range(40):
+                w = [x if rng.random() > 0.08 else "changed" for x in item.words]
+                if item.confirmed(w):
+                    score = sum(x for k in {ix.terms[x] for x in w if x in ix.terms} for i, x in ix.lists[k] if i == at)
+                    assert score >= decontam.THRESHOLD - 1e-9
+
+
 def test_block_maxima_and_wand_retrieve_all_above_the_threshold():
     rng = random.Random(9)
     items = [(i, prose(rng, rng.randrange(6, 30))) for i in range(60)]
