@@ -64,6 +64,63 @@ def test_hosts_agree_on_a_path(spark, no_docs):
     assert pages.extract_pages(df.limit(0)).collect() == []
 
 
+def test_host_votes_out_what_stands_around_its_articles(spark):
+    """Fifty pages of each layout: footers, side columns and notices without a known class go, headings and leads stay."""
+    rng = random.Random(21)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    side = say(40)
+    layouts = {
+        "foot": "<div class=wrap><div class=content><p>{0}</p><p>{1}</p></div><div class=bottomLine>Copyright Example Press</div></div>",
+        "side": "<div id=page><div class=leftcol><p>" + side + "</p></div><div class=post><h1>{0}</h1><p>{1}</p></div></div>",
+        "note": "<div class=app><div class=hint>We store small files</div><div class=story><p>{0}</p><p>{1}</p></div></div>",
+        "lead": "<div class=all><div class=lead><p>{0}</p></div><div class=text><p>{1}</p></div><div class=end>Printed on paper</div></div>",
+    }
+    rows, want = [], {}
+    for k, (host, layout) in enumerate(layouts.items()):
+        for i in range(50):
+            a, b = say(rng.randrange(5, 9)), say(rng.randrange(20, 200))
+            want[100 * k + i] = f"{a} {b}"
+            rows.append((100 * k + i, f"https://{host}.example/{i}", f"<body>{layout.format(a, b)}</body>"))
+    rows += [(1000 + i, "https://copies.example/", f"<body>{layouts['lead'].format('same lead here', 'one text ' * 30)}</body>") for i in range(30)]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in want} == want
+    assert got[1000].startswith("same lead here one text")  # copies of one article say nothing about their host
+
+
+@pytest.mark.parametrize("name", ["readerComments", "commentlist", "siteFooter", "cookieBanner", "adsbygoogle", "user-comments", "topNavbar", "advertBox"])
+def test_names_in_one_word(name):
+    source = f"<div class=wrap><div class=story><p>{'word ' * 40}</p><div class={name}>gone gone</div></div><div id={name}>gone</div></div>"
+    assert pages.main_text(source, None)[0] == ("word " * 40).strip()
+
+
+@pytest.mark.parametrize("name", ["address", "adsorption", "commentary", "radsport", "headline"])
+def test_names_that_only_look_alike(name):
+    assert pages.main_text(f"<div class={name}><p>kept text</p></div>", None)[0] == "kept text"
+
+
+@pytest.mark.parametrize("source", [
+    "<!--><article><p>ok</p></article>", "<!---><article><p>ok</p></article>", "<!-- x --!><article><p>ok</p></article>",
+    "<svg><title>t<path></svg><article><p>ok</p></article>", "<svg><title>t<article><p>ok</p></article>", "<p><svg><title/></svg></p><article>ok</article>",
+])
+def test_comments_and_drawings_end(source):
+    assert pages.main_text(source, None)[0] == "ok"
+
+
+def test_deep_nesting_takes_linear_time():
+    n = 12_000
+    sources = ["".join(f"<div class='ad-{i}'>x" for i in range(n)), "<span>" * n + "</b>" * n + "<hr>x" * n, "<p>" + "<i>" * n + "<hr>y" * n, "<div>x" * n]
+    for source in sources:
+        start = time.process_time()
+        pages.main_text(source, ["a", "b"])
+        assert time.process_time() - start < 4
+
+
+def test_long_paths_stay_apart():
+    page = pages.Page("<div class=a>" * 400 + "<div class=left><p>one</div><div class=right><p>two two two</div>")
+    assert page.best()[0] and len(set(page.paths)) == len([t for t in page.tags if t in pages.VOTING]) + 1
+    assert max(map(len, page.paths)) < pages.LONGEST_PATH + 50
+
+
 def test_each_template_of_a_host_has_its_path(spark):
     """A smaller template, and a single page of a third one, have a short element on the first one's path."""
     first = lambda i: f"<body><div class=content><p>{'word ' * 60}{i}</p></div></body>"
