@@ -42,6 +42,8 @@ ENCODINGS = {"hex": (16, 0.6), "base32": (32, 1.0), "base36": (36, 1.3), "base62
 CHANGES = 0.2
 FALSE_DISCOVERY = 0.001
 REFUSE = 0.001
+#: Longest run that is remembered.
+REMEMBERED_CHARS = 256
 #: Histogram of the tail probabilities: steps of their negative decimal logarithm.
 STEP, TOP = 0.05, 60.0
 
@@ -86,9 +88,12 @@ def fisher(p: float, q: float) -> float:
     return math.exp(-half) * (1 + half)
 
 
-@lru_cache(maxsize=100_000)
 def battery(run: str) -> tuple[float, float] | None:
     """(tail probability under text, least p-value of the randomness tests), None if no encoding fits."""
+    return short_battery(run) if len(run) <= REMEMBERED_CHARS else full_battery(run)
+
+
+def full_battery(run: str) -> tuple[float, float] | None:
     kind = encoding(run)
     if kind is None:
         return None
@@ -120,6 +125,10 @@ def battery(run: str) -> tuple[float, float] | None:
     return text, least
 
 
+#: Verdicts on short runs that a task remembers: some tens of MB at most.
+short_battery = lru_cache(maxsize=100_000)(full_battery)
+
+
 def candidates(text: str) -> list[tuple[int, int, float, float]]:
     out = []
     for m in RUN.finditer(text):

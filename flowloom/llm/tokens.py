@@ -5,7 +5,8 @@ one behind the other in a numpy array of symbols. In every round each pre-token
 its lowest-ranked pair, all pre-tokens at once; a pre-token leaves when none of its pairs has a rank.
 The symbols that survive are its tokens. Merging all places of one pair in a round gives what merging
 one place after another gives, because a pair that holds a merged symbol has a higher rank than the
-merge that made the symbol.
+merge that made the symbol. A pre-token of ``LONG`` bytes or more lies alone in linked arrays, with the places
+of each rank in a list of their own: a round touches the places of its pair and their neighbours only.
 
 Null and empty texts have zero bytes and tokens. Rows that repeat are counted each. Texts and
 pre-tokens of any length are counted whole.
@@ -13,6 +14,7 @@ pre-tokens of any length are counted whole.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable
 from functools import lru_cache
@@ -32,6 +34,8 @@ SPLIT = (
 #: Pre-tokens whose counts a task remembers before it starts anew.
 REMEMBERED = 600_000
 NONE = np.int32(2**31 - 1)
+#: Bytes from which a pre-token is merged by itself.
+LONG = 2_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -67,6 +71,12 @@ class RankMerger:
     def counts(self, words: list[bytes]) -> np.ndarray:
         lens = np.array([len(w) for w in words], np.int64)
         result = lens.copy()
+        if len(long := np.flatnonzero(lens >= LONG)):
+            for i in long:
+                result[i] = self.count_long(self.byte_ids[np.frombuffer(words[i], np.uint8)])
+            rest = np.flatnonzero(lens < LONG)
+            result[rest] = self.counts([words[i] for i in rest])
+            return result
         sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         seq = np.repeat(np.arange(len(words)), lens)
         while len(sym):
@@ -91,6 +101,51 @@ class RankMerger:
         return result
 
 
+    def count_long(self, sym: np.ndarray) -> int:
+        """Tokens of one pre-token given by its bytes' symbols."""
+        n = left = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.append(self.rank(sym[:-1], sym[1:]), NONE)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def add(at: np.ndarray) -> None:
+            at = at[rank[at] != NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1):
+                if len(part):
+                    r = int(rank[part[0]])
+                    if r not in places:
+                        places[r] = []
+                        heapq.heappush(heap, r)
+                    places[r].append(part)
+
+        add(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.concatenate(places.pop(r))
+            at = np.unique(at[rank[at] == r])  # others have merged with a neighbour since
+            if not len(at):
+                continue
+            new_run = np.r_[True, after[at[:-1]] != at[1:]]
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+            at = at[place % 2 == 0]
+            gone = after[at]
+            sym[at] = self.merged[r]
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            rank[gone] = NONE
+            left -= len(at)
+            touched = np.unique(np.concatenate([at, before[at]]))
+            touched = touched[touched >= 0]
+            rank[touched] = NONE
+            inner = touched[after[touched] < n]
+            rank[inner] = self.rank(sym[inner], sym[after[inner]])
+            add(touched)
+        return left
+
+
 @lru_cache(maxsize=2)
 def merger(path: str) -> RankMerger:
     return RankMerger(path)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -34,6 +35,21 @@ def test_tokens_of_odd_strings():
     assert count(texts)[1] == library_counts(texts)  # from memory
 
 
+def test_tokens_of_long_words():
+    rng = random.Random(14)
+    texts = ["".join(rng.choices(a, k=n)) for a in ("a", "ab", "ACGT", "etaoinshrdlu", "é中a", "=-") for n in (tokens.LONG - 1, tokens.LONG, 3 * tokens.LONG)]
+    texts += ["the" * 3000 + "ing" * 1000, "ha" * 5000 + " ha" * 9, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))]
+    assert tokens.counter(VOCABULARY)(texts)[1] == library_counts(texts)
+
+
+def test_a_long_word_takes_linear_time():
+    rng = random.Random(15)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    start = time.process_time()
+    assert 0 < tokens.counter(VOCABULARY)([text])[1][0] < len(text)
+    assert time.process_time() - start < 10
+
+
 def test_tokens_forget_and_stay_right(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     count = tokens.counter(VOCABULARY)
@@ -105,6 +121,34 @@ def test_secrets_added_by_the_battery(spark):
     assert all(got[i].spans == "" for i in range(50))
 
 
+def test_false_discovery_step_by_a_plain_version(spark):
+    """The histogram gives the cut that Benjamini-Hochberg gives on all runs of a class, their tails rounded down to steps."""
+    rng = random.Random(16)
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEF"
+    runs = ["".join(rng.choices(alphabet[: rng.choice((8, 30, 42))], k=rng.choice((20, 24, 40, 70, 300)))) + "7" for _ in range(400)]
+    rows = [(i, " ".join(runs[i : i + 3])) for i in range(0, 400, 3)] + [(1000, None), (1001, "")]
+    got = secrets.cutoffs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    tails = collections.defaultdict(list)
+    for i in range(0, 400, 3):
+        for r in runs[i : i + 3]:
+            if (b := secrets.battery(r)) is not None:
+                tails[min(12, len(r).bit_length())].append(10 ** (-secrets.STEP * int(min(secrets.TOP, -math.log10(b[0])) / secrets.STEP)))
+    want = {}
+    for c, p in tails.items():
+        p.sort()
+        passed = [x for k, x in enumerate(p) if x <= secrets.FALSE_DISCOVERY * (len(p) - sum(y > x for y in p)) / len(p)]
+        if passed:
+            want[c] = round(-math.log10(max(passed)) / secrets.STEP)
+    assert got == want and len(want) >= 2
+
+
+def test_long_runs_are_not_remembered():
+    rng = random.Random(17)
+    before = secrets.short_battery.cache_info().currsize
+    long = "".join(rng.choices("abcdef0123456789", k=30_000))
+    assert secrets.battery(long) == secrets.full_battery(long) and secrets.short_battery.cache_info().currsize == before
+
+
 def test_secrets_query(spark):
     got = {r.doc_id: r for r in QUERIES["op10_secret_scan"](spark, SF).collect()}
     for i, t in texts_of(table(spark, "documents")):
