@@ -156,10 +156,12 @@ def resource_ceiling(history: DataFrame, limit_mb: float, column: str = "peak_rs
 
 
 def artifact_presence(listing: DataFrame, required: Sequence[str], name: str = "file") -> DataFrame:
-    """Required files with a flag whether the listing has them."""
+    """Required files with a flag whether the listing has them, and their rows where it counts them (``n_rows``)."""
     want = listing.sparkSession.createDataFrame([(r,) for r in required], "file string")
-    have = listing.select(F.col(name).alias("file"), F.lit(True).alias("_h")).distinct()
-    return want.join(have, "file", "left").select("file", F.coalesce("_h", F.lit(False)).alias("present"))
+    rows = [F.sum("n_rows").alias("n_rows")] if "n_rows" in listing.columns else []
+    have = listing.groupBy(F.col(name).alias("file")).agg(F.first(F.lit(True)).alias("_h"), *rows)
+    out = [F.coalesce("n_rows", F.lit(0)).alias("n_rows")] if rows else []
+    return want.join(have, "file", "left").select("file", F.coalesce("_h", F.lit(False)).alias("present"), *out)
 
 
 # ------------------------------------------------------------------ reports

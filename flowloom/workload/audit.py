@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import audit as A
 from flowloom.operators.sampling import split_class_counts
-from flowloom.sources.parquet import list_files, rows_by_file
+from flowloom.sources.parquet import rows_by_file, scan_flows
 from flowloom.workload.inputs import flow_split, flows, history, preds, table, with_
 from flowloom.workload.registry import query, r
 
@@ -168,7 +168,12 @@ def latency_percentiles(spark, sf):
     return out.select("batch_size", *[F.round(c, 6).alias(c) for c in out.columns if c != "batch_size"])
 
 
-@query("artifact_presence", """SELECT f || '.parquet' AS file, EXISTS (SELECT 1 FROM information_schema.tables WHERE table_name = f) AS present
- FROM (SELECT unnest(['orders', 'lineitem', 'y_true']) AS f)""")
+_REQUIRED = ("orders", "lineitem", "labels")
+
+
+@query("artifact_presence", " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) > 0 AS present, count(*) AS n_rows FROM {t}" for t in _REQUIRED)
+       + " UNION ALL SELECT 'y_true.parquet', false, 0")
 def artifact_presence(spark, sf):
-    return A.artifact_presence(list_files(spark, sf), ["orders.parquet", "lineitem.parquet", "y_true.parquet"])
+    """Required inputs as the scan finds them: their rows are counted, a file that is not there has none."""
+    counted = rows_by_file(scan_flows(spark, sf))
+    return A.artifact_presence(counted, [f"{t}.parquet" for t in (*_REQUIRED, "y_true")])

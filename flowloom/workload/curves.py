@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from flowloom.operators import areas
 from flowloom.operators import curves as R
 from flowloom.workload.inputs import K, SEED, preds, with_
 from flowloom.workload.registry import query, r
@@ -131,3 +132,28 @@ _BINS = """binned AS (SELECT class, floor(score::DOUBLE * 4096)::BIGINT AS score
 @query("approx_auc", with_("counts", more=f"{_BINS}, {_area('area', 'binned')}") + f"SELECT class, {r('auc')} AS roc_auc FROM area")
 def approx_auc(spark, sf):
     return _rounded(R.approx_auc(preds(spark, sf)), "roc_auc")
+
+
+_TOLERANCE = 1e-3
+
+
+def _cell_sql(per_unit: int) -> str:
+    s = "score::DOUBLE"
+    return f"(CASE WHEN {s} <= 0 THEN {-1000 * per_unit} WHEN {s} >= 1 THEN {1000 * per_unit} ELSE floor(ln({s} / (1 - {s})) * {per_unit}) END)::INT"
+
+
+_HEAVY = f"sum(pos) OVER {{w}} * sum(neg) OVER {{w}}::DOUBLE > {(2 * _TOLERANCE) ** 2!r} * n_pos * n_neg"
+_LEAVES = f"""celled AS (SELECT *, {_cell_sql(areas.CELLS)} AS c0, {_cell_sql(areas.CELLS * areas.SPLIT)} AS c1,
+  sum(pos) OVER (PARTITION BY class)::DOUBLE AS n_pos, sum(neg) OVER (PARTITION BY class)::DOUBLE AS n_neg FROM counts),
+ weighed AS (SELECT *, {_HEAVY.format(w="(PARTITION BY class, c0)")} AS h0, {_HEAVY.format(w="(PARTITION BY class, c1)")} AS h1 FROM celled),
+ leaves AS (SELECT class, n_pos, n_neg, h0, h0 AND h1 AS single, CASE WHEN NOT h0 THEN c0 WHEN NOT h1 THEN c1 END AS cell, CASE WHEN h0 AND h1 THEN score END AS one,
+  sum(pos)::DOUBLE AS pos, sum(neg)::DOUBLE AS neg, min(score) AS low, max(score) AS high FROM weighed GROUP BY ALL),
+ ran AS (SELECT *, sum(pos) OVER (PARTITION BY class ORDER BY low DESC) AS tp FROM leaves)"""
+
+
+@query("bounded_auc", with_("counts", more=_LEAVES) + f"""SELECT class, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg,
+ {r('sum(neg * (tp - pos / 2)) / nullif(n_pos * n_neg, 0)')} AS roc_auc, {r('sum(CASE WHEN low < high THEN pos * neg ELSE 0 END) / 2 / nullif(n_pos * n_neg, 0)')} AS error_bound
+ FROM ran GROUP BY class, n_pos, n_neg""")
+def bounded_auc(spark, sf):
+    out = areas.bounded_auc(preds(spark, sf), _TOLERANCE)
+    return out.select("class", "n_pos", "n_neg", *[F.round(c, 6).alias(c) for c in ("roc_auc", "error_bound")])

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from flowloom.functions.numeric import benign_vs_attack
+from flowloom.functions.numeric import benign_vs_attack, finite_or_null
 from flowloom.plans.prepare import data_profile as profile_row
 from flowloom.session import shared_dir
 from flowloom.sources import parquet as P
+from flowloom.sources import rebuild as B
 from flowloom.sources import sinks as W
+from flowloom.sources import zones as Z
 from flowloom.workload.inputs import FEATURES, flows, history, preds, table, vectors, with_
 from flowloom.workload.registry import query, r
 from flowloom.workload.stats import KEPT, _scaled, prep_ctes, prepared
@@ -57,6 +59,37 @@ def projected_scan(spark, sf):
     return P.projected_scan(flows(spark, sf), FEATURES)
 
 
+_ZONED = ("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+_RANGES = {"l_orderkey": (100, None), "l_quantity": (10, 20)}
+
+
+@query("zone_maps", " UNION ALL ".join(f"""SELECT '{c}' AS "column", min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, count(*) FILTER ({c} IS NULL) AS n_null, count(*) AS n_rows FROM lineitem""" for c in _ZONED))
+def zone_maps(spark, sf):
+    zones = Z.zone_maps(spark, sf, "lineitem.parquet").filter(F.col("column").isin(*_ZONED))
+    return zones.groupBy("column").agg(*[f(c).alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.sum, "n_null"), (F.sum, "n_rows"))])
+
+
+@query("zoned_scan", f"SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in _ZONED)} FROM lineitem WHERE l_orderkey >= 100 AND l_quantity BETWEEN 10 AND 20")
+def zoned_scan(spark, sf):
+    return Z.zoned_scan(Z.zone_maps(spark, sf, "lineitem.parquet"), _ZONED, _RANGES)
+
+
+_MEASURES = ("f_price", "f_sparse", "f_cust")
+
+
+@query("feature_table_rebuild", with_("flows") + f"""SELECT row_key, {', '.join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in _MEASURES)},
+ CASE WHEN label = '1-URGENT' THEN 2 ELSE 1 END::BIGINT AS built_at FROM flows""")
+def feature_table_rebuild(spark, sf):
+    """The rows of one label arrive in new files after the first version; the parts of the other files stay."""
+    source, root = shared_dir(spark, "source"), shared_dir(spark, "rebuilt")
+    rows = flows(spark, sf)
+    late = F.col("label") == "1-URGENT"
+    for arrived in (~late, late):
+        rows.filter(arrived).write.mode("append").parquet(source)
+        B.rebuild(spark, source, root, lambda df: df.select("row_key", B.PART, *[finite_or_null(c).alias(c) for c in _MEASURES]))
+    return B.read_features(spark, root)
+
+
 @query("feature_table_sink", prep_ctes() + "SELECT row_key, split, " + ", ".join(f"{_scaled(c)} AS {c}" for c in KEPT) + " FROM split WHERE split <> 'test'")
 def feature_table_sink(spark, sf):
     prep = prepared(spark, sf)
