@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -279,11 +279,16 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = MAX_BITS) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest id, once."""
-    marked = df.withColumn("_fl_mark", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    row = F.struct(F.col(f"`{doc_id}`").alias("i"), F.col("_fl_mark").alias("m"))
+    i, none = F.col(f"`{doc_id}`"), F.lit("")
+    marked = df.withColumn("_fl_mark", F.xxhash64(F.coalesce(F.col(f"`{text}`"), none)))
+    row = F.struct(i.alias("i"), F.col("_fl_mark").alias("m"))
     first = classes(marked, text, [doc_id, "_fl_mark"], limit).groupBy("_fl_root").agg(F.min(row).alias("r"))
-    kept = first.select(F.col("r.i").alias("_fl_i"), F.col("r.m").alias("_fl_m"))
-    same = marked[doc_id].eqNullSafe(kept["_fl_i"]) & (marked["_fl_mark"] == kept["_fl_m"])
-    again = W.partitionBy(f"`{doc_id}`", "_fl_mark").orderBy("_fl_mark")
-    left = marked.join(kept, same, "left_semi").withColumn("_fl_again", F.row_number().over(again))
-    return left.where("_fl_again = 1").drop("_fl_mark", "_fl_again")
+
+    def key(i: Column, m: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(i.cast("string"), none), i.isNull().cast("string"), m.cast("string"))
+
+    # Id and mark are one column, so that the texts cross one shuffle for the join and the window.
+    kept = first.select(key(F.col("r.i"), F.col("r.m")).alias("_fl_key"))
+    again = W.partitionBy("_fl_key").orderBy("_fl_key")
+    left = marked.withColumn("_fl_key", key(i, F.col("_fl_mark"))).join(kept, "_fl_key", "left_semi")
+    return left.withColumn("_fl_again", F.row_number().over(again)).where("_fl_again = 1").select(*[F.col(f"`{c}`") for c in df.columns])

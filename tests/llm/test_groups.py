@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from flowloom.llm import decontam, packing, quality, simhash
 from flowloom.llm.queries import QUERIES, SQL
+from pyspark.sql import functions as F
 
 from llm_helpers import DOCS, SF, prose, table, texts_of
 
@@ -372,6 +373,17 @@ def test_descent_reaches_the_optimum_of_a_small_problem(monkeypatch):
         assert hinge(w + step) > best - 5e-3 * best
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_one_of_each_on_repeated_rows_and_odd_ids(spark, kind):
+    """Rows that repeat stay once, a null id comes before others, texts of one id are told apart, columns stay."""
+    rows = [("1", "a b c d e"), ("1", "a b c d e"), ("2", "a b c d e"), (None, "q r s t u v"), ("3", "q r s t u v"), ("4", None), ("5", "zz yy xx ww"), ("5", "k l m n o p q")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").select(F.col("doc_id").cast(kind), F.lit(7).alias("_key"), "text")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    want = [("1", "a b c d e"), (None, "q r s t u v"), ("4", None), ("5", "zz yy xx ww"), ("5", "k l m n o p q")]
+    assert sorted(((None if r.doc_id is None else str(r.doc_id), r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages(spark):
     docs = table(spark, "documents")
