@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from flowloom.functions.numeric import finite_or_null
 from flowloom.functions.wavelet import fixed_width_rows
+from flowloom.operators.sampling import plain_sample
 
 STAT_SCHEMA = (
     "ordinal int, column string, n_rows long, n_finite long, n_missing long, total double, "
@@ -147,13 +148,19 @@ def duplicate_candidates(scaler: DataFrame, threshold: float = 0.80, constants:
     ).filter(F.col("_i") > 1).drop("_i")
 
 
-def drop_duplicate_columns(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+def drop_duplicate_columns(
+    rows: DataFrame, candidates: DataFrame, verify_rows: int | None = None, key: str | None = None, seed: int = 42
+) -> DataFrame:
     """Candidates equal to their keeper on every given row, checked in one aggregate.
 
-    ``rows`` are the train rows. The candidate list is bounded by the
-    number of columns and is read by the driver.
+    ``rows`` are the train rows; with ``verify_rows`` only that many of them, drawn by the hash of ``key``, are
+    compared. The candidate list is bounded by the number of columns and is read by the driver.
     """
+    if verify_rows is not None and (key is None or verify_rows < 1):
+        raise ValueError("a comparison on drawn rows needs their number and the row key")
     pairs = candidates.collect()  # fewer rows than the table has columns
+    if pairs and verify_rows is not None:
+        rows = plain_sample(rows, key, verify_rows, seed)
     spark = rows.sparkSession
     schema = "ordinal int, column string, keeper string, n_diff long, n_rows long"
     if not pairs:
@@ -182,7 +189,7 @@ def drop_duplicate_columns(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def column_drop_report(
     scaler: DataFrame, train_rows: DataFrame, threshold: float = 0.80,
-    constants: bool = True, duplicates: bool = True,
+    constants: bool = True, duplicates: bool = True, verify_rows: int | None = None, key: str | None = None, seed: int = 42,
 ) -> DataFrame:
     """Dropped columns in the order missing, constant, duplicate: (step, ordinal, column, reason, evidence)."""
     report = drop_high_missing(scaler, threshold)
@@ -190,7 +197,7 @@ def column_drop_report(
         report = report.unionByName(drop_constant(scaler, threshold))
     if duplicates:
         cand = duplicate_candidates(scaler, threshold, constants)
-        report = report.unionByName(drop_duplicate_columns(train_rows, cand))
+        report = report.unionByName(drop_duplicate_columns(train_rows, cand, verify_rows, key, seed))
     return report
 
 

@@ -39,12 +39,13 @@ def prepare_dataset(
     missing_threshold: float = 0.80,
     check_splits: bool = True,
     seed: int = 42,
+    verify_rows: int | None = None,
 ) -> Prepared:
     """Merge labels, sample, split, fit on train rows, prune columns, scale - in this order.
 
     The statistics and the column decisions are read by the driver (one row per feature); the
     rows pass through narrow steps only and can be written straight to a table. Duplicate columns
-    are compared on all train rows, in a scan of their own only where fingerprints agree. Splits that overlap or miss rows are an error, and so are keys
+    are compared on all train rows, or on ``verify_rows`` of them, in a scan of their own only where fingerprints agree. Splits that overlap or miss rows are an error, and so are keys
     that repeat, which would end up in two splits.
     """
     slim = df.select(key, label, *[F.col(f"`{c}`") for c in features])
@@ -66,7 +67,7 @@ def prepare_dataset(
     train = rows.filter(F.col("split") == "train")
     if check_splits:
         S.assert_no_leakage(rows.select(key, "split"), key).collect()  # one row
-    drops = E.column_drop_report(stats, train, missing_threshold)
+    drops = E.column_drop_report(stats, train, missing_threshold, verify_rows=verify_rows, key=key, seed=seed)
     drops = pinned(drops, "feature columns")
     scaler = E.Scaler.collect(E.subset_stats(stats, drops))
     scaled = E.minmax_scale(both.select(key, label, "code", "split", MATRIX), scaler, MATRIX, features)

@@ -64,6 +64,17 @@ def drop_duplicates_cols(spark, sf):
     return found.select("column", "reason", "evidence")
 
 
+VERIFIED = 200  # rows of the comparison on a draw
+_DRAWN = f"drawn AS (SELECT * FROM train ORDER BY md5('{SEED}|' || row_key), row_key LIMIT {VERIFIED})"
+
+
+@query("drop_duplicates_drawn", with_("scaler", more=f"{_CAND}, {_DRAWN}, {_DUP.replace('FROM train', 'FROM drawn')}") + """SELECT "column", reason, evidence FROM dup""")
+def drop_duplicates_drawn(spark, sf):
+    train = flow_split(spark, sf).filter(F.col("split") == "train")
+    candidates = E.duplicate_candidates(flow_scaler(spark, sf, "row_key"))
+    return E.drop_duplicate_columns(train, candidates, VERIFIED, "row_key", SEED).select("column", "reason", "evidence")
+
+
 _DROPS = """drops AS (SELECT 1 AS step, ordinal, "column", 'missing_ratio_above_threshold' AS reason FROM scaler WHERE missing_ratio > 0.8
  UNION ALL SELECT 2, ordinal, "column", 'constant_on_train' FROM scaler WHERE missing_ratio <= 0.8 AND is_constant
  UNION ALL SELECT 3, ordinal, "column", reason FROM dup)"""

@@ -48,6 +48,19 @@ def test_agreeing_fingerprints_are_still_compared(spark):
     assert E.column_drop_report(stats, df).collect() == []
 
 
+def test_comparison_on_drawn_rows(spark):
+    """One row that differs is seen among all rows and, at a small draw, only if it is drawn."""
+    df = table_of(spark).select("k", "a", F.when(F.col("k") == 17, -1.0).otherwise(F.col("a")).alias("b"))
+    pair = spark.createDataFrame([(1, "b", "a")], "ordinal int, column string, keeper string")
+    drawn = {r.k for r in E.plain_sample(df, "k", 20).collect()}
+    assert len(drawn) == 20
+    assert E.drop_duplicate_columns(df, pair).collect() == []
+    assert len(E.drop_duplicate_columns(df, pair, 20, "k").collect()) == (17 not in drawn)
+    assert E.drop_duplicate_columns(df, pair, 5000, "k").collect() == []
+    with pytest.raises(ValueError, match="row key"):
+        E.drop_duplicate_columns(df, pair, 20)
+
+
 def test_no_rows(spark):
     assert len(set(prints(table_of(spark).limit(0), ["a", "holes"]).values())) == 1
 
