@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +11,19 @@ from flowloom.session import shared_dir
 
 
 def file_stream(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """Parquet files of a folder as a stream, with the schema of a batch read."""
-    read = spark.read.option("pathGlobFilter", pattern)
-    schema = read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
+    """Parquet files of a folder as a stream, with the schema of a batch read.
+
+    Where ``pattern`` names no file but a table that is a folder of parts, all its parts are streamed.
+    """
+    stream = spark.readStream.option("pathGlobFilter", pattern)
+    try:
+        schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        path = f"{path.rstrip('/')}/{pattern}"
+        schema, stream = spark.read.parquet(path).schema, spark.readStream
+    return stream.schema(schema).parquet(path)
 
 
 def run_to_table(stream: DataFrame, purpose: str) -> DataFrame:

@@ -263,6 +263,20 @@ def test_stream_confusion_and_unique(spark, tmp_path):
     assert sorted(r.epoch for r in got.collect()) == list(range(7))
 
 
+def test_stream_of_a_table_that_is_a_folder_of_parts(spark, tmp_path):
+    spark.range(30).select("id", (F.col("id") % 3).cast("int").alias("y")).repartition(3).write.parquet(str(tmp_path / "a.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "b.parquet"))
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "plain"))
+    (part,) = (tmp_path / "plain").glob("part-*.parquet")
+    part.rename(tmp_path / "c.parquet")
+    rows = D.file_stream(spark, str(tmp_path), "a.parquet")
+    assert rows.columns == ["id", "y"]
+    assert sorted(r.id for r in D.run_to_table(rows, "folder").collect()) == list(range(30))
+    assert D.run_to_table(D.file_stream(spark, str(tmp_path), "c.parquet"), "file").count() == 7
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        D.file_stream(spark, str(tmp_path), "gone.parquet")
+
+
 # ------------------------------------------------------------------ attribution
 def blobs(spark, n=60, f=16, k=3, seed=0):
     rng = np.random.default_rng(seed)
