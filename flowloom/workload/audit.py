@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import audit as A
 from flowloom.operators.sampling import split_class_counts
-from flowloom.sources.parquet import rows_by_file, scan_flows
+from flowloom.sources.parquet import rows_by_dataset, rows_by_file
 from flowloom.workload.inputs import flow_split, flows, history, preds, table, with_
 from flowloom.workload.registry import query, r
 
@@ -174,6 +174,5 @@ _REQUIRED = ("orders", "lineitem", "labels")
 @query("artifact_presence", " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) > 0 AS present, count(*) AS n_rows FROM {t}" for t in _REQUIRED)
        + " UNION ALL SELECT 'y_true.parquet', false, 0")
 def artifact_presence(spark, sf):
-    """Required inputs as the scan finds them: their rows are counted, a file that is not there has none."""
-    counted = rows_by_file(scan_flows(spark, sf))
-    return A.artifact_presence(counted, [f"{t}.parquet" for t in (*_REQUIRED, "y_true")])
+    """Required inputs as the scan finds them: their rows are counted, a table that is not there has none."""
+    return A.artifact_presence(rows_by_dataset(spark, sf), [f"{t}.parquet" for t in (*_REQUIRED, "y_true")])

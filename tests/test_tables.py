@@ -84,6 +84,45 @@ def test_file_profile_counts_bytes_and_rows_of_nested_folders(spark, tmp_path):
     assert [(r.n_rows, r.bytes, r.n_row_groups, r.n_files) for r in total] == [(35, sum(size.values()), sum(groups.values()), 3)]
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Tables as files and as folders of parts, below a folder whose name needs encoding."""
+    path = tmp_path_factory.mktemp("x.parquet") / "a+b %20 c"
+    spark.range(30).select("id", F.col("id").alias("y")).repartition(3).write.parquet(str(path / "a.parquet"))
+    spark.range(20).select("id", F.col("id").alias("day")).repartition(4).write.parquet(str(path / "deep" / "a.parquet"))
+    pq.write_table(pa.table({"id": [1, 2], "v": [1.0, 2.0]}), path / "b.parquet")
+    pq.write_table(pa.table({"id": pa.array([], pa.int64())}), path / "none.parquet")
+    return str(path)
+
+
+def test_parts_of_a_table_are_counted_as_one_artifact(spark, tables):
+    counted = P.rows_by_dataset(spark, tables)
+    root = f"file:{tables}"
+    assert sorted((r.path, r.file, r.n_rows) for r in counted.collect()) == [
+        (f"{root}/a.parquet", "a.parquet", 30), (f"{root}/b.parquet", "b.parquet", 2), (f"{root}/deep/a.parquet", "a.parquet", 20),
+    ]
+    found = A.artifact_presence(counted, ["a.parquet", "b.parquet", "none.parquet", "gone.parquet"])
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("a.parquet", True, 50), ("b.parquet", True, 2), ("gone.parquet", False, 0), ("none.parquet", False, 0),
+    ]
+
+
+@pytest.mark.parametrize("path, root, pattern, want", [
+    ("file:/d/s/t.parquet/p=1/part-0.parquet", "/d/s", "*.parquet", "file:/d/s/t.parquet"),
+    ("file:/d/s/t.parquet/part-0", "file:///d/s/", "t.parquet", "file:/d/s/t.parquet"),
+    ("file:/d.parquet/s/t.parquet", "/d.parquet/s", "*.parquet", "file:/d.parquet/s/t.parquet"),
+    ("file:/d.parquet/part-0.parquet", "/d.parquet", "*.parquet", "file:/d.parquet/part-0.parquet"),
+    ("viewfs://store/in/s1/t.parquet/x", "viewfs://store/in/s?", "{t,u}.parquet", "viewfs://store/in/s1/t.parquet"),
+    ("file:/home/me/s/t.parquet/x", "./s", "[!a]*.parquet", "file:/home/me/s/t.parquet"),
+    ("file:/d/s/t.parquet", "/d/s/t.parquet", "*.parquet", "file:/d/s/t.parquet"),
+    ("file:/d/s/notes.txt", "/d/s", "*.parquet", None),
+    ("file:/d/s/u.parquet/part-0.parquet", "/d/s", "t.parquet", None),
+])
+def test_table_of_a_file(spark, path, root, pattern, want):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert df.select(P.dataset_of(F.col("path"), root, pattern)).first()[0] == want
+
+
 def test_prepare_end_to_end(spark, dirty, tmp_path):
     df = P.scan_flows(spark, dirty)
     s = P.discover_schema(df)
