@@ -107,6 +107,30 @@ def test_parts_of_a_table_are_counted_as_one_artifact(spark, tables):
     ]
 
 
+@pytest.fixture(scope="module")
+def parted(spark, tmp_path_factory):
+    """Tables as files and as folders of parts, one part with a name of its own."""
+    path = tmp_path_factory.mktemp("parted")
+    spark.range(30).select("id", F.col("id").alias("y")).repartition(3).write.parquet(str(path / "a.parquet"))
+    spark.range(20).select("id", F.col("id").alias("y")).repartition(4).write.parquet(str(path / "deep" / "a.parquet"))
+    pq.write_table(pa.table({"id": [1, 2]}), path / "a.parquet" / "000000_0")
+    pq.write_table(pa.table({"id": [1, 2], "v": [1.0, 2.0]}), path / "b.parquet")
+    pq.write_table(pa.table({"w": pa.array([], pa.int64())}), path / "none.parquet")
+    (path / "notes.txt").write_text("no table")
+    return str(path)
+
+
+def test_profile_adds_up_the_parts_of_a_table(spark, parted):
+    got = [(r.file, r.n_rows, r.n_row_groups, r.n_files) for r in P.file_profile(spark, parted).collect()]
+    assert sorted(got, key=str) == sorted([
+        ("a.parquet", 32, 4, 1), ("a.parquet", 20, 4, 1), ("b.parquet", 2, 1, 1), ("none.parquet", 0, 1, 1), (None, 54, 10, 4),
+    ], key=str)
+    one = P.file_profile(spark, parted, "b.parquet").collect()
+    assert sorted((r.file or "", r.n_rows, r.n_files) for r in one) == [("", 2, 1), ("b.parquet", 2, 1)]
+    parts = P.file_profile(spark, f"{parted}/a.parquet", "*0*").collect()
+    assert [(r.n_rows, r.n_files) for r in parts if r.file is None] == [(32, 4)]
+
+
 @pytest.mark.parametrize("path, root, pattern, want", [
     ("file:/d/s/t.parquet/p=1/part-0.parquet", "/d/s", "*.parquet", "file:/d/s/t.parquet"),
     ("file:/d/s/t.parquet/part-0", "file:///d/s/", "t.parquet", "file:/d/s/t.parquet"),
