@@ -131,6 +131,13 @@ def test_profile_adds_up_the_parts_of_a_table(spark, parted):
     assert [(r.n_rows, r.n_files) for r in parts if r.file is None] == [(32, 4)]
 
 
+def test_columns_that_any_part_of_a_table_lacks(spark, parted):
+    rows = P.schema_consistency(spark, parted, ["v", "id", "y"]).collect()
+    assert sorted(tuple(r) for r in rows) == [
+        ("a.parquet", 1, "v"), ("a.parquet", 2, "v,y"), ("b.parquet", 1, "y"), ("none.parquet", 3, "id,v,y"),
+    ]
+
+
 @pytest.mark.parametrize("path, root, pattern, want", [
     ("file:/d/s/t.parquet/p=1/part-0.parquet", "/d/s", "*.parquet", "file:/d/s/t.parquet"),
     ("file:/d/s/t.parquet/part-0", "file:///d/s/", "t.parquet", "file:/d/s/t.parquet"),
