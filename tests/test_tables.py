@@ -138,6 +138,11 @@ def test_columns_that_any_part_of_a_table_lacks(spark, parted):
     ]
 
 
+def test_column_lists_count_a_table_once(spark, parted):
+    rows = P.distinct_schemas(spark, parted).collect()
+    assert sorted(tuple(r) for r in rows) == [("id", 1, 2), ("id,v", 1, 2), ("id,y", 2, 50), ("w", 1, 0)]
+
+
 @pytest.mark.parametrize("path, root, pattern, want", [
     ("file:/d/s/t.parquet/p=1/part-0.parquet", "/d/s", "*.parquet", "file:/d/s/t.parquet"),
     ("file:/d/s/t.parquet/part-0", "file:///d/s/", "t.parquet", "file:/d/s/t.parquet"),
