@@ -57,15 +57,20 @@ def subband_centroid_scorer(centroids: np.ndarray, geom: Geometry) -> BatchScore
     return lambda x: inner(steady_product(x, matrix))
 
 
-def score_in_batches(df: DataFrame, scorer: BatchScorer, width: int, features: str = "features") -> DataFrame:
+def score_in_batches(
+    df: DataFrame, scorer: BatchScorer, width: int, features: str = "features", pred: str | None = None
+) -> DataFrame:
     """Replace ``features`` by y_prob (single precision), one Arrow batch at a time.
 
-    ``features`` may be a flat array or an array of arrays with ``width`` values in all.
+    ``features`` may be a flat array or an array of arrays with ``width`` values in all. ``pred`` names a
+    column for the best class by the scorer's own precision: rounded to single precision, two classes can be equal.
     """
     kept = [f for f in df.schema.fields if f.name != features]
     names = [f.name for f in kept]
     nested = isinstance(df.schema[features].dataType.elementType, T.ArrayType)
     schema = T.StructType([*kept, T.StructField("y_prob", T.ArrayType(T.FloatType()))])
+    if pred:
+        schema = schema.add(pred, T.IntegerType())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +82,13 @@ def score_in_batches(df: DataFrame, scorer: BatchScorer, width: int, features: s
                 x = fixed_width_rows(col.flatten(), width // bands).reshape(len(col), width)
             else:
                 x = fixed_width_rows(col, width)
-            p = scorer(x).astype(np.float32)
+            scores = scorer(x)
+            p = scores.astype(np.float32)
             offsets = np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)
             probs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(p.reshape(-1)))
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, probs], names=[*names, "y_prob"])
+            best = [pa.array(scores.argmax(axis=1).astype(np.int32))] if pred else []
+            yield pa.RecordBatch.from_arrays([*cols, probs, *best], names=schema.names)
 
     return df.mapInArrow(apply, schema)
 

@@ -43,8 +43,8 @@ _CENT_SCORE = f"""{_CENT}, dist AS (SELECT row_key, y_true, split, c, -sum((v -
        + f"SELECT row_key, y_true, arg_max(c, z) AS y_pred, {r('max(p) FILTER (c = y_true)', 5)} AS p_true FROM sp GROUP BY 1, 2")
 def centroid_scorer(spark, sf):
     rows = vector_split(spark, sf).select("row_key", "y_true", "features")
-    scored = S.score_in_batches(rows, S.centroid_scorer(raw_centroids(spark, sf)), WIDTH)
-    return scored.select("row_key", "y_true", argmax_class("y_prob").alias("y_pred"), F.round(prob_of("y_prob", "y_true"), 5).alias("p_true"))
+    scored = S.score_in_batches(rows, S.centroid_scorer(raw_centroids(spark, sf)), WIDTH, pred="y_pred")
+    return scored.select("row_key", "y_true", "y_pred", F.round(prob_of("y_prob", "y_true"), 5).alias("p_true"))
 
 
 def folded_logits(x: np.ndarray) -> np.ndarray:

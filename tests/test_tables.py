@@ -353,6 +353,14 @@ def test_stream_of_a_table_that_is_a_folder_of_parts(spark, tmp_path):
 
 
 # ------------------------------------------------------------------ attribution
+def test_best_class_where_single_precision_is_tied(spark):
+    scorer = lambda x: np.column_stack([x[:, 0], x[:, 0] + 1e-12, 1 - 2 * x[:, 0]])
+    df = spark.createDataFrame([(1, [0.4]), (2, [0.1])], "row_key long, features array<double>")
+    got = {r.row_key: r for r in K.score_in_batches(df, scorer, 1, pred="y_pred").collect()}
+    assert got[1].y_prob[0] == got[1].y_prob[1] and (got[1].y_pred, got[2].y_pred) == (1, 2)
+    assert K.score_in_batches(df, scorer, 1).columns == ["row_key", "y_prob"]
+
+
 def blobs(spark, n=60, f=16, k=3, seed=0):
     rng = np.random.default_rng(seed)
     y = np.arange(n) % k
